@@ -35,17 +35,23 @@ class Scratch:
     """Parquet tables in the shared folder, for as long as one operator runs.
 
     `table` writes a DataFrame and reads it back; the folder goes when the block ends, so what leaves the
-    block passes through `result`, a checkpoint.
+    block passes through `result`, a checkpoint. Inside the block fewer rows go to Python at a time, since texts
+    may be long.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = 1000):
+        self.spark, self.rows = spark, rows
 
     def __enter__(self) -> Scratch:
         self.root = f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
+        self.before = self.spark.conf.get(self.BATCH)
+        self.spark.conf.set(self.BATCH, str(self.rows))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.BATCH, self.before)
         self._remove(self.root)
 
     def _remove(self, path: str) -> None:

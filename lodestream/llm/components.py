@@ -15,12 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     number of nodes. A node with very many neighbours is only ever the key of a pre-aggregated minimum and of
     a sort-merge join, whose large partitions Spark splits. Loops, repeated edges and nulls are ignored.
     """
-    spark = edges.sparkSession
     pairs = edges.where("a is not null and b is not null and a != b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if pairs.isEmpty():
-        kind = edges.schema["a"].dataType
-        return spark.createDataFrame([], "node long, root long").select(F.col("node").cast(kind), F.col("root").cast(kind))
+        return pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
     while True:
         # large star: every larger neighbour goes to the smallest of the closed neighbourhood
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

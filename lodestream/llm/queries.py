@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ogg, packing, simhash, suffixes, tokens, topk, toxicity
+from . import chat, mixing, ogg, packing, shards, simhash, suffixes, tokens, topk, toxicity
+from .common import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,10 +34,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:  # the shards go when they have been read back
+        return scratch.result(shards.training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{scratch.root}/shards"))
+
+
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "removed", "spans", "text")
 
@@ -50,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_packing, op3_top_k, op4_token_counts, op6_ogg, op8_suffixes, op9_toxicity, op10_mixing)
+    found = (op1_simhash, op2_packing, op3_top_k, op4_token_counts, op5_training_order, op6_ogg, op7_chat, op8_suffixes, op9_toxicity, op10_mixing)
     return {f.__name__: f for f in found}
 
 

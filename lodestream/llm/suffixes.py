@@ -30,7 +30,7 @@ LEAST = 50
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _words: dict[bytes, int] = {}
 _powers = {"down": np.ones(1, np.uint64), "up": np.ones(1, np.uint64)}
