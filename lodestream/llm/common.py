@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The words of a text: runs of anything but space and the control characters 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ids (up to 32 bytes a row with what goes with them) up to which a table of them is broadcast.
+SMALL_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,6 +11,7 @@ shared bits in which they differ exceed the distance allowed.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import SMALL_IDS, Scratch, broadcast_if_small, cut
 from .components import connected_components
 
 SEED = 42
@@ -255,3 +256,93 @@ def simhash_components(docs: DataFrame, size: int = 3, most: int = 2) -> DataFra
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = cut(named.join(least, "root").select("fp", "component_id"))
     return of.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicates by similarity.
+
+#: Bits of the code that decides, and those of the bands that find candidates.
+CODE_WORDS, BAND_WORDS, BAND = 8, 9, 24
+
+
+def bits_apart(similarity: float, bits: int = 64 * CODE_WORDS, slack: float = 1.25) -> int:
+    """Differing bits up to which two codes are linked: as many as sets of that Jaccard similarity and equal size
+    differ in on average, and `slack` standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def _codes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """For each text its code, over distinct shingles, and bands of bits of a fingerprint of its distinct words."""
+    per_row = BAND_WORDS * 64 // BAND
+    for batch in batches:
+        codes, bands = [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            text = text or b""
+            codes.append(majority(np.unique(hashes(shingles(text, size))), CODE_WORDS).tobytes())
+            words = majority(hashes(list(set(text.lower().split()))), BAND_WORDS)
+            parts = np.packbits(np.unpackbits(words.view(np.uint8), bitorder="little").reshape(per_row, BAND), axis=1, bitorder="little").astype(np.int64)
+            bands.append((parts @ (1 << np.arange(0, BAND, 8))) + (np.arange(per_row, dtype=np.int64) << BAND))
+        flat = pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * per_row, pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), lists], ["doc_id", "code", "bands"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in grouped(batches, 3):
+        keys = [batch.column(c).to_numpy() for c in range(3)]
+        ids = batch.column(3).to_numpy()
+        codes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(ids), CODE_WORDS)
+        starts, ends = runs(*keys)
+        size = ends - starts
+        two = starts[size == 2]
+        near = two[np.bitwise_count(codes[two] ^ codes[two + 1]).sum(axis=1) <= most]
+        a, b = [ids[near]], [ids[near + 1]]
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
+            order = np.argsort(gray_rank(codes[s:e, 0]), kind="stable")
+            if links := forest(e - s, close_pairs(codes[s:e][order], most)):
+                x, y = np.array(links).T
+                a.append(ids[s + order[x]])
+                b.append(ids[s + order[y]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, node: int = 4096) -> DataFrame:
+    """doc_id and component_id for near-duplicates: texts whose sets of `size`-word shingles are that similar.
+
+    Codes of 512 bits over the shingles decide, see `bits_apart`. A pair is a candidate if any of 24 bands of 24
+    bits agree in their fingerprints of distinct words, which a few changed words hardly move; each band's value
+    is a node, below which codes stand in Gray order. A node of more than `node` codes is searched by pairs of
+    blocks. Null and empty texts are alike; rows with a null doc_id take no part; repeated rows stay.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, code binary, bands array<long>"), "codes")
+        named = of.withColumn("same", F.xxhash64("bands"))
+        groups = named.groupBy("code", "same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+        groups = scratch.table(groups, "groups")
+        keyed = groups.select(F.explode("bands").alias("band"), "id", "code")
+        hot = cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > node).select("band", F.ceil(F.col("n") / node).cast("int").alias("blocks")))
+        many = hot.count()
+        whole = keyed.withColumns({"low": F.lit(0), "high": F.lit(0)})
+        if many:
+            small = broadcast_if_small(hot, many, SMALL_KEYS)
+            whole = whole.join(small.select("band"), "band", "left_anti")
+            dealt = keyed.join(small, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            whole = whole.unionByName(dealt.select("band", "id", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+        whole = whole.select("band", "low", "high", "id", "code").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+        most = bits_apart(similarity)
+        roots = connected_components(scratch.table(whole.mapInArrow(lambda b: _similar(b, most), "a long, b long").distinct(), "links"))
+        names = groups.select("code", F.xxhash64("bands").alias("same"), "id").join(roots, F.col("id") == F.col("node"), "left")
+        names = names.select("code", "same", F.coalesce("root", "id").alias("component_id"))
+        return scratch.result(named.select("doc_id", "code", "same").join(names, ["code", "same"]).select("doc_id", "component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows with a null doc_id stay. Few dropped ids are broadcast, many are joined.
+    """
+    found = similar_components(docs, size, similarity)
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(broadcast_if_small(gone, gone.count(), SMALL_IDS), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

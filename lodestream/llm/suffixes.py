@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import SMALL_IDS, Scratch, broadcast_if_small
 
 #: Words by which suffixes are sorted.
 PREFIX = 16
@@ -176,6 +176,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         found = [t if t is None or not c else without(t, c) for t, c in zip(texts.cast(pa.binary()).to_pylist(), cuts.to_pylist())]
         return pa.array(found, pa.binary()).cast(pa.string())
 
+    spans = broadcast_if_small(spans, spans.count(), SMALL_IDS // 10)
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
     joined = joined.withColumn("removed", F.coalesce(removed, F.lit(0)))

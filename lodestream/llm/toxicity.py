@@ -31,7 +31,9 @@ STEMS = (4, 5, 6, 7)
 QUOTES = "\"“”„«»‹›‘"
 REPORTING = frozenset("said says wrote quote quoted called sagte schrieb zitat zitiert nannte dit écrit cité appelé dijo escribió cita citado llamó".split())
 ADDRESS = frozenset("you your you're du dein ihr euch tu ton vous votre tú usted ustedes".split())
-#: The middle of the features: constant, exact, misspelled, quoted, directed, share of words, distinct terms.
+#: Scores from which a text is predicted toxic.
+THRESHOLD = 0.3
+#: Features: constant, exact, misspelled, quoted, directed, share of words, distinct terms.
 FEATURES = 7
 
 
@@ -250,27 +252,31 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     return terms, fit(x, y)
 
 
-def toxicity(docs: DataFrame, terms: dict[str, float], model: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted and hits for each row of docs (doc_id, text): whole texts, nothing shuffled.
+def score(text: Column, terms: dict[str, float], model: np.ndarray) -> Column:
+    """The score of a whole text, 0 to 1. A null or empty text has no hits and the score of such a text."""
 
-    A null or empty text has no hits and the score of such a text. Other columns are ignored, repeated rows and
-    null ids keep their rows, an empty table gives none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = _lexicon(terms)
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                x = np.array([features(t, lexicon) for t in part.column(1).to_pylist()])
-                score = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+        for some in texts:
+            x = np.array([features(t.as_py(), lexicon) for t in some]).reshape(-1, FEATURES)
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ model, -30, 30))))
+
+    return scored(F.coalesce(text.cast("string"), F.lit("")))
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def toxicity_by_labels(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted: learned from the labels that aren't held out, applied to every row.
+
+    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. Repeated rows and null ids keep their
+    rows, an empty table gives none. Nothing is shuffled to score.
+    """
+    terms, model = train(docs, labels)
+    scored = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), terms, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def toxicity_by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: learned from the labels that aren't held out, applied to every row."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without those that score `threshold` or more."""
     terms, model = train(docs, labels)
-    return toxicity(docs, terms, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return docs.withColumn("_score", score(F.col("text"), terms, model)).where(F.col("_score") < threshold).drop("_score")
