@@ -36,7 +36,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with Scratch(spark) as scratch:  # the shards go when they have been read back
+    with Scratch(spark) as scratch:  # the shards go once they have been read back
         return scratch.result(shards.training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{scratch.root}/shards"))
 
 

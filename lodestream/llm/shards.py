@@ -26,6 +26,8 @@ from .common import Scratch, broadcast_if_small
 from .tokens import id_encoder
 
 ROUNDS = 6
+#: Documents from which the compression of sequences learns, and bytes that it may take.
+SAMPLE, DICTIONARY = 2000, 112_640
 #: Input partitions up to which their table of offsets is broadcast (16 bytes each).
 SMALL_PARTS = 1_000_000
 
@@ -62,6 +64,10 @@ def permute(index: np.ndarray, total: int, key: int, inverse: bool = False) -> n
     return out.astype(np.int64)
 
 
+def _dictionary(shared: bytes | None) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(shared) if shared else None
+
+
 def slot_of(index: Column, total: int, key: int, inverse: bool = False) -> Column:
     @F.arrow_udf("long")
     def permuted(values: pa.Array) -> pa.Array:
@@ -70,10 +76,18 @@ def slot_of(index: Column, total: int, key: int, inverse: bool = False) -> Colum
     return permuted(index)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int) -> Iterator[pa.RecordBatch]:
+def compression(docs: DataFrame, path: str, length: int, width: int) -> zstandard.ZstdCompressionDict | None:
+    """What sequences have in common, learned from some documents: it makes what is shuffled smaller, nothing else."""
+    some = docs.select(F.col("text").cast("string")).limit(SAMPLE).collect()
+    ids = np.concatenate([np.empty(0, np.uint32), *(id_encoder(path).ids(r[0]) for r in some)]).astype(f"<u{width}")
+    samples = [ids[i : i + length].tobytes() for i in range(0, len(ids) - length + 1, length)]
+    return zstandard.train_dictionary(DICTIONARY, samples) if len(samples) * length * width > 8 * DICTIONARY else None
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int, shared) -> Iterator[pa.RecordBatch]:
     """This task's documents, one after the other, cut into sequences; the last is filled with id 0."""
     encoder, part = id_encoder(path), TaskContext.get().partitionId()
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(shared))
     rows: list[tuple] = []
     rest, n, first = np.empty(0, np.uint32), 0, None
     columns = [("part", pa.int32()), ("n", pa.int64()), ("tokens", pa.int32()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("ids_crc32", pa.int64()), ("blob", pa.binary())]
@@ -120,9 +134,11 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, length: int = 102
     spark = docs.sparkSession
     width = 2 if id_encoder(tokenizer).size <= 1 << 16 else 4
     stride = length * width + 1
+    learned = compression(docs, tokenizer, length, width)
+    shared = learned.as_bytes() if learned else None
     with Scratch(spark) as scratch:
         raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            lambda b: _sequences(b, tokenizer, length, width), "part int, n long, tokens int, first_doc long, first_start long, ids_crc32 long, blob binary"
+            lambda b: _sequences(b, tokenizer, length, width, shared), "part int, n long, tokens int, first_doc long, first_start long, ids_crc32 long, blob binary"
         )
         cut = scratch.table(raw, "sequences")
         counts = sorted(cut.groupBy("part").count().collect())
@@ -139,7 +155,7 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, length: int = 102
 
         @F.arrow_udf("binary")
         def unpacked(blobs: pa.Array) -> pa.Array:
-            d = zstandard.ZstdDecompressor()
+            d = zstandard.ZstdDecompressor(dict_data=_dictionary(shared))
             return pa.array([d.decompress(x) for x in blobs.to_pylist()], pa.binary())
 
         dealt = placed.select("shard", "slot", "blob").repartitionById(-(-total // per_shard), F.col("shard"))
