@@ -41,7 +41,7 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     words = (text or b"").lower().split()
     if len(_words) > REMEMBERED:
         _words.clear()
-    for w in {w for w in words if w not in _words}:
+    for w in [w for w in set(words) if w not in _words]:
         _words[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 

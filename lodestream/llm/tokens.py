@@ -88,7 +88,7 @@ class Counter:
             parts = [self.split(t) for t in some]
             if len(self.known) > len(self.whole) + REMEMBERED:
                 self.known = dict(self.whole)
-            new = {x for pre in parts for x in pre if x not in self.known}
+            new = {x for x in set().union(*parts) if x not in self.known}
             odd = self._learn(new) if new else set()
             for text, pre in zip(some, parts):
                 if any(x in text for x in self.special) or (odd and not odd.isdisjoint(pre)):
