@@ -30,14 +30,14 @@ _LINES = """line AS (
     ORDER BY l_linenumber, l_suppkey, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) = 1)"""
 SERVED = f"""{_LINES}, served AS (
   SELECT o_orderkey AS recommendation_id, o_custkey AS user_id, l_partkey AS item_id, l_linenumber - 1 AS position,
-    CASE WHEN o_custkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant_id, {pick(config.DOMAINS, "o_custkey % 4")} AS domain, epoch_us(o_orderdate) // 1000 AS served_ts, l_discount AS score,
+    CASE WHEN (o_custkey // 4) % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant_id, {pick(config.DOMAINS, "o_custkey % 4")} AS domain, epoch_us(o_orderdate) // 1000 AS served_ts, l_discount AS score,
     l_quantity / 50 AS f_semantic, l_discount * 10 AS f_cf, l_suppkey % 5 / 5.0::DOUBLE AS f_next, l_suppkey % 7 / 7.0::DOUBLE AS f_affinity, l_suppkey % 3 / 3.0::DOUBLE AS f_trending, l_tax AS f_ctr,
     l_suppkey % 11 / 11.0::DOUBLE AS f_completion, l_suppkey % 13 / 13.0::DOUBLE AS f_freshness, CAST(l_suppkey % 2 AS DOUBLE) AS f_penalty
   FROM line JOIN orders ON l_orderkey = o_orderkey)"""
 _OUTCOME = cases({a + b: v for (a, b), v in views.OUTCOMES.items()}, "l_returnflag || l_linestatus")
 ATTRIBUTED = f"""attributed AS (
   SELECT DISTINCT * FROM (
-    SELECT o_orderkey AS recommendation_id, l_partkey AS item_id, o_custkey AS user_id, l_linenumber - 1 AS position, CASE WHEN o_custkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant_id,
+    SELECT o_orderkey AS recommendation_id, l_partkey AS item_id, o_custkey AS user_id, l_linenumber - 1 AS position, CASE WHEN (o_custkey // 4) % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant_id,
       {pick(config.DOMAINS, "o_custkey % 4")} AS domain, unnest([{_OUTCOME}, 'IMPRESSED']) AS outcome, epoch_us(o_orderdate) // 1000 AS served_ts, epoch_us(l_shipdate) // 1000 AS outcome_ts
     FROM line JOIN orders ON l_orderkey = o_orderkey))"""
 

@@ -64,7 +64,7 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return j.select(
         F.col("o_orderkey").alias("recommendation_id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (F.col("l_linenumber") - 1).alias("position"),
-        F.when(F.col("o_custkey") % 2 == 0, "control").otherwise("treatment").alias("variant_id"), _pick(config.DOMAINS, F.col("o_custkey") % 4).alias("domain"),
+        F.when(F.expr("o_custkey div 4 % 2") == 0, "control").otherwise("treatment").alias("variant_id"), _pick(config.DOMAINS, F.col("o_custkey") % 4).alias("domain"),
         epoch_ms("o_orderdate").alias("served_ts"), F.col("l_discount").alias("score"), *[x.cast("double").alias(f"f_{n}") for n, x in f.items()],
     )
 
@@ -76,7 +76,7 @@ def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for (a, b), v in OUTCOMES.items() for x in (a + b, v)])[F.concat("l_returnflag", "l_linestatus")]
     base = j.select(
         F.col("o_orderkey").alias("recommendation_id"), F.col("l_partkey").alias("item_id"), F.col("o_custkey").alias("user_id"), (F.col("l_linenumber") - 1).alias("position"),
-        F.when(F.col("o_custkey") % 2 == 0, "control").otherwise("treatment").alias("variant_id"), _pick(config.DOMAINS, F.col("o_custkey") % 4).alias("domain"),
+        F.when(F.expr("o_custkey div 4 % 2") == 0, "control").otherwise("treatment").alias("variant_id"), _pick(config.DOMAINS, F.col("o_custkey") % 4).alias("domain"),
         F.explode(F.array_distinct(F.array(kind, F.lit("IMPRESSED")))).alias("outcome"), epoch_ms("o_orderdate").alias("served_ts"), epoch_ms("l_shipdate").alias("outcome_ts"),
     )
     return base
