@@ -13,10 +13,13 @@ from . import activity, sql
 
 TODAY = "2024-01-31"
 LIMIT = 10
-DOMAIN_NO = F.array_position(F.array(*map(F.lit, config.DOMAINS)), F.col("domain")) - 1
 _DOMAIN_NO = "CASE domain " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(config.DOMAINS)) + " END"
 
 
+def _domain_no():
+    return F.array_position(F.array(*map(F.lit, config.DOMAINS)), F.col("domain")) - 1
+
+
 def _with_vectors(spark, d):
     return activity.weighted(spark, d).join(views.items(spark, d).select("item_id", "vector"), "item_id")
 
@@ -58,7 +61,7 @@ def _taste_sql(name, keys, half_life):
 
 def requests(spark, d):
     """A request for each domain of one user in ten: request_id, user_id, domain, and the taste as query."""
-    return taste(spark, d).where("user_id % 10 = 0").withColumn("request_id", F.col("user_id") * 4 + DOMAIN_NO)
+    return taste(spark, d).where("user_id % 10 = 0").withColumn("request_id", F.col("user_id") * 4 + _domain_no())
 
 
 def _semantic(spark, d, k=20, items=None):
@@ -94,7 +97,7 @@ def _seeds(spark, d):
     recent = activity.weighted(spark, d).where("weight > 0 and user_id % 10 = 0").groupBy("user_id", "domain", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
     order = Window.partitionBy("user_id", "domain").orderBy(F.col("at").desc())
     kept = recent.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < config.CANDIDATES["cf_seeds"])
-    return kept.select((F.col("user_id") * 4 + DOMAIN_NO).alias("request_id"), F.col("item_id").alias("seed"), "place")
+    return kept.select((F.col("user_id") * 4 + _domain_no()).alias("request_id"), F.col("item_id").alias("seed"), "place")
 
 
 def candidates(spark, d):
