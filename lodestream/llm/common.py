@@ -33,27 +33,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most so many rows to Python at a time, since texts may be long.
+
+    It is a setting of the session, as results are computed after an operator has returned. A session that has
+    a figure of its own other than Spark's default keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Parquet tables in the shared folder, for as long as one operator runs.
 
     `table` writes a DataFrame and reads it back; the folder goes when the block ends, so what leaves the
-    block passes through `result`, a checkpoint. Inside the block fewer rows go to Python at a time, since texts
-    may be long.
+    block passes through `result`, a checkpoint.
     """
 
-    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-    def __init__(self, spark: SparkSession, rows: int = 1000):
-        self.spark, self.rows = spark, rows
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
 
     def __enter__(self) -> Scratch:
         self.root = f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
-        self.before = self.spark.conf.get(self.BATCH)
-        self.spark.conf.set(self.BATCH, str(self.rows))
+        text_batches(self.spark)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(self.BATCH, self.before)
         self._remove(self.root)
 
     def _remove(self, path: str) -> None:

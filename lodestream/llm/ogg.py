@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 # Fixed values of the format.
 CAPTURE = b"OggS"
 HEADER = struct.Struct("<4sBBqIIIB")  # capture, version, flags, granule, serial, page number, checksum, segments
@@ -200,6 +202,8 @@ def describe(media: bytes) -> str:
 def to_ogg(df: DataFrame, payload: Column, name: str = "media") -> DataFrame:
     """`df` with a binary column `name`: the Ogg file of the payload (binary; null counts as empty)."""
 
+    text_batches(df.sparkSession)
+
     @F.arrow_udf("binary")
     def write(values: pa.Array) -> pa.Array:
         return pa.array([encode(v) for v in values.to_pylist()], pa.binary())
@@ -230,6 +234,7 @@ def media_features(docs: DataFrame) -> DataFrame:
                     rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(media)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    text_batches(docs.sparkSession)
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
@@ -254,5 +259,6 @@ def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "serial", "number", "first_sample", "seconds", "data"])
 
+    text_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, media).mapInArrow(run, f"key {kind}, serial long, number long, first_sample long, seconds double, data binary").withColumnRenamed("key", key)

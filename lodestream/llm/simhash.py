@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, Scratch, broadcast_if_small, cut
+from .common import SMALL_IDS, Scratch, broadcast_if_small, cut, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -249,6 +249,7 @@ def simhash_components(docs: DataFrame, size: int = 3, most: int = 2) -> DataFra
     are ignored. A null or blank text has the fingerprint zero, linked like any other. Repeated rows stay
     repeated. A row with a null doc_id gets a row but lends its group no id. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     of = cut(fingerprints(docs, size))
     codes = cut(of.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(close_links(codes.select("fp"), most)).withColumnRenamed("node", "fp")

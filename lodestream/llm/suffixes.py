@@ -173,8 +173,11 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        found = [t if t is None or not c else without(t, c) for t, c in zip(texts.cast(pa.binary()).to_pylist(), cuts.to_pylist())]
-        return pa.array(found, pa.binary()).cast(pa.string())
+        found = []
+        for s in range(0, len(texts), 256):  # few texts at a time are Python objects
+            some = zip(texts.slice(s, 256).cast(pa.binary()).to_pylist(), cuts.slice(s, 256).to_pylist())
+            found.append(pa.array([t if t is None or not c else without(t, c) for t, c in some], pa.binary()).cast(pa.string()))
+        return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     spans = broadcast_if_small(spans, spans.count(), SMALL_IDS // 10)
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: The pre-tokens of a byte-level BPE; a fixed value, from the tokenizer library's documentation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Merged pre-tokens that a worker remembers before it forgets them all.
@@ -159,6 +161,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Other columns are ignored; a null or empty text has 0 bytes and tokens; repeated rows and null ids keep
     their rows; an empty table gives none. Nothing is shuffled. Broadcast: one entry a vocabulary string.
     """
+    text_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_batches
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -31,6 +31,8 @@ STEMS = (4, 5, 6, 7)
 QUOTES = "\"“”„«»‹›‘"
 REPORTING = frozenset("said says wrote quote quoted called sagte schrieb zitat zitiert nannte dit écrit cité appelé dijo escribió cita citado llamó".split())
 ADDRESS = frozenset("you your you're du dein ihr euch tu ton vous votre tú usted ustedes".split())
+#: Tokens whose match a worker remembers.
+REMEMBERED = 100_000
 #: Scores from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Features: constant, exact, misspelled, quoted, directed, share of words, distinct terms.
@@ -128,7 +130,7 @@ class Lexicon:
 
     def of(self, token: str) -> tuple[float, int] | None:
         """`match` of a token of lower-cased text, without the marks around it; remembered up to a bound."""
-        if len(self.known) > 500_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         word = token.strip(PUNCTUATION)
         hit = self.known[token] = self.match(word) if word else None
@@ -233,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     A document with several labels counts as toxic if one says so. Without labels of both kinds the model
     knows no terms and gives every text the share of toxic labels.
     """
+    text_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
