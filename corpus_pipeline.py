@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm import mixing, packing, simhash, suffixes, toxicity
-from lodestream.llm.common import shared_dir
+from lodestream.llm.common import fresh, shared_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document has, too."""
-    return suffixes.remove_repeats(docs).select(docs.columns)
+    return suffixes.remove_repeats(docs, names=(fresh(docs, "spans"), fresh(docs, "removed"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,14 @@ class Scratch:
         return cut(df)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many _ before it as it takes to differ from the columns of `df`."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only where the counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, WORD, broadcast_if_small, cut
+from .common import SMALL_IDS, WORD, broadcast_if_small, cut, fresh
 
 #: Documents of one source are rounded in random subgroups of about this many.
 SUBGROUP = 256
@@ -144,8 +144,9 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
 
     Copies are joined by doc_id; rows that repeat a doc_id share the copies of one of them.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = cut(copies.withColumnRenamed("doc_id", "_id"))
+    own, many, copy = fresh(docs, "id"), fresh(docs, "copies"), fresh(docs, "copy")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias(many)).where(F.col(many) > 0)
+    copies = cut(copies.withColumnRenamed("doc_id", own))
     copies = broadcast_if_small(copies, copies.count(), SMALL_IDS)
-    joined = docs.alias("d").join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    joined = docs.alias("d").join(copies, docs["doc_id"].eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, Scratch, broadcast_if_small, cut, text_batches
+from .common import SMALL_IDS, Scratch, broadcast_if_small, cut, fresh, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -345,5 +345,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Rows with a null doc_id stay. Few dropped ids are broadcast, many are joined.
     """
     found = similar_components(docs, size, similarity)
-    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, gone.count(), SMALL_IDS), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(broadcast_if_small(gone, gone.count(), SMALL_IDS), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, Scratch, broadcast_if_small
+from .common import SMALL_IDS, Scratch, broadcast_if_small, fresh, text_batches
 
 #: Words by which suffixes are sorted.
 PREFIX = 16
@@ -164,12 +164,15 @@ def without(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, names: tuple[str, str] = ("spans", "removed")) -> DataFrame:
     """`docs` with the repeated passages cut from the texts, and the columns spans and removed (words).
 
-    Documents without any stay as they are, with no spans and 0. Further columns stay.
+    Documents without any stay as they are, with no spans and 0. Further columns stay; those called like `names`
+    are replaced.
     """
-    spans = repeated_passages(docs, least).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    text_batches(docs.sparkSession)
+    doc, cuts = fresh(docs, "doc"), fresh(docs, "cuts")
+    spans = repeated_passages(docs, least).select(F.col("doc_id").alias(doc), F.col("spans").alias(cuts))
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -180,8 +183,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     spans = broadcast_if_small(spans, spans.count(), SMALL_IDS // 10)
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
-    joined = joined.withColumn("removed", F.coalesce(removed, F.lit(0)))
-    text = cleaned(F.col("text").cast("string"), F.col("_spans"))
-    return joined.withColumns({"text": text, "spans": F.coalesce("_spans", F.array().cast("array<struct<first:int,end:int>>"))}).drop("_doc", "_spans")
+    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col(doc), "left")
+    removed = F.aggregate(cuts, F.lit(0), lambda n, s: n + s["end"] - s["first"])
+    text = cleaned(F.col("text").cast("string"), F.col(cuts))
+    found = F.coalesce(cuts, F.array().cast("array<struct<first:int,end:int>>"))
+    return joined.withColumns({"text": text, names[0]: found, names[1]: F.coalesce(removed, F.lit(0))}).drop(doc, cuts)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, fresh, text_batches
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -280,6 +280,7 @@ def toxicity_by_labels(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without those that score `threshold` or more."""
+    """`docs` without those that score `threshold` or more; all their columns stay, a null text is empty."""
     terms, model = train(docs, labels)
-    return docs.withColumn("_score", score(F.col("text"), terms, model)).where(F.col("_score") < threshold).drop("_score")
+    name = fresh(docs, "score")
+    return docs.withColumn(name, score(F.col("text"), terms, model)).where(F.col(name) < threshold).drop(name)
