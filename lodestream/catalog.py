@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import activity, offline, serving
+from .plans import activity, offline, serving, tables
 
 #: The query that `entry` runs.
 FLAGSHIP = "item_stats"
-_ALL = activity.QUERIES | offline.QUERIES | serving.QUERIES
+_ALL = activity.QUERIES | offline.QUERIES | serving.QUERIES | tables.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
