@@ -261,82 +261,123 @@ def simhash_components(docs: DataFrame, size: int = 3, most: int = 2) -> DataFra
 
 # Near-duplicates by similarity.
 
-#: Bits of the code that decides, and those of the bands that find candidates.
-CODE_WORDS, BAND_WORDS, BAND = 8, 9, 24
-
-
-def bits_apart(similarity: float, bits: int = 64 * CODE_WORDS, slack: float = 1.25) -> int:
-    """Differing bits up to which two codes are linked: as many as sets of that Jaccard similarity and equal size
-    differ in on average, and `slack` standard deviations more."""
+#: 64-bit words of the SimHash code.
+CODE_WORDS = 8
+#: Bands of min-hashes that find candidates, and min-hashes in one: a pair at 0.8 shares none of them with a chance of 3e-6.
+BANDS, ROWS = 32, 5
+#: Rounds in which a band's texts are compared with one of them only, before all pairs left are.
+ROUNDS = 2
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+FLIPS, FACTORS = _DRAWN[0] << np.uint64(1), _DRAWN[1] << np.uint64(1) | np.uint64(1)
+JOINS = (_DRAWN[2] << np.uint64(1) | np.uint64(1)).reshape(BANDS, ROWS)
+
+
+def bits_apart(similarity: float, bits: int = 64 * CODE_WORDS, slack: float = 8.0) -> int:
+    """Differing bits up to which two codes may belong to sets of that Jaccard similarity: as many as sets of equal
+    size, which differ most, have on average, and `slack` standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def min_bands(h: np.ndarray) -> np.ndarray:
+    """The bands of a set of hashes, none for the empty set."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for s in range(0, len(h), 256):
+            np.minimum(least, ((h[s : s + 256, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
+        keys = (least.reshape(BANDS, ROWS) * JOINS).sum(axis=1) + GOLDEN * np.arange(BANDS, dtype=np.uint64)
+        keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+
+
 def _codes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """For each text its code, over distinct shingles, and bands of bits of a fingerprint of its distinct words."""
-    per_row = BAND_WORDS * 64 // BAND
+    """For each text the set of its shingles' hashes, a hash of that set, its code and its bands."""
     for batch in batches:
-        codes, bands = [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            text = text or b""
-            codes.append(majority(np.unique(hashes(shingles(text, size))), CODE_WORDS).tobytes())
-            words = majority(hashes(list(set(text.lower().split()))), BAND_WORDS)
-            parts = np.packbits(np.unpackbits(words.view(np.uint8), bitorder="little").reshape(per_row, BAND), axis=1, bitorder="little").astype(np.int64)
-            bands.append((parts @ (1 << np.arange(0, BAND, 8))) + (np.arange(per_row, dtype=np.int64) << BAND))
-        flat = pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * per_row, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), lists], ["doc_id", "code", "bands"])
+        for s in range(0, batch.num_rows, 256):
+            part = batch.slice(s, 256)
+            sets = [np.unique(hashes(shingles(t or b"", size))) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            codes = [majority(x, CODE_WORDS).tobytes() for x in sets]
+            lists = [_lists(x) for x in ([min_bands(x) for x in sets], [x.view(np.int64) for x in sets])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), pa.array(codes, pa.binary()), *lists], ["doc_id", "same", "code", "bands", "shingles"])
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots under one node whose codes are within `most` bits."""
     for batch in grouped(batches, 3):
         keys = [batch.column(c).to_numpy() for c in range(3)]
-        ids = batch.column(3).to_numpy()
-        codes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(ids), CODE_WORDS)
-        starts, ends = runs(*keys)
-        size = ends - starts
-        two = starts[size == 2]
-        near = two[np.bitwise_count(codes[two] ^ codes[two + 1]).sum(axis=1) <= most]
-        a, b = [ids[near]], [ids[near + 1]]
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-            order = np.argsort(gray_rank(codes[s:e, 0]), kind="stable")
-            if links := forest(e - s, close_pairs(codes[s:e][order], most)):
-                x, y = np.array(links).T
-                a.append(ids[s + order[x]])
-                b.append(ids[s + order[y]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        ids, root = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        codes = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(ids), CODE_WORDS)
+        for s, e in zip(*(x.tolist() for x in runs(*keys))):
+            at = s + np.argsort(gray_rank(codes[s:e, 0]), kind="stable")
+            for i, j in close_pairs(codes[at], most):
+                a, b = at[i], at[j]
+                apart = root[a] != root[b]
+                a, b = ids[a[apart]], ids[b[apart]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, node: int = 4096) -> DataFrame:
     """doc_id and component_id for near-duplicates: texts whose sets of `size`-word shingles are that similar.
 
-    Codes of 512 bits over the shingles decide, see `bits_apart`. A pair is a candidate if any of 24 bands of 24
-    bits agree in their fingerprints of distinct words, which a few changed words hardly move; each band's value
-    is a node, below which codes stand in Gray order. A node of more than `node` codes is searched by pairs of
-    blocks. Null and empty texts are alike; rows with a null doc_id take no part; repeated rows stay.
+    Every link is decided by the Jaccard similarity of the sets themselves (of 64-bit hashes). A pair is a candidate
+    if any band of min-hashes of the shingles agrees. Texts of one set are one node. In the first rounds a band's
+    texts are compared with one of them, so large groups of copies join without all their pairs; then all pairs of
+    a band that are not joined yet and whose SimHash codes allow the similarity, searched in Gray order, a band of
+    more than `node` codes by pairs of blocks. Null and empty texts are alike; rows with a null doc_id take no
+    part; repeated rows stay.
     """
     with Scratch(docs.sparkSession) as scratch:
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, code binary, bands array<long>"), "codes")
-        named = of.withColumn("same", F.xxhash64("bands"))
-        groups = named.groupBy("code", "same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-        groups = scratch.table(groups, "groups")
-        keyed = groups.select(F.explode("bands").alias("band"), "id", "code")
-        hot = cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > node).select("band", F.ceil(F.col("n") / node).cast("int").alias("blocks")))
-        many = hot.count()
-        whole = keyed.withColumns({"low": F.lit(0), "high": F.lit(0)})
-        if many:
-            small = broadcast_if_small(hot, many, SMALL_KEYS)
-            whole = whole.join(small.select("band"), "band", "left_anti")
-            dealt = keyed.join(small, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            whole = whole.unionByName(dealt.select("band", "id", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
-        whole = whole.select("band", "low", "high", "id", "code").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-        most = bits_apart(similarity)
-        roots = connected_components(scratch.table(whole.mapInArrow(lambda b: _similar(b, most), "a long, b long").distinct(), "links"))
-        names = groups.select("code", F.xxhash64("bands").alias("same"), "id").join(roots, F.col("id") == F.col("node"), "left")
-        names = names.select("code", "same", F.coalesce("root", "id").alias("component_id"))
-        return scratch.result(named.select("doc_id", "code", "same").join(names, ["code", "same"]).select("doc_id", "component_id"))
+        of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, same long, code binary, bands array<long>, shingles array<long>"), "codes")
+        groups = scratch.table(of.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("code").alias("code")), "groups")
+        keyed = groups.select(F.explode("bands").alias("band"), "same")
+        shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = scratch.table(keyed.join(shared, "band"), "keyed")
+        met = keyed.select("same").distinct()
+        sets = scratch.table(of.select("same", "shingles").join(met, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
+
+        def alike(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.select(F.col("same").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("shingles").alias("y")), "b")
+            small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+            fits = both.where(small >= similarity * large - 1e-9)
+            return fits.where(F.size(F.array_intersect("x", "y")) * (1 + similarity) >= similarity * (small + large) - 1e-9).select("a", "b")
+
+        none = docs.sparkSession.createDataFrame([], "a long, b long")
+        tried, edges = none, none
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
+        for k in range(ROUNDS + 1):
+            now = keyed.join(roots, F.col("same") == F.col("node"), "left").select("band", "n", "same", F.coalesce("root", "same").alias("root"))
+            first = F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "root")).alias("c")
+            open_ = now.groupBy("band").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "c")
+            if k < ROUNDS:
+                found = now.join(open_, "band").where("root != c.root").select(F.least("same", "c.same").alias("a"), F.greatest("same", "c.same").alias("b"))
+            else:
+                left = now.join(open_.select("band"), "band", "left_semi").join(groups.select("same", "code"), "same")
+                blocks = F.ceil(F.col("n") / node).cast("int")
+                left = left.withColumn("own", F.pmod(F.xxhash64("same"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                left = left.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "same", "root", "code")
+                most = bits_apart(similarity)
+                found = left.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(lambda b: _similar(b, most), "a long, b long")
+            found = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
+            if found.isEmpty():
+                continue
+            tried = tried.unionByName(found)
+            more = cut(alike(found))
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                roots = connected_components(edges)
+        names = groups.join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))
+        least = names.groupBy("root").agg(F.min("id").alias("component_id"))
+        names = names.join(least, "root").select("same", "component_id")
+        return scratch.result(of.select("doc_id", "same").join(names, "same").select("doc_id", "component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

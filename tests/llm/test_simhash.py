@@ -126,3 +126,26 @@ def test_hot_bands_lose_nothing(spark):
     rows = [(i, base + f" tail{i}", "a") for i in range(120)]
     got = simhash.similar_components(documents(spark, rows), node=16).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_appended_and_cut_texts_are_found_and_links_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows, of = [], {}
+    for n in range(150):  # mostly distinct words; the first copy is appended to, down to a similarity of 0.8
+        size = int(rng.integers(60, 400))
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 2 * size)]
+        for similarity in (1.0, rng.uniform(0.8, 0.95), rng.uniform(0.68, 0.78)):
+            whole = size - 4
+            longer = int(whole / similarity) if similarity >= 0.8 else -int(-whole / similarity)
+            text = " ".join(words[: longer + 4]) if similarity >= 0.8 else " ".join(words[:size] + [f"x{x}" for x in rng.integers(0, 1 << 40, longer - whole)])
+            of[len(rows)] = sets(text)
+            rows.append((len(rows), text, "a"))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(documents(spark, rows)).collect()}
+    links = []
+    for n in range(0, len(rows), 3):
+        for a, b in ((n, n + 1), (n, n + 2), (n + 1, n + 2)):
+            if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
+                links.append((a, b))
+    assert len(links) >= 150 and len({b for a, b in links if b % 3 == 2}) < 20
+    want = roots(list(of), links)
+    assert got == {d: want[d] for d in of}
