@@ -4,7 +4,7 @@ A document's full windows are sequences of their own. What is left of it, its ta
 tails most like it fill: shards of tails each have an inverted index of token ids with BM25 weights, whose
 document frequencies come from all documents; the seed is the query, and the best neighbours not used yet go
 into its window until it is full. The last one is cut; its rest seeds the next window. Tails are dealt to
-shards in the order of a min-hash of their ids, so similar ones meet in one shard.
+shards in the order of a min-hash of their telling ids, so similar ones meet in one shard.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .tokens import id_encoder
 #: Tails in a shard, each shorter than a window: that bounds a shard's index.
 SHARD = 512
 K1, B = 1.2, 0.75
+#: Share of the documents from which on an id tells little.
+COMMON = 0.1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -43,13 +45,10 @@ def _pieces(rows: list[tuple], payload: bool) -> pa.RecordBatch:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, window: int, payload: bool) -> Iterator[pa.RecordBatch]:
-    """Pieces of full windows, tails (with ids and mark), and at the end this task's document frequencies."""
+    """Pieces of full windows, tails with their ids, and at the end this task's document frequencies."""
     encoder, number = id_encoder(path), _numbers()
     df = np.zeros(encoder.size, np.int64)
     docs = words = 0
-    salt = np.arange(encoder.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    salt ^= salt >> np.uint64(29)
-    salt *= np.uint64(0xBF58476D1CE4E5B9)
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
@@ -63,13 +62,13 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, window: int, payload
                 full.extend((doc, at, ids[at : at + window], n, next(number), 0) for at in range(0, cut, window))
                 if cut < n:
                     tail = ids[cut:]
-                    tails.append((doc, cut, tail.astype("<u4").tobytes(), n, int(salt[tail].min() >> np.uint64(1))))
+                    tails.append((doc, cut, tail.astype("<u4").tobytes(), n))
             yield _kinds(_pieces(full, payload), tails, None)
     yield _kinds(None, [], (df, docs, words))
 
 
 def _kinds(full: pa.RecordBatch | None, tails: list[tuple], stats: tuple | None) -> pa.RecordBatch:
-    """One batch of the three kinds of rows: kind, piece, tail, mark, payload of statistics."""
+    """One batch of the three kinds of rows: kind, piece, tail, payload of statistics."""
     n, m, k = full.num_rows if full else 0, len(tails), stats is not None
     total = n + m + k
     nulls = lambda kind, size: pa.nulls(size, kind)
@@ -84,9 +83,8 @@ def _kinds(full: pa.RecordBatch | None, tails: list[tuple], stats: tuple | None)
         cols.append(pa.concat_arrays([*own, rest]))
     ids = [full.column(len(FIELDS))] if n and full.num_columns > len(FIELDS) else [nulls(pa.binary(), n)]
     cols.append(pa.concat_arrays([*ids, pa.array([t[2] for t in tails] + ([stats[0].astype("<i8").tobytes()] if k else []), pa.binary())]))
-    cols.append(pa.array([None] * n + [t[4] for t in tails] + [None] * k, pa.int64()))
     assert all(len(c) == total for c in cols)
-    return pa.RecordBatch.from_arrays(cols, ["kind", *FIELDS, "ids", "mark"])
+    return pa.RecordBatch.from_arrays(cols, ["kind", *FIELDS, "ids"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +95,37 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
 
 
+def ranks(df: np.ndarray, many: int) -> np.ndarray:
+    """A place for each id in a random order that favours rare ones, by the square of their idf.
+
+    Behind them stand the ids of more than COMMON of the documents and those of one alone, which tell no two
+    tails apart or bring none together, and last id 0, which ends every tail.
+    """
+    x = np.arange(1, len(df) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    drawn = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)
+    telling = (df > 1) & (df <= COMMON * many)
+    telling[0] = False
+    key = drawn / np.where(telling, np.log1p((many - df + 0.5) / (df + 0.5)), 1.0) ** 2
+    order = np.lexsort((key, np.where(telling, 0, 1) + (np.arange(len(df)) == 0)))
+    place = np.empty(len(df), np.int64)
+    place[order] = np.arange(len(df))
+    return place
+
+
+def _marked(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch]:
+    """Adds the mark: the first three places among a tail's ids, as one number."""
+    size = len(place.value)
+    for batch in batches:
+        marks = []
+        for blob in batch.column(2).to_pylist():
+            least = np.unique(place.value[np.frombuffer(blob, "<u4")])[:3].tolist()
+            a, b, c = (least + least[-1:] * 2)[:3]
+            marks.append((a * size + b) * size + c)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["doc_id", "start", "ids", "doc_tokens", "mark"])
+
+
 class Shard:
     """The inverted index of some tails."""
 
@@ -204,10 +233,10 @@ def pack(docs: DataFrame, path: str, window: int = 1024, ids: bool = False) -> D
     0; a null text is empty and has that id alone. Every row of docs is a document, repeated ones too; a null
     doc_id is kept. `start` counts the document's ids before the piece, `offset` the sequence's. A sequence is
     full, or has a power of two of ids: nothing is padded. `ids` adds the ids themselves (little-endian,
-    32 bits). An empty table gives no rows. Broadcast: one weight a vocabulary entry.
+    32 bits). An empty table gives no rows. Broadcast: one weight and one place a vocabulary entry.
     """
     spark = docs.sparkSession
-    table = f"kind int, {PIECE}, ids binary, mark long"
+    table = f"kind int, {PIECE}, ids binary"
     with Scratch(spark) as scratch:
         raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _tokenise(b, path, window, ids), table)
         cut = scratch.table(raw, "cut")
@@ -220,7 +249,9 @@ def pack(docs: DataFrame, path: str, window: int = 1024, ids: bool = False) -> D
             df[term] = count  # at most one row a vocabulary entry
         idf = spark.sparkContext.broadcast(np.log1p((many - df + 0.5) / (df + 0.5)))
         mean = total / many if many else 1.0
-        tails = cut.where("kind = 1").select("doc_id", "start", "ids", "doc_tokens", "mark")
+        place = spark.sparkContext.broadcast(ranks(df, many))
+        tails = cut.where("kind = 1").select("doc_id", "start", "ids", "doc_tokens")
+        tails = tails.mapInArrow(lambda b: _marked(b, place), "doc_id long, start long, ids binary, doc_tokens long, mark long")
         tails = tails.repartitionByRange("mark", "doc_id", "start").sortWithinPartitions("mark", "doc_id", "start").drop("mark")
         fields = PIECE + ", ids binary" * ids
         packed = tails.mapInArrow(lambda b: _pack(b, window, idf, mean, ids), fields)

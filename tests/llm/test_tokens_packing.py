@@ -97,6 +97,19 @@ def test_neighbours_share_windows(spark):
     assert same > 0.7
 
 
+def test_neighbours_of_far_ids_share_windows(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    topics = [["".join(rng.choice(letters, 7)) for _ in range(40)] for _ in range(200)]
+    rows = [(n, " ".join(rng.choice(topics[n % 200], 50)), "a") for n in range(3000)]  # several shards; a topic's ids are 200 apart
+    pieces = packing.pack(documents(spark, rows).coalesce(1), PATH, window=1024).collect()
+    windows = defaultdict(list)
+    for p in pieces:
+        windows[p.sequence_id].append(p.doc_id % 200)
+    same = sum(max(map(w.count, set(w))) for w in windows.values()) / sum(map(len, windows.values()))
+    assert same > 0.75
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 10, 257, 1000])
 def test_feistel_is_a_permutation(total):
     index = np.arange(total)
