@@ -176,11 +176,14 @@ def learn_terms(labelled: DataFrame, least: int = 5, ratio: float = 1.5) -> dict
 
     labelled: text, label. Words and stems are counted once a document. A term needs `least` toxic documents, a
     log ratio of `ratio`, and a likelihood ratio that chance over so many terms would not give. Stems that
-    explain as much replace the words they begin.
+    explain as much replace longer stems. Words stay beside their stems, which allow no edits.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    stems = [F.transform(F.filter(F.col("words"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    terms = labelled.select("label", words.alias("words")).select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
+
+    def stems(n: int) -> Column:  # a second parameter of the lambdas would be the index in the array
+        return F.transform(F.filter(F.col("words"), lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    terms = labelled.select("label", words.alias("words")).select("label", F.explode(F.array_distinct(F.concat("words", *map(stems, STEMS)))).alias("term"))
     n, p = labelled.agg(F.count("*"), F.sum("label")).first()
     p, n = float(p or 0), float(n)
     if not p or p == n:
@@ -194,7 +197,7 @@ def learn_terms(labelled: DataFrame, least: int = 5, ratio: float = 1.5) -> dict
     out: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term.rstrip("*")), not r.term.endswith("*"), r.term)):
         letters = r.term.rstrip("*")
-        if not any(out.get(letters[:k] + "*", -1.0) > r.up - 0.7 for k in STEMS if k <= len(letters)):
+        if not r.term.endswith("*") or not any(out.get(letters[:k] + "*", -1.0) > r.up - 0.7 for k in STEMS if k <= len(letters)):
             out[r.term] = float(r.up)
     return out
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -40,6 +41,30 @@ def test_quotation_is_told_from_abuse():
     assert plain[3] == plain[4] == 0 and quoted[3] > 0 and said[3] > 0 and directed[4] > 0 and directed[3] == 0
 
 
+def planted(spark, insults, toxic, calm):
+    """Documents of invented words, `toxic` of them with one insult each, and their labels."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("aeioulnst", k=rng.randint(3, 9))) for _ in range(300)]
+    rows = [(n, " ".join([*rng.choices(plain, k=20), insults[n % len(insults)] if n < toxic else "", *rng.choices(plain, k=10)]), int(n < toxic)) for n in range(toxic + calm)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), plain
+
+
+def test_misspelled_learned_terms_are_found(spark):
+    insults = ["grumbkopf", "vermhund", "drexwurm", "blorg"]
+    training = [*insults * 6, "grumbkpof", "vermhnud", "drexwrum", "blxorg"]
+    docs, labels, plain = planted(spark, training, 560, 840)
+    terms, model = toxicity.train(docs, labels)
+    assert {*insults, "grum*", "verm*", "drex*"} <= set(terms) and "grumb*" not in terms
+    lexicon = toxicity.Lexicon(terms)
+    wrong = ["rgumbkopf", "gumbkopf", "gxumbkopf", "evrmhund", "vrmhund", "vexmhund", "rdexwurm", "dexwurm", "dxexwurm", "borg", "bloxg"]
+    for w in wrong:
+        assert lexicon.match(w)[1] > 0, w
+    texts = spark.createDataFrame([(i, " ".join([*plain[i : i + 20], w])) for i, w in enumerate([*wrong, ""])], "doc_id long, text string")
+    got = [r.score for r in texts.orderBy("doc_id").select(toxicity.score(F.col("text"), terms, model).alias("score")).collect()]
+    assert min(got[:-1]) >= toxicity.THRESHOLD > got[-1]
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     d = "/root/testdata/sf0.1"
