@@ -21,8 +21,6 @@ from .common import cut, fresh, text_batches
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 LABELLED = 20_000
-#: At most so many terms.
-TERMS = 2_000
 #: Words on either side that make a hit's context.
 WINDOW = 6
 #: Lengths of the stems considered besides whole words.
@@ -193,7 +191,7 @@ def learn_terms(labelled: DataFrame, least: int = 5, ratio: float = 1.5) -> dict
     share = F.col("pos") / F.col("all")
     gain = 2 * (F.col("pos") * F.log(share / (p / n)) + F.when(F.col("all") > F.col("pos"), (F.col("all") - F.col("pos")) * F.log((1 - share) / (1 - p / n))).otherwise(0.0))
     best = counts.where(F.col("pos") >= least).select("term", "pos", "all", up.alias("up"), gain.alias("gain")).where((F.col("up") >= ratio) & (F.col("gain") >= 25))
-    rows = best.orderBy(F.col("gain").desc(), "term").limit(TERMS).collect()
+    rows = best.collect()  # bounded by LABELLED: each term is in `least` labelled texts or more
     out: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term.rstrip("*")), not r.term.endswith("*"), r.term)):
         letters = r.term.rstrip("*")

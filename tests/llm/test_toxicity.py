@@ -65,6 +65,14 @@ def test_misspelled_learned_terms_are_found(spark):
     assert min(got[:-1]) >= toxicity.THRESHOLD > got[-1]
 
 
+def test_no_term_that_passes_is_lost(spark):
+    rng = random.Random(8)
+    insults = ["".join(rng.choices("bcdfghjkmpqvwxz", k=9)) for _ in range(500)]
+    rows = [(int(n < 200), " ".join(insults[(30 * n + i) % 500] for i in range(30)) if n < 200 else "aeio ulna stein") for n in range(1000)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "label long, text string"))
+    assert set(insults) <= set(terms)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     d = "/root/testdata/sf0.1"
