@@ -1,12 +1,23 @@
 """Passages that repeat across documents, found through sparse suffix arrays.
 
 Of the suffixes of a document (its words from some word on) only those at minimisers are kept: in every run of
-`least` words, the place whose next PREFIX words hash lowest. Equal passages of `least` words select the same
-place, so suffixes that begin with the same words meet when they are sorted by their beginnings; one whose
-neighbours all differ is dropped. A match is extended to the left and right: each run of `least` words that a
-kept suffix stands for, from the leftmost to the rightmost that contains its beginning, is compared with those
-of its neighbours. The result is exact: a word is repeated if it lies in a run of `least` words that a document
-with a smaller id has, too.
+`least` words, the place whose next PREFIX words hash lowest. Equal runs select the same place, so a suffix owns the
+runs that selected it, and they reach from some words to its left to some words to its right.
+
+1. Suffixes are range-sorted by a hash of their first PREFIX words; one whose neighbours are all of its own document
+   is dropped.
+2. What is left gets its words, to the right and, backwards, to the left, as far as the runs that it owns. They are
+   range-sorted by those words: the suffix array. Equal ones stand together, their smallest document first, and
+   the others repeat it. Distinct neighbours are compared word by word: the match is extended to the right and to the
+   left, and decides the runs that it covers. Words that a suffix shares with neither neighbour it shares
+   with none: runs that would need more of them are dropped.
+3. Runs still open, which may match a suffix further off, are range-sorted by a 128-bit hash of their words; the
+   first document of a run keeps it, the others repeat it.
+
+Each sort deals by ranges that end with the document, so that a passage or line that very many documents share is
+spread over tasks; what the ends of a range cannot see is kept for the next step, or settled by a join of the ranges'
+ends. The result is exact: a word is repeated if it lies in a run of `least` words that a document with a smaller id
+has, too. Only two runs with one 128-bit hash would be confused: among 1e13 runs with a chance below 2e-13.
 """
 
 from __future__ import annotations
@@ -17,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_IDS, Scratch, broadcast_if_small, fresh, text_batches
 
-#: Words by which suffixes are sorted.
+#: Words by which suffixes are first sorted.
 PREFIX = 16
 #: Words in a passage that counts as repeated.
 LEAST = 50
@@ -31,14 +43,15 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
+#: Rows in a batch that goes back to Spark.
+BATCH = 4096
 
 _words: dict[bytes, int] = {}
 _powers = {"down": np.ones(1, np.uint64), "up": np.ones(1, np.uint64)}
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """A 64-bit hash for each word, with A-Z in lower case."""
-    words = (text or b"").lower().split()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash for each word."""
     if len(_words) > REMEMBERED:
         _words.clear()
     for w in [w for w in set(words) if w not in _words]:
@@ -60,74 +73,222 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Runs:
-    """Hashes of all runs of a document's words, from one running sum."""
+def starts_of(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of `length` words from every place, from one running sum."""
+    n = len(words)
+    total = np.r_[np.uint64(0), np.cumsum(words * _power(INVERSE, "down", n), dtype=np.uint64)]
+    at = np.arange(n - length + 1)
+    return mixed((total[at + length] - total[at]) * _power(BASE, "up", n)[at])
 
-    def __init__(self, words: np.ndarray):
-        self.n = len(words)
-        self.sum = np.r_[np.uint64(0), np.cumsum(words * _power(INVERSE, "down", self.n), dtype=np.uint64)]
 
-    def of(self, start: np.ndarray, length: int) -> np.ndarray:
-        return mixed((self.sum[start + length] - self.sum[start]) * _power(BASE, "up", self.n)[start])
-
-
-def selected(runs: Runs, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of `least` words its selected place, and the hashes of the PREFIX words from every place."""
+def selected(words: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The kept places, the first and last start of the runs that each owns, and the hash of its first words."""
     prefix = min(PREFIX, least)
-    hashes = runs.of(np.arange(runs.n - prefix + 1), prefix)
+    hashes = starts_of(word_hashes(words), prefix)
     window = np.lib.stride_tricks.sliding_window_view(hashes, least - prefix + 1)
-    return np.arange(len(window)) + window.argmin(axis=1), hashes
+    place, first = np.unique(np.arange(len(window)) + window.argmin(axis=1), return_index=True)
+    return place, first, np.r_[first[1:], len(window)] - 1, hashes[place]
+
+
+def split_words(text: bytes | None) -> list[bytes]:
+    """The words of a text, with A-Z in lower case."""
+    return (text or b"").lower().split()
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 512):
             part = batch.slice(s, 512)
-            keys, docs, places = [np.empty(0, np.uint64)], [], []
+            keys, docs, places = [], [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                words = word_hashes(text)
-                if len(words) < least:
-                    continue
-                at, hashes = selected(Runs(words), least)
-                at = np.unique(at)
-                keys.append(hashes[at])
-                places.append(at)
-                docs.append(np.full(len(at), doc))
+                words = split_words(text)
+                if len(words) >= least:
+                    at, _, _, hashes = selected(words, least)
+                    keys.append(hashes)
+                    places.append(at)
+                    docs.append(np.full(len(at), doc))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc_id", "place"])
 
 
-def _extended(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The runs that the kept suffixes of each document stand for."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and document those whose key another document has, too.
+
+    The first and the last key of a range stay whatever they are: the range before or after may have them.
+    """
+    held: list[np.ndarray] = []
+    first = True
+
+    def kept(cols: list[np.ndarray], all_of_last: bool) -> pa.RecordBatch:
+        nonlocal first
+        key, doc, place = cols
+        new = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        many = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
+        many[0] |= first
+        many[-1] |= all_of_last
+        first = False
+        keep = many[group]
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep])], ["doc_id", "place"])
+
     for batch in batches:
-        for s in range(0, batch.num_rows, 128):
-            part = batch.slice(s, 128)
-            out, docs, starts = [], [], []
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in range(3)]
+        held = [np.concatenate([a, b]) for a, b in zip(held, cols)] if held else cols
+        key, doc = held[:2]
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield kept([c[:last] for c in held], False)
+            held = [c[last:] for c in held]
+        elif len(key) > BATCH and doc[-1] > doc[0]:  # a long run of one key is known to be shared, by the row that stays held
+            yield kept([c[:-1] for c in held], True)
+            held, first = [c[-1:] for c in held], True
+    if held:
+        yield kept(held, True)
+
+
+CONTEXT = "right binary, left binary, doc_id long, place int, before int, after int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The words to the right of each kept suffix and, backwards, to its left, as far as the runs that it owns.
+
+    Runs begin `after` to `before` words to the left of the place.
+    """
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["right", "left", "doc_id", "place", "before", "after"]
+    for batch in batches:
+        for s in range(0, batch.num_rows, 64):
+            part = batch.slice(s, 64)
+            rows = []
             for doc, text, kept in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2)):
-                words = word_hashes(text)
+                words = split_words(text)
                 if len(words) < least:
                     continue
-                runs = Runs(words)
-                at, _ = selected(runs, least)
-                keep = np.zeros(runs.n, bool)
-                places = kept.values.to_numpy()
-                keep[places[places < runs.n]] = True
-                start = np.flatnonzero(keep[at])
-                out.append(runs.of(start, least))
-                starts.append(start)
-                docs.append(np.full(len(start), doc))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int32))], ["run", "doc_id", "start"])
+                place, low, high, _ = selected(words, least)
+                own = np.isin(place, kept.values.to_numpy())
+                for p, a, b in zip(place[own].tolist(), low[own].tolist(), high[own].tolist()):
+                    rows.append((b" ".join(words[p : b + least]), b" ".join(words[a:p][::-1]), doc, p, p - a, p - b))
+            for at in range(0, len(rows), BATCH):
+                some = rows[at : at + BATCH]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names)
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many whole words two texts have in common at their beginnings."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    same = n - -(-differ.bit_length() // 8)
+    if same == n and n and (len(a) == n or a[n : n + 1] == b" ") and (len(b) == n or b[n : n + 1] == b" "):
+        return a.count(b" ", 0, n) + 1
+    return a.count(b" ", 0, same)
+
+
+FOUND = "kind int, doc_id long, first int, last int, h1 long, h2 long"
+FOUND_NAMES = ["kind", "doc_id", "first", "last", "h1", "h2"]
+#: Kinds of rows: repeated runs from the starts first to last; an open run at first; the end of a range of runs.
+REPEATED, OPEN, END = 0, 1, 2
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], FOUND_NAMES)
+
+
+def _matched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Decides runs by the neighbours in the suffix array; hashes those that are left open."""
+    out: list[tuple] = []
+
+    def close(group: dict, next_words: int) -> None:
+        """The suffixes of the group's first document: what no neighbour decided is open."""
+        widest = max(group["words"], next_words)
+        for place, before, after in group["places"]:
+            done = np.zeros(before - after + 1, bool)  # by words between the run's start and the place, from `after`
+            for low, high in group["decided"]:
+                low, high = max(low, after), min(high, before)
+                if low <= high:
+                    done[low - after : high - after + 1] = True
+                    out.append((REPEATED, group["doc"], place - high, place - low, None, None))
+            left = [a for a in range(max(after, least - widest), before + 1) if not done[a - after]]
+            if not left:
+                continue
+            words = group["left"].split()[::-1] + group["right"].split()
+            text = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            begins = ends - [len(w) + 1 for w in words]
+            for a in left:
+                s = before - a
+                digest = xxhash.xxh3_128_digest(text[begins[s] : ends[s + least - 1] - 1])
+                out.append((OPEN, group["doc"], place - a, None, int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)))
+
+    group = None
+    for batch in batches:
+        for right, left, doc, place, before, after in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if group is not None and right == group["right"] and left == group["left"]:
+                if doc == group["doc"]:
+                    group["places"].append((place, before, after))
+                else:
+                    out.append((REPEATED, doc, place - before, place - after, None, None))
+                continue
+            new = {"right": right, "left": left, "doc": doc, "places": [(place, before, after)], "decided": [], "words": least}
+            if group is not None:
+                r, l = common_words(right, group["right"]), common_words(left, group["left"])  # noqa: E741
+                new["words"] = r
+                if r + l >= least and doc != group["doc"]:
+                    (new if doc > group["doc"] else group)["decided"].append((least - r, l))
+                close(group, r)
+            group = new
+        if len(out) >= BATCH:
+            yield _found(out)
+            out.clear()
+    if group is not None:
+        close(group, least)  # what comes in the next range is not known
+    if out:
+        yield _found(out)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by hash, document and start those that a smaller document of the same range has, too.
+
+    The smallest document of the range's first run may have a smaller one in a range before: it stays open. The
+    first and last run of the range, with their smallest document here, are its ends.
+    """
+    run = least = None
+    in_first = True
+    for batch in batches:
+        out: list[tuple] = []
+        for h1, h2, doc, start in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if (h1, h2) != run:
+                if run is None:
+                    out.append((END, doc, TaskContext.get().partitionId(), None, h1, h2))
+                else:
+                    in_first = False
+                run, least = (h1, h2), doc
+            if doc > least:
+                out.append((REPEATED, doc, start, start, None, None))
+            elif in_first:
+                out.append((OPEN, doc, start, TaskContext.get().partitionId(), h1, h2))
+        if out:
+            yield _found(out)
+    if run is not None and not in_first:
+        yield _found([(END, least, TaskContext.get().partitionId(), None, *run)])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Joins the starts of each document's repeated runs to spans of words."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         rows = []
-        for starts in batch.column(1):
-            at = np.unique(starts.values.to_numpy())
-            new = np.flatnonzero(np.diff(at) > least) + 1
-            rows.append([{"first": int(a), "end": int(b) + least} for a, b in zip(at[np.r_[0, new]], at[np.r_[new - 1, len(at) - 1].astype(int)])])
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+        for runs in batch.column(1).to_pylist():
+            spans: list[dict] = []
+            for r in sorted(runs, key=lambda r: r["first"]):
+                if spans and r["first"] <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], r["last"] + least)
+                else:
+                    spans.append({"first": r["first"], "end": r["last"] + least})
+            rows.append(spans)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
 
@@ -136,18 +297,31 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Words are separated by spaces and the controls 9-13, and
     compared with A-Z in lower case. Null and short texts have no passage, rows with a null doc_id take no
-    part, rows that repeat a doc_id count as one document.
+    part, rows that repeat a doc_id count as one document. An empty table gives no rows.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with Scratch(docs.sparkSession) as scratch:
         suffixes = scratch.table(texts.mapInArrow(lambda b: _suffixes(b, least), "key long, doc_id long, place int"), "suffixes")
-        shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-        kept = suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+        order = ["key", "doc_id", "place"]
+        kept = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "doc_id long, place int")
+        kept = scratch.table(kept.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "kept")
+        scratch.drop("suffixes")
         joined = texts.join(kept, "doc_id").select("doc_id", "text", "places")
-        runs = scratch.table(joined.mapInArrow(lambda b: _extended(b, least), "run long, doc_id long, start int"), "runs")
-        first = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
-        later = runs.join(first, "run").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-        return scratch.result(later.mapInArrow(lambda b: _spans(b, least), "doc_id long, spans array<struct<first:int,end:int>>"))
+        array = scratch.table(joined.mapInArrow(lambda b: _contexts(b, least), CONTEXT), "array")
+        order = ["right", "left", "doc_id", "place"]
+        ordered = array.repartitionByRange(*order).sortWithinPartitions(*order)
+        matched = scratch.table(ordered.mapInArrow(lambda b: _matched(b, least), FOUND), "matched")
+        scratch.drop("array")
+        order = ["h1", "h2", "doc_id", "first"]
+        runs = matched.where(F.col("kind") == OPEN).select(*order)
+        decided = scratch.table(runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later, FOUND), "decided")
+        ends = decided.where(F.col("kind") == END).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+        late = decided.where(F.col("kind") == OPEN).join(ends, ["h1", "h2"]).where("doc_id > least").select("doc_id", "first", F.col("first").alias("last"))
+        every = late
+        for part in (matched, decided):
+            every = every.unionByName(part.where(F.col("kind") == REPEATED).select("doc_id", "first", "last"))
+        spans = every.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        return scratch.result(spans.mapInArrow(lambda b: _spans(b, least), "doc_id long, spans array<struct<first:int,end:int>>"))
 
 
 WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
