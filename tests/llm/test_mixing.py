@@ -79,3 +79,26 @@ def test_copies(spark):
 
 def test_one_source_alone(spark):
     check(documents(spark, [(i, "a b " * (i + 1), "only") for i in range(30)]), 0.02)
+
+
+def test_rows_without_or_with_one_id_come_near_the_target(spark):
+    rows = [(None, "w " * (1 + i % 9), "a") for i in range(1000)] + [(7, "one two three", "b") for _ in range(1000)] + [(10_000 + i, "x " * (1 + i % 7), "c") for i in range(900)]
+    docs = documents(spark, rows)
+    out = check(docs, 0.01)
+    mixed = Counter(r.source for r in mixing.materialise(docs).collect() for _ in r.text.split())
+    for s in "abc":
+        target = next(r.target for r in out if r.source == s)
+        assert abs(mixed[s] - target) <= 0.01 * target + 9
+
+
+def test_one_large_group_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(3, "one two", "a")] * 1000 + [(i + 10, "one two three", "b") for i in range(500)]
+    docs = documents(spark, rows)
+    out = check(docs, 0.01)
+    words = sum(r.taken for r in out if r.source == "a")
+    assert abs(2 * mixing.materialise(docs).where("source = 'a'").count() - words) <= 0.02 * words
+
+
+def test_many_sources(spark):
+    check(documents(spark, [(i, "w " * (1 + i % 5), f"s{i % 37}" if i % 37 else None) for i in range(4000)]), 0.01)
