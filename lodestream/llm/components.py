@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SMALL_IDS, broadcast_if_small, cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round links every node to the smallest node of its neighbourhood; rounds are logarithmic in the
     number of nodes. A node with very many neighbours is only ever the key of a pre-aggregated minimum and of
-    a sort-merge join, whose large partitions Spark splits. Loops, repeated edges and nulls are ignored.
+    a join with a table of minima of its own, which is broadcast while it is small; beyond, the join's two sides have
+    shuffles of their own, so that Spark may split a large partition. Loops, repeated edges and nulls are ignored. No edges give no rows.
     """
     pairs = edges.where("a is not null and b is not null and a != b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -22,12 +23,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour goes to the smallest of the closed neighbourhood
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.join(broadcast_if_small(least, least.count(), SMALL_IDS), "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = cut(large)
         # small star: a node's smaller neighbours go to the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = large.join(broadcast_if_small(least, least.count(), SMALL_IDS), "b")
         after = small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(least.select(F.col("m").alias("a"), "b"))
         after = cut(after.distinct())
         change = after.join(pairs, ["a", "b"], "left_anti").isEmpty() and pairs.join(after, ["a", "b"], "left_anti").isEmpty()

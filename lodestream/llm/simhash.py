@@ -1,11 +1,12 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
 A fingerprint bit is the majority vote of that bit over the hashes of a text's word shingles. The index has
-nodes that are masked bit patterns. Its upper nodes are dealt out by Spark: a mask keeps some blocks of the
-fingerprint, and all codes that agree on the kept bits lie under one node. Below such a node the codes stand
-in Gray order, where neighbours differ in few bits; runs of them form nodes too, each with the bits that all
-its codes share. A search walks two nodes at a time and drops the pair, with everything below it, once the
-shared bits in which they differ exceed the distance allowed.
+nodes that are masked bit patterns. Its upper nodes are dealt out by Spark: a mask keeps the first bits of one of three
+blocks, just as many as leave about FILL codes under a node, and all codes that agree on them lie under it; two codes
+within two bits agree on a block. Below such a node the codes stand in Gray order, where neighbours differ in few
+bits; runs of them form nodes, and runs of nodes form nodes, each with the bits that all its codes share. A search
+walks two nodes at a time from the top, adds up the shared bits in which they differ, and drops the pair, with
+everything below it, once they exceed the distance allowed.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import SMALL_IDS, Scratch, broadcast_if_small, cut, fresh, text_bat
 from .components import connected_components
 
 SEED = 42
-#: Codes under one node that a single task searches; larger nodes get more mask bits.
-NODE = 512
+#: Codes that an upper node holds on average, and codes that it may hold; a larger one gets more mask bits.
+FILL, NODE = 1024, 16_384
 #: Codes in a leaf and children of a node.
 FAN = 8
 #: Hot nodes up to which their keys are broadcast (about 24 bytes each).
@@ -97,8 +98,11 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def close_pairs(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the rows of `codes` (n x words, in Gray order) that differ in at most `most` bits."""
+def close_pairs(codes: np.ndarray, most: int, seen: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of the rows of `codes` (n x words, in Gray order) that differ in at most `most` bits.
+
+    `seen` counts the pairs of codes that were compared, under "pairs".
+    """
     levels = [(codes, np.full_like(codes, ~np.uint64(0)))]  # bits, and which of them the whole node shares
     while len(levels[-1][0]) > FAN:
         bits, mask = levels[-1]
@@ -108,14 +112,20 @@ def close_pairs(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
         levels.append((ones & mask, mask))
     top = len(levels[-1][0])
     i, j = (x.astype(np.int64) for x in np.triu_indices(top))
-    yield from _walk(levels, len(levels) - 1, i, j, most)
+    yield from _walk(levels, len(levels) - 1, i, j, np.zeros((len(i), codes.shape[1]), np.uint64), np.zeros(len(i), np.int64), most, seen)
 
 
-def _walk(levels: list, k: int, i: np.ndarray, j: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _walk(levels: list, k: int, i: np.ndarray, j: np.ndarray, known: np.ndarray, differ: np.ndarray, most: int, seen: dict | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`known`: the bits that the pairs' upper nodes both shared; `differ`: in how many of them they differ."""
     bits, mask = levels[k]
     for s in range(0, len(i), 65_536):
-        a, b = i[s : s + 65_536], j[s : s + 65_536]
-        near = np.bitwise_count((bits[a] ^ bits[b]) & mask[a] & mask[b]).sum(axis=1) <= most
+        part = slice(s, s + 65_536)
+        a, b = i[part], j[part]
+        both = mask[a] & mask[b]
+        total = differ[part] + np.bitwise_count((bits[a] ^ bits[b]) & both & ~known[part]).sum(axis=1)
+        near = total <= most
+        if seen is not None and not k:
+            seen["pairs"] = seen.get("pairs", 0) + int((a != b).sum())
         a, b = a[near], b[near]
         if not k:
             yield a[a != b], b[a != b]
@@ -125,7 +135,8 @@ def _walk(levels: list, k: int, i: np.ndarray, j: np.ndarray, most: int) -> Iter
             x = np.repeat((a[:, None] * FAN + step), FAN, axis=1).ravel()
             y = np.tile((b[:, None] * FAN + step), (1, FAN)).ravel()
             fine = (x < below) & (y < below) & (x <= y)
-            yield from _walk(levels, k - 1, x[fine], y[fine], most)
+            above = np.repeat(np.arange(len(a)), FAN * FAN)[fine]
+            yield from _walk(levels, k - 1, x[fine], y[fine], both[near][above], total[near][above], most, seen)
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -176,11 +187,15 @@ def runs(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, new], np.r_[new, len(cols[0])]
 
 
-def masks(blocks: int, most: int) -> list[int]:
-    """All masks that keep all but `most` of `blocks` equal blocks of 64 bits: codes within `most` bits agree on one."""
-    width = 64 // blocks
-    block = [((1 << width) - 1) << (width * i) for i in range(blocks)]
-    return [sum(kept) for kept in itertools.combinations(block, blocks - most)]
+def masks(blocks: int, most: int, bits: int = 64) -> list[int]:
+    """All masks that keep all but `most` of `blocks` blocks of 64 bits: codes within `most` bits agree on one.
+
+    Each keeps `bits` bits at most, those of its first block first.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [range(a, b) for a, b in zip(edges, edges[1:])]
+    kept = [[63 - x for part in parts for x in part][:bits] for parts in itertools.combinations(block, blocks - most)]
+    return sorted({sum(1 << x for x in places) for places in kept})
 
 
 def _signed(x: int) -> int:
@@ -193,20 +208,22 @@ def _rank(code: Column) -> Column:
     return code
 
 
-def close_links(codes: DataFrame, most: int = 2, node: int = NODE) -> DataFrame:
+def close_links(codes: DataFrame, most: int = 2, node: int = NODE, fill: int = FILL) -> DataFrame:
     """Edges (a, b) that connect what codes within `most` bits of each other connect; `codes` has distinct longs fp.
 
-    Level by level: codes go under the nodes of all masks of 4 blocks; nodes of more than `node` codes, which
-    one task should not hold, hand theirs on to the masks of 8 blocks, and then of 16, under which at most
-    2 ** (4 * most) codes agree. So every pair is met, no node is unbounded, and only crowded regions are refined.
+    Level by level: codes go under the nodes of masks over `most` + 1 blocks, of as many bits as leave `fill` codes to
+    a node on average; nodes of more than `node` codes, which one task should not hold, hand theirs on to the masks
+    of 4 blocks, then 8, and then 16, under which at most 2 ** (4 * most) codes agree. So every pair is met, no node is
+    unbounded, and only crowded regions are refined.
     """
+    bits = max(0, math.ceil(math.log2(max(codes.count(), 1) / fill)))
+    levels = [masks(most + 1, most, bits), *(masks(blocks, most) for blocks in (4, 8, 16) if blocks > most + 1)]
     out = []
-    for blocks in (4, 8, 16):
-        kept = [_signed(m) for m in masks(blocks, most)]
-        last = blocks == 16
+    for level, kept in enumerate(levels):
+        kept = [_signed(m) for m in kept]
         keyed = codes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(kept)])).alias("k")).select("k.m", "k.bits", "fp")
         hot = None
-        if not last:
+        if level + 1 < len(levels):
             hot = cut(keyed.groupBy("m", "bits").agg(F.count("*").alias("n")).where(F.col("n") > node).select("m", "bits"))
             many = hot.count()
             if not many:
@@ -251,12 +268,16 @@ def simhash_components(docs: DataFrame, size: int = 3, most: int = 2) -> DataFra
     """
     text_batches(docs.sparkSession)
     of = cut(fingerprints(docs, size))
-    codes = cut(of.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(close_links(codes.select("fp"), most)).withColumnRenamed("node", "fp")
-    named = cut(codes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(least, "root").select("fp", "component_id"))
-    return of.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    codes = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # a code's node: nodes stand in the order of their smallest doc_id, so the root of a component is its name
+    codes = cut(codes.select("fp", F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node")))
+    many = codes.count()
+    links = close_links(codes.select("fp"), most)
+    number = lambda x: broadcast_if_small(codes.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")), many, SMALL_IDS)
+    edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = connected_components(edges)
+    names = cut(codes.join(roots, "node", "left").select("fp", F.coalesce("root.first", "node.first").alias("component_id")))
+    return of.join(broadcast_if_small(names, many, SMALL_IDS), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicates by similarity.

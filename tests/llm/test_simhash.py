@@ -72,6 +72,33 @@ def test_index_equals_all_pairs():
     assert pairs == {(i, j) for i in range(len(every)) for j in range(i + 1, len(every)) if int(every[i] ^ every[j]).bit_count() <= 2}
 
 
+def test_the_index_prunes():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 63, 4096, dtype=np.uint64))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    seen = {}
+    list(simhash.close_pairs(codes[:, None], 2, seen))
+    assert seen["pairs"] < 0.2 * len(codes) * (len(codes) - 1) / 2
+
+
+def test_masks_meet_all_near_codes():
+    rng = np.random.default_rng(4)
+    for bits in (0, 3, 11, 64):
+        kept = simhash.masks(3, 2, bits)
+        assert all(m.bit_count() <= min(bits, 22) for m in kept)
+        for _ in range(200):
+            x = int(rng.integers(0, 1 << 63))
+            y = x ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
+            assert any(x & m == y & m for m in kept)
+
+
+def test_a_hub(spark):
+    n = 100_000
+    edges = spark.range(1, n).selectExpr(f"{n} as a", "id as b")
+    out = connected_components(edges)
+    assert out.count() == n and out.where("root != 1").count() == 0
+
+
 def test_crowded_nodes_are_refined(spark):
     rng = np.random.default_rng(2)
     codes = sorted({int(x) for x in rng.integers(0, 1 << 20, 600)})  # agree on the high bits: one crowded node
