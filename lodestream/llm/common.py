@@ -17,16 +17,28 @@ SMALL_IDS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what `spark.checkpoint.dir` names. Only where that is unset (tests, one machine) a local folder is made.
+    It is what `spark.checkpoint.dir` names. Only on one machine, where that is unset, a local folder is made; a
+    cluster without the setting is refused.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
+            folder = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(folder)
         known = sc.getCheckpointDir()
     return known
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the checkpoint folder: its lineage ends there."""
     shared_dir(df.sparkSession)
@@ -60,12 +72,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        self._remove(self.root)
-
-    def _remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        remove(self.spark, self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -73,7 +80,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+        remove(self.spark, f"{self.root}/{name}")
 
     def result(self, df: DataFrame) -> DataFrame:
         return cut(df)

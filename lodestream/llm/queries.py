@@ -20,43 +20,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null and empty texts have the fingerprint zero."""
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document; a null text is empty and has the closing id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every vector whose id is divisible by 100; vectors with nulls or non-finite components take no part."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; a null text is empty."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with Scratch(spark) as scratch:  # the shards go once they have been read back
+    """Every slot of the training order, read back from its shard; the shards go once they have been read."""
+    with Scratch(spark) as scratch:
         return scratch.result(shards.training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{scratch.root}/shards"))
 
 
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through an Ogg file and back; a null text is empty."""
     return ogg.media_features(_table(spark, sf_dir, "documents"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.reply_ordered(_table(spark, sf_dir, "conversations"))
+    """Every message in reply order. The table has no quotes (no text of it has a `>`): they are put in first, as mail
+    clients do, and what comes out must be linked by them and free of them again."""
+    return chat.reply_ordered(chat.quoting(_table(spark, sf_dir, "conversations")))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages cut out; those without any stay as they are."""
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "removed", "spans", "text")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from the labels that are not held out; null and empty texts are scored, too."""
     return toxicity.toxicity_by_labels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; a null text has no words, a null source is a source of its own."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 

@@ -28,6 +28,8 @@ from .tokens import id_encoder
 ROUNDS = 6
 #: Documents from which the compression of sequences learns, and bytes that it may take.
 SAMPLE, DICTIONARY = 2000, 112_640
+#: Sequences taken from the beginning of each of these.
+BEGINNING = 8
 #: Input partitions up to which their table of offsets is broadcast (16 bytes each).
 SMALL_PARTS = 1_000_000
 
@@ -77,11 +79,22 @@ def slot_of(index: Column, total: int, key: int, inverse: bool = False) -> Colum
 
 
 def compression(docs: DataFrame, path: str, length: int, width: int) -> zstandard.ZstdCompressionDict | None:
-    """What sequences have in common, learned from some documents: it makes what is shuffled smaller, nothing else."""
-    some = docs.select(F.col("text").cast("string")).limit(SAMPLE).collect()
-    ids = np.concatenate([np.empty(0, np.uint32), *(id_encoder(path).ids(r[0]) for r in some)]).astype(f"<u{width}")
-    samples = [ids[i : i + length].tobytes() for i in range(0, len(ids) - length + 1, length)]
-    return zstandard.train_dictionary(DICTIONARY, samples) if len(samples) * length * width > 8 * DICTIONARY else None
+    """What sequences have in common, learned from the beginnings of some documents: it makes what is shuffled smaller, nothing else.
+
+    Tasks cut the documents; at most SAMPLE * BEGINNING sequences reach the driver.
+    """
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = id_encoder(path)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids = encoder.ids(text)[: BEGINNING * length].astype(f"<u{width}")
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
+
+    rows = docs.select(F.col("text").cast("string")).limit(SAMPLE).mapInArrow(begin, "ids binary").collect()
+    ids, step = b"".join(bytes(r[0]) for r in rows), length * width
+    samples = [ids[i : i + step] for i in range(0, len(ids) - step + 1, step)]
+    return zstandard.train_dictionary(DICTIONARY, samples) if len(samples) * step > 8 * DICTIONARY else None
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int, shared) -> Iterator[pa.RecordBatch]:
@@ -167,7 +180,11 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, length: int = 102
 
 
 def read_slots(spark: SparkSession, target: str, first: int = 0, end: int | None = None) -> DataFrame:
-    """slot, shard, offset and ids of the slots from `first` to before `end`, from the shards that hold them."""
+    """slot, shard, offset and ids of the slots from `first` to before `end`, from the shards that hold them.
+
+    Slots beyond the last are passed over; none left, and a target written from an empty table, give no rows. A shard
+    that is no multiple of the stride, one cut short, is an error.
+    """
     plan = spark.read.schema("sequences long, length int, width int, stride int, per_shard int, key long").json(target + ".manifest").first()
     end = plan.sequences if end is None else min(end, plan.sequences)
     kind = "slot long, shard int, offset long, ids binary"
@@ -192,7 +209,10 @@ def read_slots(spark: SparkSession, target: str, first: int = 0, end: int | None
 
 
 def training_order(docs: DataFrame, tokenizer: str, target: str, **options) -> DataFrame:
-    """Writes the shards, reads them back, and returns each slot with `intact`: its ids are those that were cut."""
+    """Writes the shards, reads them back, and returns each slot with `intact`: its ids are those that were cut.
+
+    Nulls, empty texts, repeated rows and an empty table as in `write_shards`.
+    """
     planned = write_shards(docs, tokenizer, target, **options)
     width = 2 if id_encoder(tokenizer).size <= 1 << 16 else 4
 

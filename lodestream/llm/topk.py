@@ -1,9 +1,10 @@
 """Exact top-k by inner product, with elimination by a pivot table.
 
-The distances of every vector to some pivots are computed once. For a query q and a vector x, the triangle
+The distances of every vector to many pivots are computed once. For a query q and a vector x, the triangle
 inequality gives |d(q,p) - d(x,p)| <= d(q,x) for each pivot p; the largest of these lower bounds is an upper
-bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates are evaluated in the order of that bound
-until it falls below the k-th score found. Scores are those of whole numbers, so the result is exact.
+bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2, in which x counts with its own length. Pivots are looked at
+in groups, and a candidate that one group rules out is not looked at again. What is left is evaluated in the order of
+its bound until that falls below the k-th score found. Scores are those of whole numbers, so the result is exact.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ from .common import Scratch
 
 #: Rows from which pivots are chosen and first thresholds taken.
 SAMPLE = 2048
-PIVOTS = 32
+PIVOTS, GROUP = 256, 32
 #: Queries of one pass over the table (broadcast: QUERIES * (dimension + PIVOTS) * 8 bytes).
-QUERIES = 8192
-#: Queries whose bounds are held at a time.
-TILE = 128
+QUERIES = 4096
 #: Above this, a double no longer holds every whole number.
 EXACT = 2.0**52
 
@@ -39,15 +38,19 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Farthest first: each pivot is the vector farthest from those before it."""
+    """Half of them farthest first, each the vector farthest from those before it; the others as the sample has them.
+
+    Far ones stand at the edges, where distances tell much about everything; the others stand where vectors are many.
+    """
     if not len(sample):
         return sample
     chosen = [int(np.argmax((sample * sample).sum(axis=1)))]
     near = distances(sample, sample[chosen])[:, 0]
-    while len(chosen) < min(count, len(sample)):
+    while len(chosen) < min(count // 2, len(sample)):
         chosen.append(int(np.argmax(near)))
         near = np.minimum(near, distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    rest = np.setdiff1d(np.arange(len(sample)), chosen)[: count - len(chosen)]
+    return sample[np.r_[chosen, rest].astype(int)]
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -72,37 +75,55 @@ class Best:
             self.least = max(self.least if self.least is not None else int(self.score[-1]), int(self.score[-1]))
 
 
+def bounds(q: np.ndarray, far: np.ndarray, x: np.ndarray, dx: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of `x` whose upper bound of the inner product with q reaches `least`, and these bounds."""
+    square = (x * x).sum(axis=1) + (q * q).sum()
+    room = 1e-9 * square + 1  # for rounding
+    left = np.arange(len(x))
+    low = np.zeros(len(x))
+    for p in range(0, dx.shape[1], GROUP):
+        low = np.maximum(low, np.abs(dx[left, p : p + GROUP] - far[p : p + GROUP]).max(axis=1))
+        may = (square[left] - low * low) / 2 + room[left] >= least
+        left, low = left[may], low[may]
+        if not len(left):
+            break
+    return left, (square[left] - low * low) / 2 + room[left]
+
+
 def search(batches: Iterator[pa.RecordBatch], asked, k: int, dimension: int, scale: float) -> Iterator[pa.RecordBatch]:
-    """The best k of this partition for each query; batches have vec_id, embedding, distances to the pivots."""
+    """The best k of this partition for each query; batches have vec_id, embedding, distances to the pivots.
+
+    The last rows, with query_id null, count the pairs that were there (vec_id) and that were scored (score).
+    """
     ids, q, far, least = asked.value
-    best = [Best(k, x) for x in least]
-    norm = (q * q).sum(axis=1)
+    best = [Best(k, None if x is None else int(x)) for x in least]
+    pairs = scored = 0
     for batch in batches:
         own = batch.column(0).to_numpy()
         x = matrix(batch.column(1), dimension, scale)
         dx = batch.column(2).flatten().to_numpy().reshape(len(own), -1)
-        square = (x * x).sum(axis=1)
-        for t in range(0, len(ids), TILE):
-            tile = slice(t, t + TILE)
-            low = np.zeros((len(ids[tile]), len(own)))
-            for p in range(far.shape[1]):
-                np.maximum(low, np.abs(far[tile, p, None] - dx[None, :, p]), out=low)
-            bound = (norm[tile, None] + square[None, :] - low * low) / 2
-            bound += 1e-9 * (norm[tile, None] + square[None, :]) + 1  # for rounding
-            for i, row in enumerate(bound):
-                b = best[t + i]
-                may = np.flatnonzero((row >= (-np.inf if b.least is None else b.least)) & (own != ids[t + i]))
-                may = may[np.argsort(-row[may])]
-                at, step = 0, 64
-                while at < len(may) and (b.least is None or row[may[at]] >= b.least):
-                    some = may[at : at + step]
-                    b.add(own[some], scores(x[some], q[t + i]))
-                    at, step = at + step, step * 2
-    rows = [(ids[i], v, s) for i, b in enumerate(best) for v, s in zip(b.ids.tolist(), b.score.tolist())]
-    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
+        pairs += len(own) * len(ids)
+        for b, one, away, i in zip(best, q, far, ids):
+            may, bound = bounds(one, away, x, dx, -np.inf if b.least is None else b.least)
+            other = own[may] != i
+            may, bound = may[other], bound[other]
+            order = np.argsort(-bound, kind="stable")
+            may, bound = may[order], bound[order]
+            at, step = 0, 64
+            while at < len(may) and (b.least is None or bound[at] >= b.least):
+                some = may[at : at + step]
+                if b.least is not None:
+                    some = some[bound[at : at + step] >= b.least]
+                b.add(own[some], scores(x[some], one))
+                scored += len(some)
+                at, step = at + step, step * 2
+    rows = [(int(ids[i]), v, s) for i, b in enumerate(best) for v, s in zip(b.ids.tolist(), b.score.tolist())]
+    for s in range(0, len(rows), 8192):
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[s : s + 8192]], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([pairs], pa.int64()), pa.array([scored], pa.int64())], ["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, counts: list | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other vectors.
 
     vectors: vec_id, embedding; other columns are ignored. A component x counts as floor(scale * x), the score is
@@ -112,47 +133,56 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     compared with those of their own dimension. Too few candidates give fewer rows; an empty table gives none.
 
     Queries go through the table in passes of a bounded number; each is broadcast with its first threshold, the
-    k-th score within a bounded sample of the rows.
+    k-th score within a bounded sample of the rows, which tasks find. `counts` gets (pairs, pairs scored).
     """
     spark = vectors.sparkSession
     fit = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asked"))
     fit = fit.where("vec_id is not null and embedding is not null").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    found = None
+    fit = fit.withColumn("size", F.size("embedding"))
+    found, dimension = None, -1
     with Scratch(spark) as scratch:
-        for (dimension,) in fit.select(F.size("embedding")).distinct().collect():
-            same = fit.where(F.size("embedding") == dimension)
+        while (dimension := fit.where(F.col("size") > dimension).agg(F.min("size")).first()[0]) is not None:
+            same = fit.where(F.col("size") == dimension).drop("size")
             if not dimension:  # nothing to compare: all scores are 0
                 same = same.withColumn("embedding", F.array(F.lit(0.0)))
             wide = max(dimension, 1)
             sample = same.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toPandas()
-            near_ids = sample["vec_id"].to_numpy(np.int64)
             near = np.floor(np.array(sample["embedding"].tolist(), np.float64).reshape(-1, wide) * scale)
-            pivots = choose_pivots(near, PIVOTS)
+            known = spark.sparkContext.broadcast((sample["vec_id"].to_numpy(np.int64), near, choose_pivots(near, PIVOTS)))
 
-            def table(batches, pivots=pivots, wide=wide):
+            def table(batches, known=known, wide=wide):
                 for batch in batches:
-                    d = distances(matrix(batch.column(1), wide, scale), pivots)
+                    d = distances(matrix(batch.column(1), wide, scale), known.value[2])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
                     yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["vec_id", "embedding", "asked", "far"])
 
-            known = scratch.table(same.mapInArrow(table, "vec_id long, embedding array<double>, asked boolean, far array<double>"), f"table-{dimension}")
-            asked = known.where("asked").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+            def thresholds(batches, known=known, wide=wide):
+                ids, rows, _ = known.value
+                for batch in batches:
+                    least = []
+                    for i, q in zip(batch.column(0).to_pylist(), matrix(batch.column(1), wide, scale)):
+                        other = np.sort(scores(rows[ids != i], q))
+                        least.append(int(other[-k]) if len(other) >= k else None)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["vec_id", "embedding", "far", "least"])
+
+            every = scratch.table(same.mapInArrow(table, "vec_id long, embedding array<double>, asked boolean, far array<double>"), f"table-{dimension}")
+            asked = every.where("asked").groupBy("vec_id").agg(F.min(F.struct("embedding", "far")).alias("x")).select("vec_id", "x.embedding", "x.far")
+            asked = scratch.table(asked.mapInArrow(thresholds, "vec_id long, embedding array<double>, far array<double>, least long"), f"asked-{dimension}")
             passes = -(-asked.count() // QUERIES)
             for n in range(passes):
-                rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).toPandas()
+                rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).withColumn("least", F.col("least").cast("string")).toPandas()
                 if not len(rows):
                     continue
-                ids = rows["vec_id"].to_numpy(np.int64)
                 q = np.floor(np.array(rows["embedding"].tolist(), np.float64).reshape(-1, wide) * scale)
-                least = []
-                for i in range(len(ids)):
-                    other = np.sort(scores(near[near_ids != ids[i]], q[i]))
-                    least.append(int(other[-k]) if len(other) >= k else None)
-                sent = spark.sparkContext.broadcast((ids, q, distances(q, pivots), least))
-                part = known.select("vec_id", "embedding", "far").mapInArrow(lambda b, sent=sent, wide=wide: search(b, sent, k, wide, scale), "query_id long, vec_id long, score long")
+                least = [int(x) if isinstance(x, str) else None for x in rows["least"]]
+                sent = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(np.int64), q, np.array(rows["far"].tolist(), np.float64).reshape(len(rows), -1), least))
+                part = every.select("vec_id", "embedding", "far").mapInArrow(lambda b, sent=sent, wide=wide: search(b, sent, k, wide, scale), "query_id long, vec_id long, score long")
                 part = scratch.table(part, f"found-{dimension}-{n}")
                 found = part if found is None else found.unionByName(part)
         if found is None:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        if counts is not None:
+            counts.append(tuple(found.where("query_id is null").agg(F.sum("vec_id"), F.sum("score")).first()))
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return scratch.result(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        best = found.where("query_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return scratch.result(best.select("query_id", "rank", "vec_id", "score"))

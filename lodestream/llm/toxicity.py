@@ -31,6 +31,8 @@ REPORTING = frozenset("said says wrote quote quoted called sagte schrieb zitat z
 ADDRESS = frozenset("you your you're du dein ihr euch tu ton vous votre tú usted ustedes".split())
 #: Tokens whose match a worker remembers.
 REMEMBERED = 100_000
+#: States of the automaton that a worker keeps; beyond, it begins anew.
+STATES = 50_000
 #: Scores from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Features: constant, exact, misspelled, quoted, directed, share of words, distinct terms.
@@ -68,13 +70,17 @@ class Lexicon:
                 self.most[node] = max(self.most[node], limit)
             self.ends[node][stem] = (weight, limit)
         self.alphabet = {c for kids in self.children for c in kids}
+        self.known: dict[str, tuple[float, int] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """An automaton of the start state alone; the others are made as words need them."""
         self.sets: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[float, int] | None] = []
         self.free: list[tuple[float, int] | None] = []
         self.start = self._state(self._closed({(0, 0)}))
-        self.known: dict[str, tuple[float, int] | None] = {}
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With the letters that the word leaves out; of a node's states the one with fewest edits."""
@@ -130,6 +136,8 @@ class Lexicon:
         """`match` of a token of lower-cased text, without the marks around it; remembered up to a bound."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.sets) > STATES:
+            self._begin()
         word = token.strip(PUNCTUATION)
         hit = self.known[token] = self.match(word) if word else None
         return hit

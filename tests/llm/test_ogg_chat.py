@@ -147,3 +147,82 @@ def test_against_plain_python(spark, sf_dir):
             sums[level, t] = sums.get((level, t), 0) + n
         want[r.conv_id, r.turn] = max(((-level, n, t) for (level, t), n in sums.items()), default=(0, 0, None))[2]
     assert got == want
+
+
+def plainly(rows):
+    """reply_to of each message by its own reading of quotes, message against message."""
+
+    def depth(line):
+        n = 0
+        while (line := line.lstrip(" ")).startswith(">"):
+            n, line = n + 1, line[1:]
+        return n, line
+
+    def parts(lines):
+        """The whole, its paragraphs and its lines, without case and blanks."""
+        out, paragraph = [lines, *([x] for x in lines)], []
+        for line in [*lines, ""]:
+            if line.split():
+                paragraph.append(line)
+            elif paragraph:
+                out.append(paragraph)
+                paragraph = []
+        return {" ".join(" ".join(p).lower().split()) for p in out} - {""}
+
+    said, quoted = {}, {}
+    for conv, turn, text in rows:
+        lines = [depth(x) for x in text.split("\n")]
+        said.setdefault((conv, turn), set()).update(parts([x for n, x in lines if not n]))
+        now = []
+        for n, x in [*lines, (-1, "")]:
+            if now and n != now[0][0]:
+                if now[0][0]:
+                    quoted.setdefault((conv, turn), set()).update((now[0][0], p) for p in parts([x for _, x in now]))
+                now = []
+            now.append((n, x))
+    turns = {}
+    for conv, turn in sorted(said):
+        turns.setdefault(conv, []).append(turn)
+    out = {}
+    for conv, turn in said:
+        sums = {}
+        for level, part in quoted.get((conv, turn), ()):
+            first = next((t for t in turns[conv] if part in said[conv, t]), None)
+            if first is not None and first < turn:
+                sums[level, first] = sums.get((level, first), 0) + len(part)
+        out[conv, turn] = max(((-level, n, t) for (level, t), n in sums.items()), default=(0, 0, None))[2]
+    return out
+
+
+def test_quoting_conversations_against_plain_python(spark, sf_dir):
+    table = stored(spark, sf_dir, "conversations")
+    quoting = chat.quoting(table)
+    before = {(r.conv_id, r.turn): r.text for r in table.collect()}
+    out = chat.reply_ordered(quoting).collect()
+    assert len(out) == table.count() and {(r.conv_id, r.turn): r.text for r in out} == before  # quotes are gone again
+    want = plainly([(r.conv_id, r.turn, r.text) for r in quoting.collect()])
+    assert {(r.conv_id, r.turn): r.reply_to for r in out} == want
+    assert sum(t is not None for t in want.values()) > 0.9 * sum(turn > 0 for _, turn in want)
+
+
+def test_quoting_odd_rows(spark):
+    rows = [(1, 0, "user", "a\r\nb"), (1, 1, None, None), (1, 2, "user", "c"), (None, 1, "user", "d"), (2, None, None, "e"), (1, 2, "user", "c")]
+    out = sorted((r.text for r in chat.quoting(messages(spark, rows)).collect()))
+    assert out == sorted(["a\r\nb", "> a\r\n> b\n", "> > a\r\n> > b\n> \nc", "> > a\r\n> > b\n> \nc", "d", "e"])
+    assert chat.quoting(messages(spark, [])).count() == 0
+
+
+def test_a_wrapped_part_of_a_message_is_found(spark):
+    original = "first words\n\nthe second paragraph of it is one long line\n\nthe third one\n\nlast"
+    rows = [(1, 0, "user", original), (1, 1, "user", "> the second paragraph\n> of it is one long line\n>\n> the third\n> one\nyes")]
+    assert [(r.turn, r.reply_to) for r in chat.replies(messages(spark, rows)).collect()] == [(1, 0)]
+
+
+def test_one_long_conversation_and_one_long_text(spark):
+    rows = [(1, i, "user", f"> m{i - 1}\nm{i}") for i in range(300)] + [(2, 0, "user", "line\n" * 50_000), (2, 1, "user", "> line\n" * 50_000 + "end")]
+    rows += [(None, None, "user", "> who")] * 500
+    out = chat.reply_ordered(messages(spark, rows))
+    one = {r.turn: r for r in out.where("conv_id = 1").collect()}
+    assert all(one[i].reply_to == i - 1 and one[i].position == i and one[i].text == f"m{i}" for i in range(1, 300))
+    assert {r.turn: (r.reply_to, r.text[:3]) for r in out.where("conv_id = 2").collect()} == {0: (None, "lin"), 1: (0, "end")}
+    assert sorted(r.position for r in out.where("conv_id is null").collect()) == list(range(500))

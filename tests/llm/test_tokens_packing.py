@@ -137,3 +137,47 @@ def test_shards_of_odd_rows(spark, tmp_path):
     rows = shards.training_order(documents(spark), PATH, f"{tmp_path}/odd", length=64, per_shard=10).collect()
     assert rows and all(r.intact for r in rows)
     assert shards.training_order(nothing(spark), PATH, f"{tmp_path}/none").count() == 0
+
+
+def slots_of(target, length, width):
+    """What the shards hold, read byte by byte."""
+    import json
+    from pathlib import Path
+
+    plan = json.loads(next(Path(target + ".manifest").glob("part-*.json")).read_text())
+    out = {}
+    for folder in Path(target).glob("shard=*"):
+        data = b"".join(f.read_bytes() for f in sorted(folder.glob("part-*")))
+        assert len(data) % plan["stride"] == 0
+        for i in range(len(data) // plan["stride"]):
+            raw = data[i * plan["stride"] : i * plan["stride"] + length * width]
+            out[int(folder.name[6:]) * plan["per_shard"] + i] = [int.from_bytes(raw[j : j + width], "little") for j in range(0, len(raw), width)]
+    return out
+
+
+def test_training_order_against_the_library(spark, sf_dir, tmp_path):
+    own = lambda t: [*ids_of(t), 0]
+    docs = stored(spark, sf_dir).coalesce(1)
+    rows = docs.collect()
+    stream = [i for r in rows for i in own(r.text)]
+    planned = {r.slot: r for r in shards.write_shards(docs, PATH, f"{tmp_path}/one", length=128, per_shard=32).collect()}
+    held = slots_of(f"{tmp_path}/one", 128, 2)
+    assert sorted(planned) == sorted(held) == list(range(-(-len(stream) // 128))) and sorted(r["index"] for r in planned.values()) == sorted(planned)
+    starts, at = {}, 0
+    for r in rows:
+        starts.update((at + i, (r.doc_id, i)) for i in range(len(own(r.text))))
+        at += len(own(r.text))
+    for slot, r in planned.items():
+        part = stream[r["index"] * 128 : r["index"] * 128 + 128]
+        assert held[slot] == part + [0] * (128 - len(part)) and r.tokens == len(part)
+        assert (r.first_doc, r.first_start) == starts[r["index"] * 128] and (r.shard, r.offset) == (slot // 32, slot % 32 * (128 * 2 + 1))
+    assert [r["index"] for _, r in sorted(planned.items())] != sorted(r["index"] for r in planned.values())
+    many = stored(spark, sf_dir).repartition(5)
+    planned = shards.write_shards(many, PATH, f"{tmp_path}/many", length=128, per_shard=32).collect()
+    held = slots_of(f"{tmp_path}/many", 128, 2)
+    ids = {r.doc_id: own(r.text) for r in rows}
+    left = sorted(i for x in ids.values() for i in x)
+    assert sorted(i for r in planned for i in held[r.slot][: r.tokens]) == left
+    for r in planned:
+        begin = ids[r.first_doc][r.first_start :][: r.tokens]
+        assert held[r.slot][: len(begin)] == begin
