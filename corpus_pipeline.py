@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm import mixing, packing, simhash, suffixes, toxicity
-from lodestream.llm.common import fresh, shared_dir
+from lodestream.llm.common import fresh, remove, shared_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Tables between them go to the shared folder."""
+    """All stages over documents. Tables between them stand in the shared folder until the next one is written; the
+    last one, which the result reads, stays."""
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{root}/{name}"
     return docs
