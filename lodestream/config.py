@@ -59,6 +59,8 @@ NEIGHBOR_TOP, NEIGHBOR_SUPPORT = 50, 2.0
 TRENDING_TOP = 500
 BROWSE_SKIPS, BROWSE_WINDOW_MS = 3, 30_000
 CTR_PRIOR, RATE_PRIOR = (1.0, 10.0), (1.0, 2.0)
+SUPPRESSING, SUPPRESSING_CREATORS, CREATOR_SUPPRESSION = ("DISLIKE", "NOT_INTERESTED"), ("NOT_INTERESTED",), 30 * DAY_MS
+LIKED_ONCE = ("video", "book", "post")
 CONSUMING = ("PLAY_START", "PLAY_END", "SKIP", "REPLAY", "CLICK", "RATE")
 ENGAGING = ("PLAY_END", "LIKE", "SAVE", "SHARE", "REPLAY", "COMMENT", "RATE", "DWELL")
 

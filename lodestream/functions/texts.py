@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of personal data, in the order in which they are replaced.
 PERSONAL = [
-    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[email]"),
-    (r"https?://\S+|www\.\S+", "[url]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
+    (r"(?i)\b(?:https?://|www\.)\S+", "[url]"),
     (r"\+?\d[\d\s().-]{7,}\d", "[phone]"),
-    (r"(?<!\w)@\w{2,}", "[handle]"),
-    (r"\d{9,}", "[number]"),
+    (r"(?<![\w@])@\w{2,}", "[handle]"),
+    (r"\b\d{6,}\b", "[number]"),
 ]
 TAG = r"^[\p{L}\p{N}][\p{L}\p{N} '&-]{0,38}[\p{L}\p{N}]$"
 
@@ -27,10 +29,17 @@ def explanation_key(domain: Column, reason: Column, seed: Column, item: Column)
     return F.substring(content_hash(*parts), 1, 24)
 
 
+def pseudonym(text: Column, secret: bytes) -> Column:
+    """The first 32 hex digits of the text's HMAC-SHA256 under the secret; null stays null."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner = F.unhex(F.sha2(F.concat(F.lit(bytes(x ^ 0x36 for x in key)), text.cast("binary")), 256))
+    return F.substring(F.sha2(F.concat(F.lit(bytes(x ^ 0x5C for x in key)), inner), 256), 1, 32)
+
+
 def scrubbed(text: Column) -> Column:
     for pattern, mark in PERSONAL:
         text = F.regexp_replace(text, pattern, F.lit(mark))
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def clean_tags(tags: Column, most: int) -> Column:

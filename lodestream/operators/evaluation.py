@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .monitoring import running
 
 LIST = "recommendation_id"
 
@@ -39,9 +42,8 @@ def time_split(rows: DataFrame, train: float = 0.8) -> DataFrame:
     lists = rows.groupBy(LIST).agg(F.min("served_ts").alias("at"))
     counts = lists.groupBy("at").agg(F.count("*").alias("n"))
     # counts of distinct times: a running sum over them gives each time's first place
-    before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = counts.select("at", before.alias("before"), F.floor(total * train + 1e-9).alias("cut"))
+    total = lists.count()
+    placed = running(counts, [], "at", "n", "before").select("at", "before", F.lit(math.floor(total * train + 1e-9)).alias("cut"))
     within = F.row_number().over(Window.partitionBy("at").orderBy(LIST))
     parts = lists.join(placed, "at").select(LIST, F.when(F.col("before") + within <= F.col("cut"), "train").otherwise("valid").alias("part"))
     return rows.join(parts, LIST)
@@ -79,12 +81,12 @@ def position_propensities(rows: DataFrame, most: float = 10.0) -> DataFrame:
 def auc(rows: DataFrame, score: str = "score", by: str | None = None) -> DataFrame:
     """auc of `label > 0` against the score, ties by average rank; 0.5 without both classes.
 
-    Works on counts of equal scores, so the ordered pass is over distinct scores only.
+    Works on counts of equal scores in ranges, so no task orders them all.
     """
     keys = [by] if by else []
     counts = rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum((F.col("label") > 0).cast("long")).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("rank", before + (F.col("n") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    placed = running(counts, keys, "s", "n", "before")
+    sums = placed.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(*keys, F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p").cast("double") * F.col("q"))).alias("auc"))
 
 

@@ -16,13 +16,17 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 
 def first_error(checks: list[tuple[str, Column]]) -> Column:
     """The code of the first check that fails (is true), or null."""
-    return reduce(lambda chain, c: F.when(c[1], c[0]) if chain is None else chain.when(F.coalesce(c[1], F.lit(False)), c[0]), checks, None)
+    return reduce(lambda chain, c: F.when(F.coalesce(c[1], F.lit(False)), c[0]) if chain is None else chain.when(F.coalesce(c[1], F.lit(False)), c[0]), checks, None)
 
 
 def validate(events: DataFrame) -> DataFrame:
-    """Adds `error`: the first of twelve codes that applies to an event as it came in, else null."""
+    """Adds `error`: the first of thirteen codes that applies to an event as it came in, else null.
+
+    An event without anything in it is NULL_EVENT.
+    """
     bad_number = F.col("value").isNotNull() & (F.isnan("value") | (F.abs("value") == float("inf")) | (F.col("value") < 0))
     checks = [
+        ("NULL_EVENT", reduce(lambda a, b: a & b, [F.col(c).isNull() for c in events.columns])),
         ("INVALID_EVENT_ID", F.col("event_id").isNull() | ~F.col("event_id").rlike(UUID)),
         ("INVALID_USER_ID", F.col("user_id").isNull() | ~is_id(F.col("user_id"))),
         ("INVALID_DOMAIN", F.col("domain").isNull() | ~F.lower("domain").isin(*config.DOMAINS)),
@@ -44,13 +48,21 @@ def clamp_skew(events: DataFrame, tolerance_ms: int = 60_000) -> DataFrame:
     return events.withColumn("ts", F.when(F.col("ts") > F.col("received_ts") + tolerance_ms, F.col("received_ts")).otherwise(F.col("ts")))
 
 
-def dedupe(events: DataFrame, window_ms: int = config.DEDUPE_WINDOW) -> DataFrame:
-    """The first arrival of an event id; later ones stay only if their time is further off than the window."""
-    by_id = Window.partitionBy("event_id")
-    first = F.min(F.struct("received_ts", "ts")).over(by_id)
-    rank = F.row_number().over(by_id.orderBy("received_ts", "ts"))
-    marked = events.withColumn("_first", first["ts"]).withColumn("_rank", rank)
-    return marked.where((F.col("_rank") == 1) | (F.abs(F.col("ts") - F.col("_first")) > window_ms)).drop("_first", "_rank")
+def dedupe(events: DataFrame, window_ms: int = config.DEDUPE_WINDOW, late: str | None = None) -> DataFrame:
+    """Arrivals of an event id whose time is further than the window from all of its arrivals that were let through.
+
+    Arrivals go by time of receipt. Rows that the column `late` marks pass as they are and are not remembered. Of
+    arrivals with one event time only the first can pass, which is settled before the others meet: what a task holds of
+    an id is its distinct times. An id that is null is an id like others.
+    """
+    rest = [c for c in events.columns if c not in ("event_id", "ts", "received_ts")]
+    due = events if late is None else events.where(~F.coalesce(F.col(late), F.lit(False)))
+    first = due.groupBy("event_id", "ts").agg(F.min(F.struct("received_ts", *rest)).alias("x"))
+    arrivals = first.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("x.received_ts").alias("received_ts"), "ts", "x"))).alias("all"))
+    none = F.slice("all", 1, 0)
+    kept = F.aggregate("all", none, lambda done, a: F.when(F.exists(done, lambda d: F.abs(d["ts"] - a["ts"]) <= window_ms), done).otherwise(F.concat(done, F.array(a))))
+    passed = arrivals.select("event_id", F.explode(kept).alias("a")).select("event_id", F.col("a.ts").alias("ts"), "a.x.*").select(events.columns)
+    return passed if late is None else passed.unionByName(events.where(F.coalesce(F.col(late), F.lit(False))))
 
 
 def mark_late(events: DataFrame, lateness_ms: int = config.MAX_LATENESS) -> DataFrame:

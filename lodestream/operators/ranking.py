@@ -11,25 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
-from ..functions.scalars import round4
 
 
-def rank_features(merged: DataFrame, stats: DataFrame, meta: DataFrame, affinity: DataFrame, today: str) -> DataFrame:
+#: What each kind of affinity counts for.
+AFFINITIES = {"creator_id": 0.5, "genre": 0.3, "mood": 0.2}
+
+
+def rejected_creators(recent: DataFrame, now: DataFrame, within_ms: int = config.HOUR_MS) -> DataFrame:
+    """user_id, domain, creator_id: whose items a user turned down within the hour before the request.
+
+    recent: user_id, domain, creator_id, weight, ts, the recent interactions; now: user_id, domain, now.
+    """
+    down = recent.where("weight < 0 and creator_id is not null").join(now, ["user_id", "domain"])
+    return down.where(F.col("now") - F.col("ts") < within_ms).select("user_id", "domain", "creator_id").distinct()
+
+
+def rank_features(merged: DataFrame, stats: DataFrame, meta: DataFrame, affinities: dict[str, DataFrame], rejected: DataFrame, today: str) -> DataFrame:
     """The nine features of each candidate (request_id, user_id, domain, item_id and the sources' scores).
 
-    stats: item_id, ctr, completion_rate; meta: item_id, creator_id, genre, release_date; affinity: user_id,
-    domain, genre, affinity. What is missing has its prior.
+    stats: item_id, ctr, completion_rate; meta: item_id, creator_id, genre, mood, release_date; affinities: for each of
+    AFFINITIES user_id, domain, its column, affinity; rejected: user_id, domain, creator_id. What is missing has its
+    prior.
     """
-    most = affinity.groupBy("user_id", "domain").agg(F.max(F.when(F.col("affinity") > 0, F.col("affinity"))).alias("_most"))
-    known = affinity.where("affinity > 0").join(most, ["user_id", "domain"]).select("user_id", "domain", "genre", (F.col("affinity") / F.col("_most")).alias("_share"))
-    j = merged.join(stats.select("item_id", "ctr", "completion_rate"), "item_id", "left").join(meta, "item_id", "left").join(known, ["user_id", "domain", "genre"], "left")
+    j = merged.join(stats.select("item_id", "ctr", "completion_rate"), "item_id", "left").join(meta, "item_id", "left")
+    liking = F.lit(0.0)
+    for by, weight in AFFINITIES.items():
+        some = affinities[by].where("affinity > 0")
+        most = some.groupBy("user_id", "domain").agg(F.max("affinity").alias("_most"))
+        share = some.join(most, ["user_id", "domain"]).select("user_id", "domain", by, (F.col("affinity") / F.col("_most")).alias(f"_{by}"))
+        j = j.join(share, ["user_id", "domain", by], "left")
+        liking = liking + weight * F.coalesce(f"_{by}", F.lit(0.0))
+    j = j.join(rejected.withColumn("_down", F.lit(1.0)), ["user_id", "domain", "creator_id"], "left")
     days = F.greatest(F.datediff(F.lit(today).cast("date"), F.col("release_date")), F.lit(0))
     f = {
-        "semantic": F.greatest(F.coalesce("semantic", F.lit(0.0)), F.lit(0.0)), "cf": F.coalesce("cf", F.lit(0.0)), "next": F.coalesce("next", F.lit(0.0)),
-        "affinity": 0.3 * F.coalesce("_share", F.lit(0.0)), "trending": F.coalesce("trending", F.lit(0.0)), "ctr": F.coalesce("ctr", F.lit(0.1)),
-        "completion": F.coalesce("completion_rate", F.lit(0.5)), "freshness": F.when(F.col("release_date").isNull(), 0.3).otherwise(F.exp(-days / 90.0)), "penalty": F.lit(0.0),
+        "semantic": F.greatest(F.coalesce("semantic", "fresh", F.lit(0.0)), F.lit(0.0)), "cf": F.coalesce("cf", F.lit(0.0)), "next": F.coalesce("next", F.lit(0.0)),
+        "affinity": liking, "trending": F.greatest(F.coalesce("trending", F.lit(0.0)), F.coalesce("popular", F.lit(0.0))), "ctr": F.coalesce("ctr", F.lit(0.1)),
+        "completion": F.coalesce("completion_rate", F.lit(0.5)), "freshness": F.when(F.col("release_date").isNull(), 0.3).otherwise(F.exp(-days / 90.0)), "penalty": F.coalesce("_down", F.lit(0.0)),
     }
-    return j.select("request_id", "user_id", "domain", "item_id", "creator_id", "genre", "release_date", "reason", *[x.alias(f"f_{n}") for n, x in f.items()])
+    return j.select("request_id", "user_id", "domain", "item_id", "creator_id", "genre", "release_date", "reason", "trending_reason", "fresh", F.col("semantic").isNotNull().alias("near"), "popular", *[x.alias(f"f_{n}") for n, x in f.items()])
 
 
 def heuristic_score(weights: dict[str, float] | None = None) -> Column:
@@ -42,8 +61,12 @@ def heuristic_score(weights: dict[str, float] | None = None) -> Column:
     return total
 
 
-def reason() -> Column:
-    """Why an item is shown: the source that gave most of its score; of equals the more telling one."""
+def reason(semantic: str = "SIMILAR_TO_TASTE") -> Column:
+    """Why an item is shown: the source that gave most of its score; of equals the more telling one.
+
+    What is near the query is said to be `semantic`, or new if only the search for new items found it. A score that no
+    source explains keeps the reason it came with.
+    """
     w = config.RANK_WEIGHTS
     parts = {"semantic": w["semantic"] * F.col("f_semantic") + w["affinity"] * F.col("f_affinity"), "cf": w["cf"] * F.col("f_cf"), "next": w["next"] * F.col("f_next"), "popular": w["popular"] * F.col("f_trending")}
     best = F.greatest(*parts.values())
@@ -51,8 +74,10 @@ def reason() -> Column:
         F.when(best <= 0, F.col("reason"))
         .when((best == parts["next"]) & (F.col("f_next") > 0), "OFTEN_PLAYED_NEXT")
         .when((best == parts["cf"]) & (F.col("f_cf") > 0), "LISTENED_TOGETHER")
-        .when((best == parts["semantic"]) & (F.col("f_semantic") > 0), "SIMILAR_TO_RECENT")
-        .when((best == parts["popular"]) & (F.col("f_trending") > 0), "TRENDING")
+        .when((best == parts["semantic"]) & F.col("near"), semantic)
+        .when((best == parts["semantic"]) & F.col("fresh").isNotNull(), "NEW_FOR_YOU")
+        .when((best == parts["popular"]) & F.col("trending_reason").isNotNull(), F.col("trending_reason"))
+        .when((best == parts["popular"]) & F.col("popular").isNotNull(), "POPULAR_FALLBACK")
         .otherwise(F.col("reason"))
     )
 
@@ -62,12 +87,48 @@ def top_per_request(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hard_filter(scored: DataFrame, blocked: DataFrame, meta: DataFrame, region: Column, explicit: bool = False) -> DataFrame:
-    """Drops blocked items (user_id, item_id), unknown items, explicit ones and those not available."""
-    known = scored.join(meta.select("item_id", "explicit", "regions"), "item_id")
+def hard_filter(scored: DataFrame, blocked: DataFrame, creators: DataFrame, meta: DataFrame, region: Column, explicit: bool = False, seed: str | None = None) -> DataFrame:
+    """Drops what must never be shown.
+
+    blocked: user_id, domain, item_id of consumed, suppressed and, where a liked item is not shown again, liked items;
+    creators: user_id, domain, creator_id of creators that are blocked still; `seed`: the column of the item that the
+    request started from. Unknown items go unless the list of popular items has them, explicit ones unless `explicit`,
+    and those that are not available in the region.
+    """
+    known = scored.join(meta.select("item_id", "explicit", "regions", F.lit(True).alias("_known")), "item_id", "left")
+    known = known.where(F.col("_known") | F.col("popular").isNotNull())
     open_here = F.col("regions").isNull() | (F.size("regions") == 0) | F.array_contains(F.col("regions"), region)
     fit = known.where(open_here) if explicit else known.where(open_here & ~F.coalesce("explicit", F.lit(False)))
-    return fit.join(blocked.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti").drop("explicit", "regions")
+    if seed is not None:
+        fit = fit.where(~F.col("item_id").eqNullSafe(F.col(seed)))
+    fit = fit.join(blocked.select("user_id", "domain", "item_id").distinct(), ["user_id", "domain", "item_id"], "left_anti")
+    return fit.join(creators.select("user_id", "domain", "creator_id").distinct(), ["user_id", "domain", "creator_id"], "left_anti").drop("explicit", "regions", "_known")
+
+
+def top_up(shown: DataFrame, popular: DataFrame, exclude: DataFrame, limit: int) -> DataFrame:
+    """request_id, user_id, domain, item_id, place, score, reason: short lists filled up from the popular items.
+
+    shown: those columns without reason, and reason, place from 1; popular: domain, item_id, place; exclude: user_id,
+    domain, item_id never shown. What is added scores 1 - i / n for the i-th of n popular items, from 0. Only requests
+    that have a row in `shown` are filled up; the lists of popular items are short by their limit.
+    """
+    lists = shown.groupBy("request_id", "user_id", "domain").agg(F.count("*").alias("have")).where(F.col("have") < limit)
+    n = popular.groupBy("domain").agg(F.count("*").alias("n"))
+    pool = popular.join(n, "domain").select("domain", "item_id", F.col("place").alias("_order"), (1 - (F.col("place") - 1) / F.col("n")).alias("score"))
+    more = lists.join(pool, "domain").join(exclude.select("user_id", "domain", "item_id").distinct(), ["user_id", "domain", "item_id"], "left_anti")
+    more = more.join(shown.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+    more = more.withColumn("place", F.col("have") + F.row_number().over(Window.partitionBy("request_id").orderBy("_order"))).where(F.col("place") <= limit)
+    columns = ["request_id", "user_id", "domain", "item_id", "place", "score", "reason"]
+    return shown.select(*columns).unionByName(more.withColumn("reason", F.lit("POPULAR_FALLBACK")).select(*columns))
+
+
+def fallback_level(partial: Column, known_user: Column, pool: Column, listed: Column) -> Column:
+    """How degraded an answer is: NONE, PARTIAL, ANONYMOUS, CACHED_POPULAR or STATIC, the worst that applies.
+
+    partial: a step failed; known_user: there are features of the user; pool: there are candidates; listed: there is a
+    popular list for the domain.
+    """
+    return F.when(~pool & ~listed, "STATIC").when(~pool, "CACHED_POPULAR").when(~known_user, "ANONYMOUS").when(partial, "PARTIAL").otherwise("NONE")
 
 
 def freshness_boost(scored: DataFrame, now_date: str, days: int = 14, boost: float = config.RERANK["fresh_boost"]) -> DataFrame:
@@ -125,28 +186,47 @@ def diversity_rerank(scored: DataFrame, limit: int, window: int = config.RERANK[
     return scored.groupBy("request_id").applyInPandas(one, schema)
 
 
-def explore_rerank(placed: DataFrame, limit: int, epsilon: float = config.RERANK["epsilon"], least: int = config.RERANK["explore_min"], seed: int = 0) -> DataFrame:
-    """The first `limit` places of each request, with some given to little-shown items, and their propensity.
+def explore_rerank(
+    placed: DataFrame, limit: int, epsilon: float = config.RERANK["epsilon"], least: int = config.RERANK["explore_min"], seed: int = 0, strategy: str = "epsilon", first: int = 2,
+) -> DataFrame:
+    """The first `limit` places of each request, with some given to new or little-shown items, and their propensity.
 
-    placed: request_id, item_id, place, impressions. max(1, round(epsilon * limit)) items of those beyond the
-    limit with few impressions (at most 30) come in at random places from the third on; the propensity of each
-    is its chance to be drawn. Draws are seeded by the request, so reruns agree. Short lists are left alone.
+    placed: request_id, item_id, creator_id, place, fresh, plays, impressions. The pool is the first 30 items beyond the
+    limit that are new (fresh) or known to have had few impressions; an item without figures is no evidence. Those of
+    creators not in the list yet are preferred. max(1, round(epsilon * limit)) of them each push out the last item and
+    come in at a random place from `first` on. "epsilon" draws evenly, the propensity is the chance to be drawn;
+    "thompson" takes the highest draws of Beta(plays + 1, impressions - plays + 1), the propensity is estimated by a
+    hundred draws. Draws are seeded by the request, so reruns agree. Short lists are left alone.
     """
 
+    def thompson(pool: pd.DataFrame, slots: int, draw: np.random.Generator, times: int) -> np.ndarray:
+        plays = np.maximum(pool["plays"].fillna(0).to_numpy(float), 0)
+        shown = np.maximum(pool["impressions"].fillna(0).to_numpy(float), plays)
+        return np.argsort(-draw.beta(plays + 1, shown - plays + 1, (times, len(pool))), axis=1, kind="stable")[:, :slots]
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place").reset_index(drop=True)
         top, rest = rows.iloc[:limit].copy(), rows.iloc[limit:]
         top["explore"], top["propensity"] = False, None
-        pool = rest[rest["impressions"].fillna(0) < config.RERANK["low_impressions"]].head(30)
-        slots = min(max(1, round(epsilon * limit)), len(pool))
+        pool = rest[rest["fresh"].notna() | (rest["impressions"] < config.RERANK["low_impressions"])].head(30)
+        novel = pool[~pool["creator_id"].isin(top["creator_id"])]
+        pool = novel if len(novel) else pool
+        slots = min(max(1, int(np.floor(epsilon * limit + 0.5))), len(pool))
         if limit < least or not slots:
             return top.assign(place=np.arange(1, len(top) + 1, dtype=np.int32))
         draw = np.random.default_rng([seed, int(rows["request_id"].iloc[0]) & 0xFFFFFFFF])
+        if strategy == "thompson":
+            picks = thompson(pool, slots, draw, 1)[0].tolist()
+            often = np.bincount(thompson(pool, slots, draw, 100).ravel(), minlength=len(pool)) / 100
+            chance = np.maximum(often, 0.01)
+        else:
+            picks, chance = draw.choice(len(pool), slots, replace=False).tolist(), np.full(len(pool), slots / len(pool))
         order = top.to_dict("records")
-        for i in draw.choice(len(pool), slots, replace=False):
-            item = pool.iloc[i].to_dict() | {"explore": True, "propensity": slots / len(pool)}
-            order.insert(int(draw.integers(2, limit)), item)
-        out = pd.DataFrame(order[:limit], columns=top.columns)
+        for i in picks:
+            item = pool.iloc[i].to_dict() | {"explore": True, "propensity": float(chance[i])}
+            order.pop()
+            order.insert(min(first + int(draw.integers(0, max(1, limit - first))), len(order)), item)
+        out = pd.DataFrame(order, columns=top.columns)
         return out.assign(place=np.arange(1, len(out) + 1, dtype=np.int32))
 
     fields = [f for f in placed.schema.fields if f.name != "place"]
@@ -154,11 +234,45 @@ def explore_rerank(placed: DataFrame, limit: int, epsilon: float = config.RERANK
     return placed.groupBy("request_id").applyInPandas(lambda p: one(p)[schema.names], schema)
 
 
+#: What a split takes for missing: nothing (NaN counts as 0), NaN, or zero and NaN.
+MISSING = {"None": 0, "NaN": 1, "Zero": 2}
+#: Up to this a number is zero.
+ZERO = 1e-35
+
+
+def read_trees(dump: dict) -> tuple[list[str], Trees]:
+    """Feature names and ensemble of a boosted model that was dumped as JSON (feature_names, tree_info).
+
+    Only splits by `<=` are known; another one, or a dump without trees, is an error.
+    """
+
+    def flat(node: dict, out: list) -> int:
+        at = len(out)
+        out.append(None)
+        if "leaf_value" in node:
+            out[at] = (-1, 0.0, 0, 0, float(node["leaf_value"]), True, 0)
+        else:
+            if node.get("decision_type", "<=") != "<=":
+                raise ValueError("only numerical splits by <= are supported")
+            left, right = flat(node["left_child"], out), flat(node["right_child"], out)
+            out[at] = (int(node["split_feature"]), float(node["threshold"]), left, right, 0.0, bool(node.get("default_left", True)), MISSING.get(node.get("missing_type", "None"), 0))
+        return at
+
+    trees = []
+    for tree in dump.get("tree_info", []):
+        trees.append([])
+        flat(tree["tree_structure"], trees[-1])
+    if not trees:
+        raise ValueError("the model has no trees")
+    return list(dump.get("feature_names", [])), Trees(trees)
+
+
 class Trees:
-    """A boosted ensemble as flat arrays. A tree is a list of nodes (feature, threshold, left, right, value); a
-    leaf has feature -1. A value goes left if it is at most the threshold or missing."""
+    """A boosted ensemble as flat arrays. A tree is a list of nodes (feature, threshold, left, right, value), to which
+    (default left, kind of MISSING) may be added; a leaf has feature -1. A value goes left if it is at most the threshold;
+    a missing one goes the default way, which is left where nothing is said."""
 
-    def __init__(self, trees: list[list[tuple[int, float, int, int, float]]]):
+    def __init__(self, trees: list[list[tuple]]):
         self.start = np.cumsum([0, *(len(t) for t in trees)])[:-1]
         flat = [n for t in trees for n in t]
         self.feature = np.array([n[0] for n in flat])
@@ -166,6 +280,8 @@ class Trees:
         base = np.repeat(self.start, [len(t) for t in trees])
         self.left, self.right = np.array([n[2] for n in flat]) + base, np.array([n[3] for n in flat]) + base
         self.value = np.array([n[4] for n in flat])
+        self.default = np.array([n[5] if len(n) > 5 else True for n in flat])
+        self.missing = np.array([n[6] if len(n) > 6 else MISSING["NaN"] for n in flat])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         at = np.tile(self.start, (len(x), 1))
@@ -173,7 +289,10 @@ class Trees:
             row, col = np.nonzero(inner)
             node = at[row, col]
             v = x[row, self.feature[node]]
-            at[row, col] = np.where(np.isnan(v) | (v <= self.threshold[node]), self.left[node], self.right[node])
+            kind = self.missing[node]
+            gone = (np.isnan(v) & (kind > 0)) | ((np.abs(v) <= ZERO) & (kind == MISSING["Zero"]))
+            left = np.where(gone, self.default[node], np.nan_to_num(v) <= self.threshold[node])
+            at[row, col] = np.where(left, self.left[node], self.right[node])
         return self.value[at].sum(axis=1)
 
 
@@ -196,7 +315,3 @@ def fit_ranker(rows: DataFrame, features: list[str], seed: int = 7, rounds: int
 
     steps = [VectorAssembler(inputCols=features, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, predictionCol="prediction")]
     return Pipeline(stages=steps).fit(rows)
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: round4(F.col(c)) for c in columns})

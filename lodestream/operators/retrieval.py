@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import decay, round4
+from ..sources.shared import once
 
 #: Queries of one pass of `knn`, broadcast (QUERIES * dimension * 8 bytes).
 QUERIES = 4096
+#: Queries whose scores a task holds at a time.
+TILE = 256
 
 
 def taste_vectors(weighted: DataFrame, keys: list[str], half_life_ms: int, negative_cap: float = config.NEGATIVE_CAP) -> DataFrame:
-    """keys, vector: the decayed mean of what was liked less a capped share of what was not, of unit length.
+    """keys, vector: the decayed sum of what was liked less a capped share of what was not, both over the mass of
+    what was liked, of unit length.
 
-    weighted: keys, ts, weight, vector. Sums are pre-aggregated by key and dimension, so a user with very many
-    events costs no task more than others. Users without anything liked have none.
+    weighted: keys, ts, weight, vector. Sums are pre-aggregated by key and dimension, so a user with very many events
+    costs no task more than others. Users without anything liked have none, nor have
+    those whose vector is next to nothing.
     """
     some = weighted.where((F.col("weight") != 0) & F.col("vector").isNotNull())
     now = some.groupBy(*keys).agg(F.max("ts").alias("_now"))
@@ -28,8 +33,8 @@ def taste_vectors(weighted: DataFrame, keys: list[str], half_life_ms: int, negat
     aged = some.join(now, keys).select(*keys, (F.col("weight") > 0).alias("liked"), w.alias("w"), F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
     of = lambda test, v: F.sum(F.when(test, v).otherwise(0.0))
     sums = aged.groupBy(*keys, "i").agg(of(F.col("liked"), F.col("w") * F.col("x")).alias("p"), of(F.col("liked"), F.col("w")).alias("pm"), of(~F.col("liked"), F.col("w") * F.col("x")).alias("n"), of(~F.col("liked"), F.col("w")).alias("nm"))
-    scale = F.least(F.lit(1.0), F.when(F.col("nm") > 0, negative_cap * F.col("pm") / F.col("nm")).otherwise(0.0))
-    mean = F.col("p") / F.col("pm") - F.when(F.col("nm") > 0, scale * F.col("n") / F.col("nm")).otherwise(0.0)
+    scale = F.when(F.col("nm") <= 1e-9, 0.0).otherwise(F.least(F.lit(1.0), negative_cap * F.col("pm") / F.col("nm")))
+    mean = F.col("p") / F.col("pm") - scale * F.col("n") / F.col("pm")
     whole = sums.where("pm > 1e-9").withColumn("x", mean).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return whole.where("n >= 1e-9").select(*keys, F.transform("v", lambda s: s["x"] / F.col("n")).alias("vector"))
 
@@ -45,12 +50,12 @@ def knn(queries: DataFrame, items: DataFrame, k: int, same: str | None = None) -
     """query_id, rank, item_id, score: each query's k items of highest cosine, itself left out.
 
     queries: query_id, vector; items: item_id, vector, filtered beforehand as wanted; `same` names a column that
-    must be equal. Queries go through the items in passes of a bounded number, in block products; each
-    partition keeps k a query. Null vectors take no part.
+    must be equal. The queries are computed once and go through the items in passes of a bounded number, in block
+    products; each batch keeps k a query. Null vectors take no part.
     """
     spark = queries.sparkSession
     extra = [same] if same else []
-    q = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
+    q = once(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *extra))
     found = None
     passes = max(1, -(-q.count() // QUERIES))
     for n in range(passes):
@@ -79,15 +84,21 @@ def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.Record
             continue
         own = batch.column(0).to_numpy()
         x = _unit(batch.column(1).flatten().to_numpy().reshape(len(own), -1))
-        score = np.floor(q @ x.T * 1e4 + 0.5) / 1e4
-        bad = own[None, :] == ids[:, None]
-        if same is not None:
-            bad |= batch.column(2).to_numpy(zero_copy_only=False)[None, :] != same[:, None]
-        score[bad] = -np.inf
-        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-        best = np.take_along_axis(score, order, axis=1)
-        row, col = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[order[row, col]]), pa.array(best[row, col])], ["query_id", "item_id", "score"])
+        kind = None if same is None else batch.column(2).to_numpy(zero_copy_only=False)
+        for t in range(0, len(ids), TILE):
+            asked = ids[t : t + TILE]
+            score = np.floor(q[t : t + TILE] @ x.T * 1e4 + 0.5) / 1e4
+            bad = own[None, :] == asked[:, None]
+            if kind is not None:
+                bad |= kind[None, :] != same[t : t + TILE, None]
+            score[bad] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(asked), -np.inf)
+            row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            order = np.lexsort((own[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(own[col]), pa.array(score[row, col])], ["query_id", "item_id", "score"])
 
 
 def neighbor_candidates(seeds: DataFrame, neighbors: DataFrame, source: str, reason: str, each: int, fade: float = 0.15) -> DataFrame:
@@ -98,7 +109,7 @@ def neighbor_candidates(seeds: DataFrame, neighbors: DataFrame, source: str, rea
 
 
 def merge(*generated: DataFrame) -> DataFrame:
-    """One row a request and item: the best score of each source, and the reason of the best of all.
+    """One row a request and item: the best score of each source, the reason of the best of all and of the best trend.
 
     Each generator gives request_id, item_id, source, score, reason.
     """
@@ -107,9 +118,9 @@ def merge(*generated: DataFrame) -> DataFrame:
         every = every.unionByName(more)
     best = lambda s: F.max(F.when(F.col("source") == s, F.col("score")))
     return every.groupBy("request_id", "item_id").agg(
-        best("semantic").alias("semantic"), best("cf").alias("cf"), best("next").alias("next"), best("trending").alias("trending"),
-        F.max(F.struct("score", "source", "reason")).alias("_top"), F.count("*").alias("sources"),
-    ).withColumn("reason", F.col("_top.reason")).drop("_top")
+        best("semantic").alias("semantic"), best("fresh").alias("fresh"), best("cf").alias("cf"), best("next").alias("next"), best("trending").alias("trending"), best("popular").alias("popular"),
+        F.max(F.struct("score", "source", "reason")).alias("_top"), F.max(F.when(F.col("source") == "trending", F.struct("score", "reason"))).alias("_hot"), F.countDistinct("source").alias("sources"),
+    ).withColumn("reason", F.col("_top.reason")).withColumn("trending_reason", F.col("_hot.reason")).drop("_top", "_hot")
 
 
 def recall_at_k(found: DataFrame, wanted: DataFrame) -> DataFrame:

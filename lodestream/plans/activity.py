@@ -65,7 +65,8 @@ _OUT = f"""CASE WHEN event_type = 'IMPRESSION' THEN 'IMPRESSED' WHEN event_type
 def dedupe_events(spark, d):
     e = views.events(spark, d)
     again = e.where("event_id % 10 = 0").withColumns({"received_ts": F.col("received_ts") + 1000, "ts": F.col("ts") + F.when(F.col("event_id") % 20 == 0, 2 * DAY).otherwise(5)})
-    return ev_ops.dedupe(e.unionByName(again)).select("event_id", "user_id", "ts", "received_ts")
+    third = again.withColumns({"received_ts": F.col("received_ts") + 1000, "ts": F.col("ts") + 5})
+    return ev_ops.dedupe(e.unionByName(again).unionByName(third)).select("event_id", "user_id", "ts", "received_ts")
 
 
 def late_events(spark, d):
@@ -159,31 +160,35 @@ def browsing_skips(spark, d):
     return ev_ops.mark_browsing(views.events(spark, d), window_ms=DAY, skips=2).where("browsing").select("event_id", "user_id", "session_id")
 
 
-def neighbor_pairs(spark, d):
-    # a session of the driver's data is a day; here it is a user and domain, so that items meet
-    e = weighted(spark, d).withColumn("session_id", F.col("domain")).withColumn("weight", F.when(F.col("event_type") == "SAVE", 1.2).otherwise(F.col("weight")))
+def pairs_of(weighted):
+    """Pairs within sessions. A session is what falls into one hour of the engine, a week of the driver's data."""
+    e = weighted.withColumn("session_id", F.floor(F.col("ts") / HOUR)).withColumn("weight", F.when(F.col("event_type") == "SAVE", 1.2).otherwise(F.col("weight")))
     return neighbors.pairs(neighbors.positives(e))
 
 
+def neighbor_pairs(spark, d):
+    return pairs_of(weighted(spark, d))
+
+
 def _neighbors(kind):
     def run(spark, d):
         found = neighbor_pairs(spark, d)
-        return neighbors.neighbor_lists(found, features.newest(views.events(spark, d)), support=0.5, top=10).where(F.col("kind") == kind)
+        return neighbors.neighbor_lists(found, features.newest(views.events(spark, d)), support=0.5).where(F.col("kind") == kind)
 
     return run
 
 
-PAIRS_CTE = f"""pw AS (SELECT * REPLACE (CASE WHEN event_type = 'SAVE' THEN 1.2::DOUBLE ELSE weight END AS weight) FROM w),
- p0 AS (SELECT user_id, domain, item_id, ts, event_id, lag(item_id) OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) AS prev FROM pw WHERE weight >= 0.4 AND event_type IN {config.ENGAGING!r} AND item_id IS NOT NULL),
- p AS (SELECT user_id, domain, item_id, ts, pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) AS pos FROM p0 WHERE prev IS NULL OR prev <> item_id) WHERE pos <= 201),
- pj AS (SELECT a.user_id, a.domain, a.item_id, a.ts, a.pos, b.item_id AS other, max(b.pos) AS other_at FROM p a JOIN p b USING (user_id, domain) WHERE b.pos < a.pos AND b.item_id <> a.item_id GROUP BY ALL),
- near AS (SELECT * FROM pj QUALIFY row_number() OVER (PARTITION BY user_id, domain, pos ORDER BY other_at DESC) <= 5),
- raw AS (SELECT user_id, domain, ts, pos, other AS from_item, item_id AS to_item, 'co' AS kind, other_at, 0 AS way FROM near UNION ALL SELECT user_id, domain, ts, pos, item_id, other, 'co', other_at, 1 FROM near
-   UNION ALL SELECT * FROM (SELECT user_id, domain, ts, pos, lag(item_id) OVER (PARTITION BY user_id, domain ORDER BY pos) AS from_item, item_id AS to_item, 'next' AS kind, 0 AS other_at, 0 AS way FROM p) WHERE from_item IS NOT NULL),
- pairs AS (SELECT from_item, to_item, kind, ts FROM raw QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY pos, kind DESC, other_at, way) <= 200),
+PAIRS_CTE = f"""pw AS (SELECT * REPLACE (CASE WHEN event_type = 'SAVE' THEN 1.2::DOUBLE ELSE weight END AS weight, ts // {HOUR} AS session_id) FROM w),
+ p0 AS (SELECT user_id, domain, session_id, item_id, ts, event_id, lag(item_id) OVER (PARTITION BY user_id, domain, session_id ORDER BY ts, event_id) AS prev FROM pw WHERE weight >= 0.4 AND event_type IN {config.ENGAGING!r} AND item_id IS NOT NULL),
+ p AS (SELECT user_id, domain, session_id, item_id, ts, pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, domain, session_id ORDER BY ts, event_id) AS pos FROM p0 WHERE prev IS NULL OR prev <> item_id) WHERE pos <= 201),
+ pj AS (SELECT a.user_id, a.domain, a.session_id, a.item_id, a.ts, a.pos, b.item_id AS other, max(b.pos) AS other_at FROM p a JOIN p b USING (user_id, domain, session_id) WHERE b.pos < a.pos AND b.item_id <> a.item_id GROUP BY ALL),
+ near AS (SELECT * FROM pj QUALIFY row_number() OVER (PARTITION BY user_id, domain, session_id, pos ORDER BY other_at DESC) <= 5),
+ raw AS (SELECT user_id, domain, session_id, ts, pos, other AS from_item, item_id AS to_item, 'co' AS kind, other_at, 0 AS way FROM near UNION ALL SELECT user_id, domain, session_id, ts, pos, item_id, other, 'co', other_at, 1 FROM near
+   UNION ALL SELECT * FROM (SELECT user_id, domain, session_id, ts, pos, lag(item_id) OVER (PARTITION BY user_id, domain, session_id ORDER BY pos) AS from_item, item_id AS to_item, 'next' AS kind, 0 AS other_at, 0 AS way FROM p) WHERE from_item IS NOT NULL),
+ pairs AS (SELECT from_item, to_item, kind, ts FROM raw QUALIFY row_number() OVER (PARTITION BY user_id, domain, session_id ORDER BY pos, kind DESC, other_at, way) <= 200),
  nsum AS (SELECT from_item, kind, to_item, {sql.round4('sum(' + sql.decay('1.0', f'{NOW} - ts', config.NEIGHBOR_HALF_LIFE) + ')')} AS n FROM pairs GROUP BY ALL),
  nrank AS (SELECT *, row_number() OVER (PARTITION BY from_item, kind ORDER BY n DESC, to_item) AS rank, max(n) OVER (PARTITION BY from_item, kind) AS most FROM nsum WHERE n >= 0.5),
- neighbors AS (SELECT from_item AS item_id, kind, CAST(rank AS INTEGER) AS rank, to_item AS neighbor_id, {sql.round4('n / most')} AS score FROM nrank WHERE rank <= 10)"""
+ neighbors AS (SELECT from_item AS item_id, kind, CAST(rank AS INTEGER) AS rank, to_item AS neighbor_id, {sql.round4('n / most')} AS score FROM nrank WHERE rank <= {config.NEIGHBOR_TOP})"""
 
 _EV = sql.cte(sql.EV)
 _W = sql.cte(sql.EV, WEIGHTED_SQL)

@@ -9,10 +9,15 @@ from .. import config
 from ..functions.scalars import round4
 from ..operators import features, neighbors, ranking, retrieval, trending
 from ..sources import views
+from ..sources.shared import once
 from . import activity, sql
 
 TODAY = "2024-01-31"
 LIMIT = 10
+#: Days for which an item is new: the driver's weeks stand for the engine's hours.
+FRESH_DAYS = 60
+#: The driver's data has no dislikes: its skips stand for items and creators that are turned down.
+TURNED_DOWN = ("SKIP",)
 _DOMAIN_NO = "CASE domain " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(config.DOMAINS)) + " END"
 
 
@@ -55,27 +60,28 @@ def _taste_sql(name, keys, half_life):
     return f"""{name}_v AS (SELECT {', '.join('w.' + x for x in keys)}, w.weight, w.ts, item.vector, max(w.ts) OVER (PARTITION BY {', '.join('w.' + x for x in keys)}) AS now FROM w JOIN item USING (item_id) WHERE w.weight <> 0),
  {name}_x AS (SELECT {k}, weight > 0 AS liked, {sql.decay('abs(weight)', 'now - ts', half_life)} AS a, CAST(unnest(vector) AS DOUBLE) AS x, generate_subscripts(vector, 1) - 1 AS i FROM {name}_v),
  {name}_s AS (SELECT {k}, i, sum(CASE WHEN liked THEN a * x ELSE 0.0 END) AS p, sum(CASE WHEN liked THEN a ELSE 0.0 END) AS pm, sum(CASE WHEN liked THEN 0.0 ELSE a * x END) AS n, sum(CASE WHEN liked THEN 0.0 ELSE a END) AS nm FROM {name}_x GROUP BY ALL),
- {name}_m AS (SELECT {k}, i, p / pm - CASE WHEN nm > 0 THEN least(1.0::DOUBLE, {config.NEGATIVE_CAP} * pm / nm) * n / nm ELSE 0.0 END AS x FROM {name}_s WHERE pm > 1e-9),
- {name} AS (SELECT {k}, i, x / sqrt(sum(x * x) OVER (PARTITION BY {k})) AS x FROM {name}_m)"""
+ {name}_m AS (SELECT {k}, i, p / pm - CASE WHEN nm <= 1e-9 THEN 0.0 ELSE least(1.0::DOUBLE, {config.NEGATIVE_CAP} * pm / nm) END * n / pm AS x FROM {name}_s WHERE pm > 1e-9),
+ {name} AS (SELECT {k}, i, x / norm AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {k})) AS norm FROM {name}_m) WHERE norm >= 1e-9)"""
 
 
 def requests(spark, d):
-    """A request for each domain of one user in ten: request_id, user_id, domain, and the taste as query."""
-    return taste(spark, d).where("user_id % 10 = 0").withColumn("request_id", F.col("user_id") * 4 + _domain_no())
+    """A request for each user and domain with a taste: request_id, user_id, domain, region, and the taste as query."""
+    return taste(spark, d).withColumn("request_id", F.col("user_id") * 4 + _domain_no()).withColumn("region", views.country(F.col("user_id")))
 
 
-def _semantic(spark, d, k=20, items=None):
-    asked = requests(spark, d).select(F.col("request_id").alias("query_id"), "vector", "domain")
-    return retrieval.knn(asked, views.items(spark, d) if items is None else items, k, same="domain")
+def _semantic(asked, items, k):
+    return retrieval.knn(asked.select(F.col("request_id").alias("query_id"), "vector", "domain"), items, k, same="domain")
 
 
 def knn_items(spark, d):
-    return retrieval.knn(views.items(spark, d).where("item_id % 25 = 0").select(F.col("item_id").alias("query_id"), "vector"), views.items(spark, d), 10)
+    """Asks with the items whose id is divisible by 100, against all."""
+    i = views.items(spark, d)
+    return retrieval.knn(i.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "vector"), i, 10)
 
 
 def knn_filtered(spark, d):
     fit = views.items(spark, d).where(~F.col("explicit") & F.array_contains("regions", "DE"))
-    return _semantic(spark, d, 10, fit)
+    return _semantic(requests(spark, d), fit, 10)
 
 
 def rescore_ids(spark, d):
@@ -93,42 +99,85 @@ def item_profiles_left_join(spark, d):
     return p.join(i.where("genre < 5").select("item_id", "genre", F.size("vector").alias("dims")), "item_id", "left")
 
 
-def _seeds(spark, d):
-    recent = activity.weighted(spark, d).where("weight > 0 and user_id % 10 = 0").groupBy("user_id", "domain", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
+def _seeds(weighted):
+    recent = weighted.where("weight > 0").groupBy("user_id", "domain", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
     order = Window.partitionBy("user_id", "domain").orderBy(F.col("at").desc())
     kept = recent.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < config.CANDIDATES["cf_seeds"])
     return kept.select((F.col("user_id") * 4 + _domain_no()).alias("request_id"), F.col("item_id").alias("seed"), "place")
 
 
-def candidates(spark, d):
-    e = views.events(spark, d)
-    lists = neighbors.neighbor_lists(activity.neighbor_pairs(spark, d), features.newest(e), support=0.5, top=10)
-    seeds = _seeds(spark, d)
-    semantic = _semantic(spark, d).select(F.col("query_id").alias("request_id"), "item_id", F.lit("semantic").alias("source"), F.greatest("score", F.lit(0.0)).alias("score"), F.lit("SIMILAR_TO_TASTE").alias("reason"))
-    cf = retrieval.neighbor_candidates(seeds, lists.where("kind = 'co'"), "cf", "LISTENED_TOGETHER", config.CANDIDATES["cf"])
-    follow = retrieval.neighbor_candidates(seeds.where("place = 0"), lists.where("kind = 'next'"), "next", "OFTEN_PLAYED_NEXT", config.CANDIDATES["next"])
-    hot = trending.trending(trending.window_counts(e, activity.WINDOW), features.newest(e), activity.HOUR, config.CANDIDATES["trending"]).where("region = 'GLOBAL'")
-    hot = hot.withColumn("score", round4(F.col("score") / F.max("score").over(Window.partitionBy("domain"))))
-    hot = requests(spark, d).select("request_id", "domain").join(hot, "domain").select("request_id", "item_id", F.lit("trending").alias("source"), "score", F.lit("TRENDING").alias("reason"))
-    merged = retrieval.merge(semantic, cf.select(semantic.columns), follow.select(semantic.columns), hot)
-    return requests(spark, d).select("request_id", "user_id", "domain").join(merged, "request_id")
+class Serving:
+    """What the ranking queries share: events, requests and candidates, each computed once."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+        self.events = once(activity.weighted(spark, d))
+        self.items = once(views.items(spark, d))
+        self.now = features.newest(self.events)
+        self.asked = once(requests(spark, d))
+
+    def candidates(self):
+        c, asked = config.CANDIDATES, self.asked
+        row = lambda df, source, reason: df.select(F.col("query_id").alias("request_id"), "item_id", F.lit(source).alias("source"), F.greatest("score", F.lit(0.0)).alias("score"), F.lit(reason).alias("reason"))
+        near = row(_semantic(asked, self.items, c["semantic"]), "semantic", "SIMILAR_TO_TASTE")
+        new = self.items.where(F.col("release_date") >= F.date_sub(F.lit(TODAY).cast("date"), FRESH_DAYS))
+        fresh = row(_semantic(asked, new, c["fresh"]), "fresh", "NEW_FOR_YOU")
+        lists = once(neighbors.neighbor_lists(activity.pairs_of(self.events), self.now, support=0.5))
+        seeds = once(_seeds(self.events))
+        cf = retrieval.neighbor_candidates(seeds, lists.where("kind = 'co'"), "cf", "LISTENED_TOGETHER", c["cf"])
+        follow = retrieval.neighbor_candidates(seeds.where("place = 0"), lists.where("kind = 'next'"), "next", "OFTEN_PLAYED_NEXT", c["next"])
+        hot = trending.trending(trending.window_counts(self.events, activity.WINDOW), self.now, activity.HOUR, c["trending"])
+        hot = once(hot.withColumn("score", round4(F.col("score") / F.max("score").over(Window.partitionBy("domain", "region")))))
+        who = asked.select("request_id", "domain", "region")
+        here = who.join(hot, ["domain", "region"]).withColumn("reason", F.lit("POPULAR_IN_REGION"))
+        world = who.drop("region").join(hot.where("region = 'GLOBAL'"), "domain").withColumn("reason", F.lit("TRENDING"))
+        trend = [x.withColumn("source", F.lit("trending")).select(near.columns) for x in (here, world)]
+        merged = retrieval.merge(near, fresh, cf.select(near.columns), follow.select(near.columns), *trend)
+        # an item of no source has no request: a user without any candidate would be served the popular list
+        return once(asked.select("request_id", "user_id", "domain", "region").join(merged, "request_id"))
+
+    def features(self):
+        meta = self.items.select("item_id", "creator_id", "genre", "mood", "release_date")
+        with_items = self.events.join(meta, "item_id", "left")
+        liking = {by: features.affinities(with_items, by) for by in ranking.AFFINITIES}
+        recent = features.recent_interactions(self.events).join(self.items.select("item_id", "creator_id"), "item_id")
+        now = self.events.groupBy("user_id", "domain").agg(F.max("ts").alias("now"))
+        rejected = ranking.rejected_creators(recent, now, activity.HOUR)
+        return ranking.rank_features(self.candidates(), features.item_stats(self.events, now=self.now), meta, liking, rejected, TODAY)
+
+    def scored(self):
+        return once(self.features().withColumn("score", round4(ranking.heuristic_score())).withColumn("reason", ranking.reason()))
+
+    def blocked(self):
+        """Items never shown: consumed within the domain's window, turned down, or liked where liked items do not come again."""
+        used = features.consumed_items(self.events)
+        down = features.recent_set(self.events, TURNED_DOWN, config.SUPPRESSED_MAX)
+        liked = features.recent_set(self.events, ("LIKE", "SAVE"), config.LIKED_MAX).where(F.col("domain").isin(*config.LIKED_ONCE))
+        columns = ["user_id", "domain", "item_id"]
+        return used.select(columns).unionByName(down.select(columns)).unionByName(liked.select(columns)).distinct()
+
+    def blocked_creators(self):
+        """Creators of items that were turned down within the last thirty days."""
+        down = self.events.where(F.col("event_type").isin(*TURNED_DOWN)).join(self.items.select("item_id", "creator_id"), "item_id")
+        now = self.events.groupBy("user_id", "domain").agg(F.max("ts").alias("now"))
+        held = down.where("creator_id is not null").join(now, ["user_id", "domain"]).where(F.col("now") - F.col("ts") <= config.CREATOR_SUPPRESSION)
+        return held.select("user_id", "domain", "creator_id").distinct()
+
+    def filtered(self):
+        asked = self.asked.select("request_id", "region")
+        return ranking.hard_filter(self.scored().join(asked, "request_id"), self.blocked(), self.blocked_creators(), self.items, F.col("region"))
 
 
 def candidates_merged(spark, d):
-    return candidates(spark, d).select("request_id", "item_id", *[round4(F.col(c)).alias(c) for c in ("semantic", "cf", "next", "trending")], "sources")
-
-
-def feature_rows(spark, d):
-    meta = views.items(spark, d).select("item_id", "creator_id", "genre", "release_date")
-    return ranking.rank_features(candidates(spark, d), features.item_stats(views.events(spark, d)), meta, activity.affinity_genre(spark, d), TODAY)
+    return Serving(spark, d).candidates().select("request_id", "item_id", *[round4(F.col(c)).alias(c) for c in ("semantic", "fresh", "cf", "next", "trending")], "sources")
 
 
 def rank_features(spark, d):
-    return feature_rows(spark, d).select("request_id", "item_id", *[round4(F.col(f"f_{f}")).alias(f"f_{f}") for f in config.FEATURES])
+    return Serving(spark, d).features().select("request_id", "item_id", *[round4(F.col(f"f_{f}")).alias(f"f_{f}") for f in config.FEATURES])
 
 
 def scored(spark, d):
-    return feature_rows(spark, d).withColumn("score", round4(ranking.heuristic_score())).withColumn("reason", ranking.reason())
+    return Serving(spark, d).scored()
 
 
 def heuristic_topk(spark, d):
@@ -140,8 +189,27 @@ def reason_codes(spark, d):
 
 
 def hard_filter(spark, d):
-    blocked = features.consumed_items(views.events(spark, d))
-    return ranking.hard_filter(scored(spark, d), blocked, views.items(spark, d), F.lit("US")).select("request_id", "item_id", "score")
+    return Serving(spark, d).filtered().select("request_id", "item_id", "score")
+
+
+def topped_up(spark, d):
+    """The first of each request after the hard filters, short lists filled up from the popular items."""
+    s = Serving(spark, d)
+    shown = ranking.top_per_request(s.filtered(), LIMIT).withColumnRenamed("rank", "place")
+    lists = trending.trending(trending.window_counts(s.events, activity.WINDOW), s.now, activity.HOUR, config.TRENDING_TOP)
+    popular = trending.region_then_global(lists, "DE", 50)
+    return ranking.top_up(shown, popular, s.blocked(), LIMIT).select("request_id", "item_id", "place", round4(F.col("score")).alias("score"), "reason")
+
+
+def fallback_levels(spark, d):
+    """How many users have an answer of each level, by domain: one with a taste, or only the domain's popular list."""
+    users = views.events(spark, d).select("user_id", "domain").distinct()
+    known = taste(spark, d).select("user_id", "domain", F.lit(True).alias("known"))
+    lists = activity.trending_lists(spark, d).select("domain", F.lit(True).alias("listed")).distinct()
+    j = users.join(known, ["user_id", "domain"], "left").join(lists, "domain", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    level = ranking.fallback_level(F.lit(False), yes("known"), yes("known") | yes("listed"), yes("listed"))
+    return j.groupBy("domain", level.alias("level")).agg(F.count("*").alias("n"))
 
 
 def freshness_boost(spark, d):
@@ -159,10 +227,19 @@ def diversity_rerank(spark, d):
 
 
 def explore_rerank(spark, d):
-    top = scored(spark, d).select("request_id", "user_id", "item_id", "creator_id", "genre", "score")
-    stats = features.item_stats(views.events(spark, d)).select("item_id", "impressions")
-    placed = ranking.diversity_rerank(top, LIMIT).join(stats, "item_id", "left").select("request_id", "item_id", "score", "impressions", "place")
-    return ranking.explore_rerank(placed, LIMIT).select("request_id", "place", "item_id", "explore", "propensity")
+    return _explored(spark, d, "epsilon")
+
+
+def explore_thompson(spark, d):
+    return _explored(spark, d, "thompson")
+
+
+def _explored(spark, d, strategy):
+    s = Serving(spark, d)
+    top = s.scored().select("request_id", "user_id", "item_id", "creator_id", "genre", "score", "fresh")
+    stats = features.item_stats(s.events, now=s.now).select("item_id", "plays", "impressions")
+    placed = ranking.diversity_rerank(top, LIMIT).join(stats, "item_id", "left").select("request_id", "item_id", "creator_id", "score", "fresh", "plays", "impressions", "place")
+    return ranking.explore_rerank(placed, LIMIT, strategy=strategy).select("request_id", "place", "item_id", "explore", "propensity")
 
 
 def recall_at_k(spark, d):
@@ -208,7 +285,7 @@ def pointwise_ranker(spark, d):
 
 _TASTE = _taste_sql("taste", ["user_id", "domain"], config.LONG_HALF_LIFE)
 _BASE = f"{sql.cte(sql.EV, sql.ITEM)}, {activity.WEIGHTED_SQL}"
-REQ = f"{_TASTE}, req AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, user_id, domain, list(x ORDER BY i) AS v FROM taste WHERE user_id % 10 = 0 GROUP BY ALL)"
+REQ = f"{_TASTE}, req AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, user_id, domain, {sql.pick(views.COUNTRIES, 'user_id % 6')} AS region, list(x ORDER BY i) AS v FROM taste GROUP BY ALL)"
 _COS = "list_cosine_similarity(v, CAST(vector AS DOUBLE[]))"
 
 
@@ -218,29 +295,48 @@ def _knn_sql(name, k, where="true"):
 
 
 _RANKED = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM {}"
-_AFF = activity._affinity_sql("genre").split(", wi AS", 1)[1]
-CAND = f"""{REQ}, {activity.PAIRS_CTE}, {activity.TREND_CTE}, {_knn_sql('sem', 20)},
- sd AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, item_id AS seed, row_number() OVER (PARTITION BY user_id, domain ORDER BY t DESC, e DESC) - 1 AS place FROM (SELECT user_id, domain, item_id, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS e FROM w WHERE weight > 0 AND user_id % 10 = 0 GROUP BY ALL) QUALIFY place < 5),
- nc AS (SELECT request_id, neighbor_id AS item_id, kind, max(score * (1 - 0.15 * place)) AS score FROM sd JOIN neighbors ON seed = item_id WHERE kind = 'co' OR place = 0 GROUP BY ALL),
- ht AS (SELECT domain, item_id, {sql.round4('score / max(score) OVER (PARTITION BY domain)')} AS score FROM trend WHERE region = 'GLOBAL' AND rank <= 50),
+_C = config.CANDIDATES
+CAND = f"""{REQ}, {activity.PAIRS_CTE}, {activity.TREND_CTE}, {_knn_sql('sem', _C['semantic'])}, {_knn_sql('new', _C['fresh'], f"release_date >= CAST(DATE '{TODAY}' - {FRESH_DAYS} AS DATE)")},
+ sd AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, item_id AS seed, row_number() OVER (PARTITION BY user_id, domain ORDER BY t DESC, e DESC) - 1 AS place FROM (SELECT user_id, domain, item_id, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS e FROM w WHERE weight > 0 GROUP BY ALL) QUALIFY place < {_C['cf_seeds']}),
+ nc AS (SELECT request_id, neighbor_id AS item_id, kind, max(score * (1 - 0.15 * place)) AS score FROM sd JOIN neighbors ON seed = item_id WHERE (kind = 'co' AND rank <= {_C['cf']}) OR (kind = 'next' AND place = 0 AND rank <= {_C['next']}) GROUP BY ALL),
+ ht AS (SELECT domain, region, item_id, {sql.round4('score / max(score) OVER (PARTITION BY domain, region)')} AS score FROM trend WHERE rank <= {_C['trending']}),
  gen AS (SELECT query_id AS request_id, item_id, 'semantic' AS source, greatest(score, 0.0) AS score, 'SIMILAR_TO_TASTE' AS reason FROM sem
+   UNION ALL SELECT query_id, item_id, 'fresh', greatest(score, 0.0), 'NEW_FOR_YOU' FROM new
    UNION ALL SELECT request_id, item_id, CASE kind WHEN 'co' THEN 'cf' ELSE 'next' END, score, CASE kind WHEN 'co' THEN 'LISTENED_TOGETHER' ELSE 'OFTEN_PLAYED_NEXT' END FROM nc
-   UNION ALL SELECT request_id, item_id, 'trending', score, 'TRENDING' FROM req JOIN ht USING (domain)),
- mg AS (SELECT request_id, item_id, max(score) FILTER (source = 'semantic') AS semantic, max(score) FILTER (source = 'cf') AS cf, max(score) FILTER (source = 'next') AS next, max(score) FILTER (source = 'trending') AS trending,
-   arg_max(reason, (score, source, reason)) AS reason, count(*) AS sources FROM gen GROUP BY ALL),
- cand AS (SELECT user_id, domain, mg.* FROM mg JOIN req USING (request_id))"""
-FEAT = f"""{CAND}, {activity.ITEM_STATS_CTE}, wi AS{_AFF.rsplit(' SELECT user_id', 1)[0]},
- aff AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY abs(affinity) DESC, genre) <= {config.AFFINITY_MAX}),
- share AS (SELECT user_id, domain, genre, affinity / max(affinity) OVER (PARTITION BY user_id, domain) AS share FROM aff WHERE affinity > 0),
- feat AS (SELECT c.request_id, c.user_id, c.domain, c.item_id, m.creator_id, m.genre, m.release_date, m.explicit, m.regions, c.reason, greatest(coalesce(semantic, 0.0), 0.0) AS f_semantic, coalesce(cf, 0.0) AS f_cf, coalesce(next, 0.0) AS f_next, 0.3 * coalesce(share, 0.0) AS f_affinity,
-   coalesce(trending, 0.0) AS f_trending, coalesce(ctr, 0.1) AS f_ctr, coalesce(completion_rate, 0.5) AS f_completion, CASE WHEN m.release_date IS NULL THEN 0.3 ELSE exp(-greatest(DATE '{TODAY}' - m.release_date, 0) / 90.0::DOUBLE) END AS f_freshness, 0.0::DOUBLE AS f_penalty
-   FROM cand c LEFT JOIN item_stats st ON st.item_id = c.item_id LEFT JOIN item m ON m.item_id = c.item_id LEFT JOIN share ON share.user_id = c.user_id AND share.domain = c.domain AND share.genre = m.genre)"""
-_W = config.RANK_WEIGHTS
+   UNION ALL SELECT request_id, item_id, 'trending', score, 'POPULAR_IN_REGION' FROM req JOIN ht USING (domain, region)
+   UNION ALL SELECT request_id, item_id, 'trending', score, 'TRENDING' FROM req JOIN ht USING (domain) WHERE ht.region = 'GLOBAL'),
+ mg AS (SELECT request_id, item_id, {', '.join(f"max(score) FILTER (source = '{x}') AS {x}" for x in ('semantic', 'fresh', 'cf', 'next', 'trending'))},
+   arg_max(reason, (score, source, reason)) AS reason, arg_max(reason, (score, reason)) FILTER (source = 'trending') AS trending_reason, count(DISTINCT source) AS sources FROM gen GROUP BY ALL),
+ cand AS (SELECT user_id, domain, region, mg.* FROM mg JOIN req USING (request_id))"""
+
+
+def _liking_sql(by):
+    return f"""as_{by} AS (SELECT user_id, domain, {by}, {sql.round4('sum(' + sql.decay('weight', 'now - ts', config.AFFINITY_HALF_LIFE) + ')')} AS affinity FROM wi JOIN last USING (user_id, domain) WHERE {by} IS NOT NULL AND weight <> 0 GROUP BY ALL),
+ af_{by} AS (SELECT * FROM as_{by} QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY abs(affinity) DESC, {by}) <= {config.AFFINITY_MAX}),
+ li_{by} AS (SELECT user_id, domain, {by}, affinity / max(affinity) OVER (PARTITION BY user_id, domain) AS share FROM af_{by} WHERE affinity > 0)"""
+
+
+FEAT = f"""{CAND}, {activity.ITEM_STATS_CTE}, wi AS (SELECT w.*, item.creator_id, item.genre, item.mood FROM w LEFT JOIN item USING (item_id)),
+ last AS (SELECT user_id, domain, max(ts) AS now FROM w GROUP BY ALL), {', '.join(map(_liking_sql, ('creator_id', 'genre', 'mood')))},
+ rejected AS (SELECT DISTINCT user_id, domain, creator_id, 1.0::DOUBLE AS down FROM (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY ts DESC, event_id DESC) <= {config.RECENT_MAX}) r JOIN last USING (user_id, domain)
+   WHERE weight < 0 AND creator_id IS NOT NULL AND now - ts < {activity.HOUR}),
+ feat AS (SELECT c.request_id, c.user_id, c.domain, c.region, c.item_id, m.item_id IS NOT NULL AS known, m.creator_id, m.genre, m.release_date, m.explicit, m.regions, c.reason, c.trending_reason, c.semantic, c.fresh,
+   greatest(coalesce(c.semantic, c.fresh, 0.0), 0.0) AS f_semantic, coalesce(cf, 0.0) AS f_cf, coalesce(next, 0.0) AS f_next, 0.0 + 0.5::DOUBLE * coalesce(lc.share, 0.0) + 0.3::DOUBLE * coalesce(lg.share, 0.0) + 0.2::DOUBLE * coalesce(lm.share, 0.0) AS f_affinity,
+   coalesce(trending, 0.0) AS f_trending, coalesce(ctr, 0.1) AS f_ctr, coalesce(completion_rate, 0.5) AS f_completion, CASE WHEN m.release_date IS NULL THEN 0.3 ELSE exp(-greatest(DATE '{TODAY}' - m.release_date, 0) / 90.0::DOUBLE) END AS f_freshness, coalesce(down, 0.0) AS f_penalty
+   FROM cand c LEFT JOIN item_stats st ON st.item_id = c.item_id LEFT JOIN item m ON m.item_id = c.item_id
+   LEFT JOIN li_creator_id lc ON lc.user_id = c.user_id AND lc.domain = c.domain AND lc.creator_id = m.creator_id LEFT JOIN li_genre lg ON lg.user_id = c.user_id AND lg.domain = c.domain AND lg.genre = m.genre
+   LEFT JOIN li_mood lm ON lm.user_id = c.user_id AND lm.domain = c.domain AND lm.mood = m.mood LEFT JOIN rejected rj ON rj.user_id = c.user_id AND rj.domain = c.domain AND rj.creator_id = m.creator_id)"""
 _POP = "(0.5 * f_trending + 0.5 * least(1.0, f_ctr / 0.3))"
 _SCORE = f"0.45 * f_semantic + 0.15 * f_cf + 0.1 * f_next + 0.1 * f_affinity + 0.08 * {_POP} + 0.07 * f_completion + 0.05 * f_freshness + -0.15 * f_penalty"
 SCORED = f"""{FEAT}, sc AS (SELECT *, {sql.round4(_SCORE)} AS score, 0.45 * f_semantic + 0.1 * f_affinity AS ps, 0.15 * f_cf AS pc, 0.1 * f_next AS pn, 0.08 * f_trending AS pt FROM feat),
  sr AS (SELECT * REPLACE (CASE WHEN greatest(ps, pc, pn, pt) <= 0 THEN reason WHEN greatest(ps, pc, pn, pt) = pn AND f_next > 0 THEN 'OFTEN_PLAYED_NEXT' WHEN greatest(ps, pc, pn, pt) = pc AND f_cf > 0 THEN 'LISTENED_TOGETHER'
-   WHEN greatest(ps, pc, pn, pt) = ps AND f_semantic > 0 THEN 'SIMILAR_TO_RECENT' WHEN greatest(ps, pc, pn, pt) = pt AND f_trending > 0 THEN 'TRENDING' ELSE reason END AS reason), CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM sc)"""
+   WHEN greatest(ps, pc, pn, pt) = ps AND semantic IS NOT NULL THEN 'SIMILAR_TO_TASTE' WHEN greatest(ps, pc, pn, pt) = ps AND fresh IS NOT NULL THEN 'NEW_FOR_YOU' WHEN greatest(ps, pc, pn, pt) = pt AND trending_reason IS NOT NULL THEN trending_reason ELSE reason END AS reason), CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM sc)"""
+_TURNED_DOWN = "event_type = 'SKIP'"
+FILTERED = f"""{SCORED}, {activity.CONSUMED_CTE},
+ blocked AS (SELECT user_id, domain, item_id FROM consumed UNION SELECT user_id, domain, item_id FROM (SELECT user_id, domain, item_id, max((ts, event_id)) AS pos FROM ev WHERE {_TURNED_DOWN} GROUP BY user_id, domain, item_id) QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY pos DESC) <= {config.SUPPRESSED_MAX}
+   UNION SELECT user_id, domain, item_id FROM (SELECT user_id, domain, item_id, max((ts, event_id)) AS pos FROM ev WHERE event_type IN ('LIKE', 'SAVE') AND domain IN {config.LIKED_ONCE!r} GROUP BY user_id, domain, item_id) QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY pos DESC) <= {config.LIKED_MAX}),
+ bc AS (SELECT DISTINCT user_id, domain, creator_id FROM wi JOIN last USING (user_id, domain) WHERE {_TURNED_DOWN} AND creator_id IS NOT NULL AND now - ts <= {config.CREATOR_SUPPRESSION}),
+ hf AS (SELECT sr.* FROM sr ANTI JOIN blocked b USING (user_id, domain, item_id) ANTI JOIN bc USING (user_id, domain, creator_id) WHERE known AND NOT explicit AND (regions IS NULL OR len(regions) = 0 OR list_contains(regions, region)))"""
 _LONG = "SELECT user_id, domain, CAST(i AS INTEGER) AS i, " + sql.round4("x") + " AS x FROM {}"
 QUERIES = {
     "user_vector": (user_vector, f"{_BASE}, {_TASTE} {_LONG.format('taste')}"),
@@ -251,16 +347,29 @@ QUERIES = {
     ),
     "knn_items": (
         knn_items,
-        f"{sql.cte(sql.ITEM)}, k AS (SELECT a.item_id AS query_id, b.item_id, {sql.round4('list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))')} AS score FROM item a JOIN item b ON a.item_id % 25 = 0 AND a.item_id <> b.item_id) {_RANKED.format('k')} QUALIFY rank <= 10",
+        f"{sql.cte(sql.ITEM)}, k AS (SELECT a.item_id AS query_id, b.item_id, {sql.round4('list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))')} AS score FROM item a JOIN item b ON a.item_id % 100 = 0 AND a.item_id <> b.item_id) {_RANKED.format('k')} QUALIFY rank <= 10",
     ),
     "knn_filtered": (knn_filtered, f"{_BASE}, {REQ}, {_knn_sql('k', 10, chr(39).join(['NOT explicit AND list_contains(regions, ', 'DE', ')']))} {_RANKED.format('k')}"),
     "rescore_ids": (rescore_ids, f"{_BASE}, {REQ}, {activity.CONSUMED_CTE} SELECT request_id, item_id, {sql.round4(_COS)} AS score FROM req JOIN consumed USING (user_id, domain) JOIN item USING (item_id)"),
     "item_profiles_left_join": (item_profiles_left_join, f"{sql.cte(sql.ITEM)} SELECT p_partkey AS item_id, p_brand AS artist_id, genre, CAST(len(vector) AS INTEGER) AS dims FROM part LEFT JOIN (SELECT * FROM item WHERE genre < 5) i ON p_partkey = item_id"),
-    "candidates_merged": (candidates_merged, f"{_BASE}, {CAND} SELECT request_id, item_id, " + ", ".join(f"{sql.round4(c)} AS {c}" for c in ("semantic", "cf", "next", "trending")) + ", sources FROM cand"),
+    "candidates_merged": (candidates_merged, f"{_BASE}, {CAND} SELECT request_id, item_id, " + ", ".join(f"{sql.round4(c)} AS {c}" for c in ("semantic", "fresh", "cf", "next", "trending")) + ", sources FROM cand"),
     "rank_features": (rank_features, f"{_BASE}, {FEAT} SELECT request_id, item_id, " + ", ".join(f"{sql.round4(f'f_{f}')} AS f_{f}" for f in config.FEATURES) + " FROM feat"),
     "heuristic_topk": (heuristic_topk, f"{_BASE}, {SCORED} SELECT request_id, rank, item_id, score FROM sr WHERE rank <= {LIMIT}"),
     "reason_codes": (reason_codes, f"{_BASE}, {SCORED} SELECT reason, count(*) AS n FROM sr WHERE rank <= {LIMIT} GROUP BY ALL"),
-    "hard_filter": (hard_filter, f"{_BASE}, {SCORED}, {activity.CONSUMED_CTE} SELECT request_id, item_id, score FROM sr ANTI JOIN (SELECT user_id, item_id FROM consumed) b USING (user_id, item_id) WHERE NOT explicit AND list_contains(regions, 'US')"),
+    "hard_filter": (hard_filter, f"{_BASE}, {FILTERED} SELECT request_id, item_id, score FROM hf"),
+    "topped_up": (
+        topped_up,
+        f"""{_BASE}, {FILTERED}, shown AS (SELECT request_id, user_id, domain, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS place, score, reason FROM hf QUALIFY place <= {LIMIT}),
+ pu AS (SELECT domain, item_id, min((part, rank)) AS pos FROM (SELECT *, CASE WHEN region = 'DE' THEN 0 ELSE 1 END AS part FROM trend WHERE region IN ('DE', 'GLOBAL') AND rank <= {config.TRENDING_TOP}) GROUP BY ALL),
+ pp AS (SELECT domain, item_id, row_number() OVER (PARTITION BY domain ORDER BY pos) AS o FROM pu QUALIFY o <= 50), pool AS (SELECT *, 1 - (o - 1) / (count(*) OVER (PARTITION BY domain))::DOUBLE AS score FROM pp),
+ short AS (SELECT request_id, user_id, domain, count(*) AS have FROM shown GROUP BY ALL HAVING count(*) < {LIMIT}),
+ more AS (SELECT request_id, item_id, CAST(have + row_number() OVER (PARTITION BY request_id ORDER BY o) AS INTEGER) AS place, score FROM short JOIN pool USING (domain) ANTI JOIN blocked USING (user_id, domain, item_id) ANTI JOIN (SELECT request_id, item_id FROM shown) q USING (request_id, item_id))
+ SELECT request_id, item_id, place, {sql.round4('score')} AS score, reason FROM shown UNION ALL SELECT request_id, item_id, place, {sql.round4('score')}, 'POPULAR_FALLBACK' FROM more WHERE place <= {LIMIT}""",
+    ),
+    "fallback_levels": (
+        fallback_levels,
+        f"{_BASE}, {REQ}, {activity.TREND_CTE}, us AS (SELECT DISTINCT user_id, domain FROM ev), kn AS (SELECT DISTINCT user_id, domain, true AS known FROM req), tl AS (SELECT DISTINCT domain, true AS listed FROM trend WHERE rank <= 10) SELECT us.domain, CASE WHEN known IS NULL AND listed IS NULL THEN 'STATIC' WHEN known IS NULL THEN 'ANONYMOUS' ELSE 'NONE' END AS level, count(*) AS n FROM us LEFT JOIN kn USING (user_id, domain) LEFT JOIN tl ON tl.domain = us.domain GROUP BY ALL",
+    ),
     "freshness_boost": (freshness_boost, f"{_BASE}, {SCORED} SELECT request_id, item_id, {sql.round4(f'CASE WHEN release_date > CAST(DATE {chr(39)}{TODAY}{chr(39)} - 60 AS DATE) THEN score * (1 + 0.1::DOUBLE) ELSE score END')} AS score FROM sr"),
     "familiarity_cap": (
         familiarity_cap,
@@ -268,6 +377,7 @@ QUERIES = {
     ),
     "diversity_rerank": (diversity_rerank, None),
     "explore_rerank": (explore_rerank, None),
+    "explore_thompson": (explore_thompson, None),
     "next_item_pairs": (
         next_pairs,
         f"{_BASE}, f AS (SELECT user_id, domain, item_id, min((ts, event_id)) AS t FROM ev WHERE event_type IN ('CLICK', 'PLAY_END') GROUP BY ALL), l AS (SELECT user_id, domain, item_id, lead(item_id) OVER (PARTITION BY user_id, domain ORDER BY t) AS next_item FROM f) SELECT * FROM l WHERE next_item IS NOT NULL",

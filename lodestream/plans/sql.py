@@ -22,7 +22,7 @@ EV = f"""ev AS (
     CAST(NULL AS BIGINT) AS position_ms, CAST(NULL AS BIGINT) AS seek_from_ms, CAST(NULL AS BIGINT) AS seek_to_ms
   FROM events)"""
 ITEM = f"""item AS (
-  SELECT vec_id AS item_id, {pick(config.DOMAINS, "vec_id % 4")} AS domain, embedding AS vector, CAST(label AS BIGINT) AS genre, p_brand AS creator_id, p_name AS title,
+  SELECT vec_id AS item_id, {pick(config.DOMAINS, "vec_id % 4")} AS domain, embedding AS vector, CAST(label AS BIGINT) AS genre, p_brand AS creator_id, p_type AS mood, p_name AS title,
     CAST(DATE '2023-11-01' + CAST(p_size AS INTEGER) AS DATE) AS release_date, coalesce(p_size % 7 = 0, false) AS explicit, [{pick(views.COUNTRIES, "vec_id % 6")}, 'US'] AS regions
   FROM embeddings LEFT JOIN part ON vec_id = p_partkey)"""
 _LINES = """line AS (

@@ -63,6 +63,11 @@ def pii_scrub(spark, d):
 _LAST = "SELECT o_custkey AS user_id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE {} GROUP BY ALL"
 _SIDES = f"WITH st AS ({_LAST.format('o_orderkey % 3 = 0')}), inc AS ({_LAST.format('o_orderkey % 3 <> 0')})"
 _CAT = "cat AS (SELECT p_partkey, p_brand, p_size, 1::BIGINT AS seq, p_partkey % 7 = 0 AS deleted FROM part)"
+_SCRUBBED = "text"
+for _pattern, _mark in texts.PERSONAL:
+    _lookbehind = _pattern.startswith("(?<!")  # which DuckDB lacks: the character before is matched and put back
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_pattern.replace('(?<![' + chr(92) + 'w@])', '(^|[^' + chr(92) + 'w@])')}', '{chr(92) + '1' if _lookbehind else ''}{_mark}', 'g')"
+_SCRUBBED = f"regexp_replace({_SCRUBBED}, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g')"
 QUERIES = {
     "latest_per_key": (latest_per_key, _LAST.format("true")),
     "cas_upsert": (cas_upsert, f"{_LAST.format('o_custkey % 11 <> 0')}"),
@@ -76,5 +81,5 @@ QUERIES = {
     ),
     "soft_delete": (soft_delete, f"WITH {_CAT} SELECT p_partkey, p_brand, p_size, seq + (p_partkey % 3 = 0 AND NOT deleted)::BIGINT AS seq, deleted OR p_partkey % 3 = 0 AS deleted FROM cat"),
     "content_hash": (content_hash, "SELECT p_partkey, sha256(concat_ws('|', 'v2', p_name, p_brand, p_size)) AS hash, substr(sha256('song|TRENDING|null|' || p_partkey), 1, 24) AS explanation FROM part"),
-    "pii_scrub": (pii_scrub, None),
+    "pii_scrub": (pii_scrub, f"SELECT doc_id, {_SCRUBBED} AS text FROM documents"),
 }

@@ -22,6 +22,10 @@ def _pick(values, index):
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def country(user):
+    return _pick(COUNTRIES, user % 6)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement events: one row each, with the item, domain, session and times in milliseconds."""
     e = table(spark, sf_dir, "events")
@@ -43,7 +47,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = e.join(p, e["vec_id"] == p["p_partkey"], "left")
     return joined.select(
         F.col("vec_id").alias("item_id"), _pick(config.DOMAINS, F.col("vec_id") % 4).alias("domain"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("genre"),
-        F.col("p_brand").alias("creator_id"), F.col("p_name").alias("title"), F.date_add(F.lit("2023-11-01").cast("date"), F.col("p_size")).alias("release_date"),
+        F.col("p_brand").alias("creator_id"), F.col("p_type").alias("mood"), F.col("p_name").alias("title"), F.date_add(F.lit("2023-11-01").cast("date"), F.col("p_size")).alias("release_date"),
         F.coalesce(F.col("p_size") % 7 == 0, F.lit(False)).alias("explicit"), F.array(_pick(COUNTRIES, F.col("vec_id") % 6), F.lit("US")).alias("regions"),
     )
 

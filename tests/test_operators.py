@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import signals, texts
+from lodestream.operators import catalog, experiments, monitoring, ranking, retrieval, state
 from lodestream.operators import events as ev_ops
-from lodestream.operators import state
 from lodestream.sources import files
 from lodestream.streaming import jobs
 
@@ -32,6 +34,11 @@ def test_dedupe_keeps_the_first_arrival(spark):
     rows = [("a", 0, 0), ("a", 5, 1), ("a", 10**9, 2), ("b", 3, 3)]
     out = ev_ops.dedupe(spark.createDataFrame(rows, "event_id string, ts long, received_ts long")).collect()
     assert sorted((r.event_id, r.ts) for r in out) == [("a", 0), ("a", 10**9), ("b", 3)]
+    day = 86_400_000
+    rows = [("a", 0, 0, False), ("a", 2 * day, 1, False), ("a", 2 * day + 5, 2, False), ("a", 1, 3, True), ("a", 1, 4, True), ("a", 5 * day, 5, None), ("a", 5 * day, 6, None)]
+    out = ev_ops.dedupe(spark.createDataFrame(rows, "event_id string, ts long, received_ts long, late boolean"), late="late").collect()
+    assert sorted((r.ts, r.received_ts) for r in out) == [(0, 0), (1, 3), (1, 4), (2 * day, 1), (5 * day, 5)]
+    assert ev_ops.dedupe(spark.createDataFrame([], "event_id string, ts long, received_ts long, late boolean"), late="late").count() == 0
 
 
 def test_late_rows(spark):
@@ -131,3 +138,179 @@ def test_attribution_as_a_stream(spark, tmp_path):
     engaged = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/e").schema).parquet(f"{tmp_path}/e")
     run(jobs.attributed_stream(served, engaged).writeStream.format("parquet").option("path", f"{tmp_path}/out"), tmp_path)
     assert [(r.outcome, str(r.outcome_ts)) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("PLAYED", "2026-01-01 00:00:03")]
+
+
+HALF = 1000
+
+
+def test_taste_of_likes_and_dislikes(spark):
+    """By hand: sums over the mass of the likes, the dislikes scaled by min(1, 0.3 * likes / dislikes)."""
+    rows = [
+        ("u", 0, 1.0, [1.0, 0.0]), ("u", HALF, 2.0, [0.0, 1.0]), ("u", HALF, -3.0, [1.0, 0.0]),  # likes 2.5, dislikes 3
+        ("v", 0, 1.0, [1.0, 0.0]), ("v", 0, -1e-12, [1.0, 0.0]),  # next to no dislike
+        ("w", 0, -1.0, [1.0, 0.0]), ("x", 0, 1.0, None),
+    ]
+    out = {r.user_id: r.vector for r in retrieval.taste_vectors(spark.createDataFrame(rows, "user_id string, ts long, weight double, vector array<float>"), ["user_id"], HALF).collect()}
+    x, y = 0.5 / 2.5 - (0.3 * 2.5 / 3) * 3 / 2.5, 2 / 2.5
+    n = math.hypot(x, y)
+    assert set(out) == {"u", "v"} and out["u"] == pytest.approx([x / n, y / n]) and out["v"] == pytest.approx([1.0, 0.0])
+
+
+def test_nearest_items(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (120, 4)).astype(float)
+    rows = [(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)] + [(500, None, "a")]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>, domain string").repartition(3)
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 1e-9)
+    score = np.floor(unit @ unit.T * 1e4 + 0.5) / 1e4
+    for k in (3, 200):
+        got = retrieval.knn(items.withColumnRenamed("item_id", "query_id"), items, k, same="domain").collect()
+        want = [(q, r + 1, i, s) for q in range(120) for r, (s, i) in enumerate(sorted(((-score[q, i], i) for i in range(120) if i != q and i % 2 == q % 2))[:k])]
+        assert sorted((r.query_id, r.rank, r.item_id, -r.score) for r in got) == want
+
+
+def test_rejected_creators_and_hard_filter(spark):
+    recent = spark.createDataFrame([("u", "song", "c1", -1.0, 9_000_000), ("u", "song", "c2", -1.0, 1), ("u", "song", "c3", 1.0, 9_000_000)], "user_id string, domain string, creator_id string, weight double, ts long")
+    now = spark.createDataFrame([("u", "song", 9_100_000)], "user_id string, domain string, now long")
+    assert [r.creator_id for r in ranking.rejected_creators(recent, now).collect()] == ["c1"]
+    kind = "request_id long, user_id string, domain string, item_id string, creator_id string, popular double, seed string"
+    scored = spark.createDataFrame([(1, "u", "song", i, c, p, "seed") for i, c, p in (("ok", "c3", None), ("used", "c3", None), ("by c1", "c1", None), ("unknown", None, None), ("listed", None, 0.5), ("rude", "c3", None), ("away", "c3", None), ("seed", "c3", None), ("anywhere", None, None))], kind)
+    meta = spark.createDataFrame([("ok", False, ["DE"]), ("used", False, []), ("by c1", False, []), ("rude", True, []), ("away", False, ["US"]), ("seed", False, []), ("anywhere", None, None)], "item_id string, explicit boolean, regions array<string>")
+    blocked = spark.createDataFrame([("u", "song", "used"), ("u", "video", "ok")], "user_id string, domain string, item_id string")
+    left = ranking.hard_filter(scored, blocked, recent.where("creator_id = 'c1'"), meta, F.lit("DE"), seed="seed")
+    assert sorted(r.item_id for r in left.collect()) == ["anywhere", "listed", "ok"]
+    left = ranking.hard_filter(scored, blocked, recent.where("creator_id = 'c1'"), meta, F.lit("DE"), explicit=True)
+    assert sorted(r.item_id for r in left.collect()) == ["anywhere", "listed", "ok", "rude", "seed"]
+
+
+def test_reasons(spark):
+    names = ("semantic", "cf", "next", "affinity", "trending")
+    rows = [
+        (0.9, 0.0, 0.0, 0.0, 0.0, True, None, None, None, "SIMILAR_TO_TASTE"), (0.9, 0.0, 0.0, 0.0, 0.0, False, 0.9, None, None, "NEW_FOR_YOU"), (0.0, 1.0, 0.0, 0.0, 1.0, False, None, "TRENDING", None, "LISTENED_TOGETHER"),
+        (0.0, 0.0, 1.0, 0.0, 0.1, False, None, "TRENDING", None, "OFTEN_PLAYED_NEXT"), (0.0, 0.0, 0.0, 0.0, 1.0, False, None, "POPULAR_IN_REGION", None, "POPULAR_IN_REGION"), (0.0, 0.0, 0.0, 0.0, 1.0, False, None, None, 1.0, "POPULAR_FALLBACK"),
+        (0.0, 0.0, 0.0, 0.0, 0.0, False, None, None, None, "as it came"),
+    ]
+    kind = ", ".join(f"f_{n} double" for n in names) + ", near boolean, fresh double, trending_reason string, popular double, want string"
+    out = spark.createDataFrame(rows, kind).withColumn("reason", F.lit("as it came")).withColumn("got", ranking.reason()).collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def placed(spark, rows):
+    return spark.createDataFrame(rows, "request_id long, item_id long, creator_id string, score double, fresh double, plays double, impressions double, place int")
+
+
+def test_exploration(spark):
+    head = [(1, i, f"c{i}", 1.0, None, 5.0, 99.0, i + 1) for i in range(10)]
+    rest = [(1, 20, "c1", 0.5, None, 0.0, 5.0, 11), (1, 21, "new", 0.5, None, None, None, 12), (1, 22, "new", 0.5, 0.7, None, None, 13), (1, 23, "other", 0.5, None, 1.0, 19.0, 14), (1, 24, "more", 0.5, None, 1.0, 20.0, 15)]
+    for strategy in ("epsilon", "thompson"):
+        out = ranking.explore_rerank(placed(spark, head + rest), 10, strategy=strategy).orderBy("place").collect()
+        new = [r for r in out if r.explore]
+        assert len(out) == 10 and len(new) == 1 and new[0].item_id in (22, 23) and new[0].place >= 3 and 9 not in [r.item_id for r in out]
+        assert [r.item_id for r in out if not r.explore] == list(range(9))
+        assert new[0].propensity == 0.5 if strategy == "epsilon" else 0 < new[0].propensity <= 1
+    only = head + [(1, 21, "new", 0.5, None, None, None, 11)]  # no figures are no evidence
+    assert not any(r.explore for r in ranking.explore_rerank(placed(spark, only), 10).collect())
+
+
+def spread(rows, limit, window, per_ten, keep):
+    """The greedy walk, said once more: item by item, over (score, item, creator, genre)."""
+    left, out = sorted(rows, key=lambda r: (-r[0], r[1])), []
+    while left and len(out) < limit + 10:
+        tens = [r[2] for r in out[len(out) - len(out) % 10 :]]
+        last = [r[2] for r in out[-(window - 1) :]] if window > 1 else []
+        fit = [r for r in left[:50] if r[2] is None or (r[2] not in last and tens.count(r[2]) < per_ten)]
+        worth = lambda r: r[0] - ((1 - keep) * sum(x[3] == r[3] for x in out) / len(out) if out else 0)
+        best = max(fit, key=worth) if fit else left[0]
+        left.remove(best)
+        out.append(best)
+    return [r[1] for r in out + left]
+
+
+def test_diversity_against_a_plain_walk(spark):
+    import random
+
+    draw = random.Random(3)
+    lists = {q: [(draw.randrange(40) / 40, i, draw.choice([None, "a", "b", "c", "d"]), draw.randrange(3)) for i in range(draw.randrange(1, 80))] for q in range(25)}
+    df = spark.createDataFrame([(q, i, c, g, s) for q, rows in lists.items() for s, i, c, g in rows], "request_id long, item_id long, creator_id string, genre long, score double")
+    got = {}
+    for r in ranking.diversity_rerank(df, 10).orderBy("request_id", "place").collect():
+        got.setdefault(r.request_id, []).append(r.item_id)
+    assert got == {q: spread(rows, 10, 2, 3, 0.8) for q, rows in lists.items()}
+
+
+def test_dumped_trees(spark):
+    import numpy as np
+
+    leaf = lambda v: {"leaf_value": v}
+    split = lambda f, t, a, b, **more: {"split_feature": f, "threshold": t, "decision_type": "<=", "left_child": a, "right_child": b, **more}
+    dump = {"feature_names": ["a", "b"], "tree_info": [{"tree_structure": split(0, 0.5, leaf(1), split(1, 0.0, leaf(2), leaf(4)), missing_type="NaN", default_left=False)}, {"tree_structure": split(1, -1.0, leaf(10), leaf(20), missing_type="Zero", default_left=True)}]}
+    names, trees = ranking.read_trees(dump)
+    x = np.array([[0.4, 5], [0.6, -2], [np.nan, 0.0], [0.6, np.nan]])
+    assert names == ["a", "b"] and trees.score(x).tolist() == [1 + 20, 2 + 10, 2 + 10, 2 + 10]
+    with pytest.raises(ValueError):
+        ranking.read_trees({"tree_info": []})
+
+
+def test_hash_buckets(spark):
+    def reference(data):  # the published algorithm, byte by byte
+        m, h, rest = 0x5BD1E995, (0x9747B28C ^ len(data)) % 2**32, list(data)
+        while len(rest) >= 4:
+            k = sum(b << 8 * i for i, b in enumerate(rest[:4])) * m % 2**32
+            h, rest = h * m % 2**32 ^ (k ^ k >> 24) * m % 2**32, rest[4:]
+        if rest:
+            h = (h ^ sum(b << 8 * i for i, b in enumerate(rest))) * m % 2**32
+        h = (h ^ h >> 13) * m % 2**32
+        return h ^ h >> 15
+
+    users = spark.createDataFrame([(str(i) * (1 + i % 4),) for i in range(50)], "user_id string")
+    out = experiments.assign(users, "salt", [("control", 0, 500), ("treatment", 500, 1000)]).collect()
+    for r in out:
+        bucket = (reference(f"salt:{r.user_id}".encode()) & 0x7FFFFFFF) % 1000
+        assert (r.bucket, r.variant_id) == (bucket, "control" if bucket < 500 else "treatment")
+    z = spark.createDataFrame([(0.0,), (1.96,), (-2.5758293,)], "z double").select(experiments.p_value(F.col("z")).alias("p")).collect()
+    assert [r.p for r in z] == pytest.approx([1.0, 0.0499958, 0.01], abs=1e-6)
+
+
+def test_scrubbed_numbers_and_links(spark):
+    rows = [("id 123456 or 12345", "id [number] or 12345"), ("HTTPS://A.B/c x", "[url] x"), ("a@b", "a@b"), ("@@ab @cd", "@@ab [handle]"), ("  x@y.org ", "[email]"), (None, None)]
+    out = spark.createDataFrame(rows, "t string, want string").withColumn("got", texts.scrubbed(F.col("t"))).collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def test_percentiles_and_running_counts(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(draw.choice([None, "a", "b"]), draw.randrange(50)) for _ in range(700)] + [("c", None), ("d", 3)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = sorted(((r.k is None, r.k or "", r.share, r.value) for r in monitoring.percentiles(df, "v", (0.5, 0.99, 1.0), ["k"]).collect()))
+    want = []
+    for k in {k for k, _ in rows}:
+        values = sorted(v for x, v in rows if x == k and v is not None)
+        want += [(k is None, k or "", q, values[min(len(values) - 1, math.floor(q * len(values)))]) for q in (0.5, 0.99, 1.0) if values]
+    assert got == sorted(want)
+    assert monitoring.percentiles(df.where("false"), "v", (0.5,), ["k"]).count() == 0
+
+
+def test_picks_texts_and_pseudonyms(spark):
+    import hashlib
+    import hmac
+
+    rows = [(["ok", "a b", None] + [f"i{i}" for i in range(60)], [f"g{i}" for i in range(30)], "x" * 501), (None, None, None)]
+    out = catalog.onboarding_picks(spark.createDataFrame(rows, "item_ids array<string>, genres array<string>, free_text string")).collect()
+    assert [(len(r.item_ids), len(r.genres), r.error) for r in out] == [(50, 20, "FREE_TEXT_TOO_LONG"), (0, 0, None)] and out[0].item_ids[:2] == ["ok", "i0"]
+    secret = b"k" * 70
+    row = spark.createDataFrame([("user-1",), (None,)], "u string").select(texts.pseudonym(F.col("u"), secret).alias("p"), texts.pseudonym(F.col("u"), b"short").alias("q")).collect()
+    assert row[0].p == hmac.new(secret, b"user-1", hashlib.sha256).hexdigest()[:32] and row[0].q == hmac.new(b"short", b"user-1", hashlib.sha256).hexdigest()[:32] and row[1].p is None
+
+
+def test_clamped_times_and_tombstones(spark):
+    rows = [(100_000, 0), (50_000, 0), (0, 100_000)]
+    out = ev_ops.clamp_skew(spark.createDataFrame(rows, "ts long, received_ts long")).collect()
+    assert [r.ts for r in out] == [0, 50_000, 0]
+    changes = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 2, True), ("b", 3, None)], "k string, seq long, gone boolean")
+    assert [r.k for r in ev_ops.latest_per_key(changes, "k", "seq", "gone").collect()] == ["b"]
+    nothing = spark.createDataFrame([(None,) * 11], "event_id string, user_id string, domain string, event_type string, item_id string, session_id string, ts long, value double, position int, recommendation_id string, country string")
+    assert ev_ops.validate(nothing).first().error == "NULL_EVENT"
