@@ -56,6 +56,16 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(operator: str) -> dict:
+    """What this worker remembers for an operator; what it remembers for others goes, as workers outlive a stage."""
+    for other in [name for name in _caches if name != operator]:
+        del _caches[other]
+    return _caches.setdefault(operator, {})
+
+
 class Scratch:
     """Parquet tables in the shared folder, for as long as one operator runs.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, Scratch, broadcast_if_small, cut, fresh, text_batches
+from .common import SMALL_IDS, Scratch, broadcast_if_small, cache_of, cut, fresh, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -29,7 +29,7 @@ SEED = 42
 FILL, NODE = 1024, 16_384
 #: Codes in a leaf and children of a node.
 FAN = 8
-#: Hot nodes up to which their keys are broadcast (about 24 bytes each).
+#: Hot nodes, or codes, up to which their keys are broadcast (about 24 bytes each).
 SMALL_KEYS = 100_000
 #: An odd constant: the golden ratio times 2**64.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -273,11 +273,11 @@ def simhash_components(docs: DataFrame, size: int = 3, most: int = 2) -> DataFra
     codes = cut(codes.select("fp", F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node")))
     many = codes.count()
     links = close_links(codes.select("fp"), most)
-    number = lambda x: broadcast_if_small(codes.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")), many, SMALL_IDS)
+    number = lambda x: broadcast_if_small(codes.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")), many, SMALL_KEYS)
     edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     roots = connected_components(edges)
     names = cut(codes.join(roots, "node", "left").select("fp", F.coalesce("root.first", "node.first").alias("component_id")))
-    return of.join(broadcast_if_small(names, many, SMALL_IDS), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return of.join(broadcast_if_small(names, many, SMALL_KEYS), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicates by similarity.
@@ -315,6 +315,7 @@ def min_bands(h: np.ndarray) -> np.ndarray:
 
 def _codes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """For each text the set of its shingles' hashes, a hash of that set, its code and its bands."""
+    cache_of("simhash")
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
@@ -362,7 +363,8 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
         keyed = groups.select(F.explode("bands").alias("band"), "same")
         shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         keyed = scratch.table(keyed.join(shared, "band"), "keyed")
-        met = keyed.select("same").distinct()
+        met = cut(keyed.select("same").distinct())
+        met = broadcast_if_small(met, met.count(), SMALL_IDS)  # before the sets are shuffled
         sets = scratch.table(of.select("same", "shingles").join(met, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
 
         def alike(pairs: DataFrame) -> DataFrame:
@@ -372,7 +374,7 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
             return fits.where(F.size(F.array_intersect("x", "y")) * (1 + similarity) >= similarity * (small + large) - 1e-9).select("a", "b")
 
         none = docs.sparkSession.createDataFrame([], "a long, b long")
-        tried, edges = none, none
+        tried = none
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
         for k in range(ROUNDS + 1):
             now = keyed.join(roots, F.col("same") == F.col("node"), "left").select("band", "n", "same", F.coalesce("root", "same").alias("root"))
@@ -392,9 +394,8 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
                 continue
             tried = tried.unionByName(found)
             more = cut(alike(found))
-            if not more.isEmpty():
-                edges = edges.unionByName(more)
-                roots = connected_components(edges)
+            if not more.isEmpty():  # the stars found so far stand for the links that made them
+                roots = connected_components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         names = groups.join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))
         least = names.groupBy("root").agg(F.min("id").alias("component_id"))
         names = names.join(least, "root").select("same", "component_id")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, Scratch, broadcast_if_small, fresh, text_batches
+from .common import SMALL_IDS, Scratch, broadcast_if_small, cache_of, fresh, text_batches
 
 #: Words by which suffixes are first sorted.
 PREFIX = 16
@@ -96,6 +96,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    cache_of("suffixes")
     for batch in batches:
         for s in range(0, batch.num_rows, 512):
             part = batch.slice(s, 512)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, text_batches
+from .common import cache_of, cut, fresh, text_batches
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -31,8 +31,10 @@ REPORTING = frozenset("said says wrote quote quoted called sagte schrieb zitat z
 ADDRESS = frozenset("you your you're du dein ihr euch tu ton vous votre tú usted ustedes".split())
 #: Tokens whose match a worker remembers.
 REMEMBERED = 100_000
-#: States of the automaton that a worker keeps; beyond, it begins anew.
-STATES = 50_000
+#: More than the edits of any state.
+EDITS = 4
+#: States of the automaton that a worker keeps (about 1 kB each); beyond, it begins anew.
+STATES = 200_000
 #: Scores from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Features: constant, exact, misspelled, quoted, directed, share of words, distinct terms.
@@ -75,14 +77,14 @@ class Lexicon:
 
     def _begin(self) -> None:
         """An automaton of the start state alone; the others are made as words need them."""
-        self.sets: list[frozenset] = []
-        self.number: dict[frozenset, int] = {}
+        self.sets: list[tuple[int, ...]] = []  # node * EDITS + edits
+        self.number: dict[tuple[int, ...], int] = {}
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[float, int] | None] = []
         self.free: list[tuple[float, int] | None] = []
         self.start = self._state(self._closed({(0, 0)}))
 
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, states: set[tuple[int, int]]) -> tuple[int, ...]:
         """With the letters that the word leaves out; of a node's states the one with fewest edits."""
         least: dict[int, int] = {}
         todo = list(states)
@@ -92,15 +94,16 @@ class Lexicon:
                 continue
             least[node] = e
             todo.extend((kid, e + 1) for kid in self.children[node].values())
-        return frozenset(least.items())
+        return tuple(sorted(node * EDITS + e for node, e in least.items()))
 
-    def _state(self, states: frozenset) -> int:
+    def _state(self, states: tuple[int, ...]) -> int:
         if states not in self.number:
             self.number[states] = len(self.sets)
             self.sets.append(states)
             self.steps.append({})
-            ends = [(w, e) for node, e in states for stem, (w, limit) in self.ends[node].items() if e <= limit and not stem]
-            stems = [(self.ends[node][True][0], 0) for node, e in states if e == 0 and True in self.ends[node]]
+            pairs = [divmod(x, EDITS) for x in states]
+            ends = [(w, e) for node, e in pairs for stem, (w, limit) in self.ends[node].items() if e <= limit and not stem]
+            stems = [(self.ends[node][True][0], 0) for node, e in pairs if e == 0 and True in self.ends[node]]
             self.found.append(min(ends + stems, key=lambda x: (x[1], -x[0]), default=None))
             self.free.append(max(stems, default=None))
         return self.number[states]
@@ -110,7 +113,7 @@ class Lexicon:
         c = c if c in self.alphabet else ""
         if c not in self.steps[at]:
             after = set()
-            for node, e in self.sets[at]:
+            for node, e in (divmod(x, EDITS) for x in self.sets[at]):
                 if c in self.children[node]:
                     after.add((self.children[node][c], e))
                 after.add((node, e + 1))
@@ -130,7 +133,7 @@ class Lexicon:
         return max((x for x in (found, stem) if x), key=lambda x: (-x[1], x[0]), default=None)
 
     def _dead(self) -> int:
-        return self._state(frozenset())
+        return self._state(())
 
     def of(self, token: str) -> tuple[float, int] | None:
         """`match` of a token of lower-cased text, without the marks around it; remembered up to a bound."""
@@ -222,16 +225,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-_lexicons: dict = {}
-
-
 def _lexicon(terms: dict[str, float]) -> Lexicon:
     """This worker's automaton for the terms."""
-    key = tuple(sorted(terms.items()))
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(terms)
-    return _lexicons[key]
+    key, known = tuple(sorted(terms.items())), cache_of("toxicity")
+    if key not in known:
+        known.clear()
+        known[key] = Lexicon(terms)
+    return known[key]
 
 
 def held_out(doc_id: Column) -> Column:
