@@ -288,6 +288,8 @@ CODE_WORDS = 8
 BANDS, ROWS = 32, 5
 #: Rounds in which a band's texts are compared with one of them only, before all pairs left are.
 ROUNDS = 2
+#: Shingles that the sets of a block of texts hold on average at most, unless one text has more.
+SET_MASS = 1 << 20
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
 FLIPS, FACTORS = _DRAWN[0] << np.uint64(1), _DRAWN[1] << np.uint64(1) | np.uint64(1)
 JOINS = (_DRAWN[2] << np.uint64(1) | np.uint64(1)).reshape(BANDS, ROWS)
@@ -330,38 +332,72 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
 
 
-def _similar(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots under one node whose codes are within `most` bits."""
+def _shared(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the sorted, non-empty sets a[k] and b[k] share; a set is values[start:end]."""
+    out = np.empty(len(a), np.int64)
+    order = np.argsort(a, kind="stable")
+    for s, e in zip(*(x.tolist() for x in runs(a[order]))):
+        at = order[s:e]
+        one = values[starts[a[at[0]]] : ends[a[at[0]]]]
+        size = ends[b[at]] - starts[b[at]]
+        first = np.cumsum(size) - size
+        others = values[np.repeat(starts[b[at]] - first, size) + np.arange(size.sum())]
+        same = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+        out[at] = np.add.reduceat(same, first, dtype=np.int64)
+    return out
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Under each node a spanning forest of its links: texts of different roots whose sets are that similar.
+
+    Pairs of codes within reach are found in Gray order and decided by the sets; those that links have already joined
+    are passed over.
+    """
+    most = bits_apart(similarity)
     for batch in grouped(batches, 3):
         keys = [batch.column(c).to_numpy() for c in range(3)]
-        ids, root = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        ids, sets = batch.column(3).to_numpy(), batch.column(6)
         codes = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(ids), CODE_WORDS)
+        root = np.unique(batch.column(4).to_numpy(), return_inverse=True)[1]
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        starts, ends = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+        size = ends - starts
         for s, e in zip(*(x.tolist() for x in runs(*keys))):
             at = s + np.argsort(gray_rank(codes[s:e, 0]), kind="stable")
             for i, j in close_pairs(codes[at], most):
                 a, b = at[i], at[j]
-                apart = root[a] != root[b]
-                a, b = ids[a[apart]], ids[b[apart]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, node: int = 4096) -> DataFrame:
+                fits = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+                if not fits.any():
+                    continue
+                a, b = a[fits], b[fits]
+                link = _shared(values, starts, ends, a, b) * (1 + similarity) >= similarity * (size[a] + size[b]) - 1e-9
+                found = []
+                for x, y in zip(a[link].tolist(), b[link].tolist()):
+                    if root[x] != root[y]:
+                        root[s:e][root[s:e] == root[y]] = root[x]
+                        found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+
+def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, node: int = 1024) -> DataFrame:
     """doc_id and component_id for near-duplicates: texts whose sets of `size`-word shingles are that similar.
 
     Every link is decided by the Jaccard similarity of the sets themselves (of 64-bit hashes). A pair is a candidate
     if any band of min-hashes of the shingles agrees. Texts of one set are one node. In the first rounds a band's
     texts are compared with one of them, so large groups of copies join without all their pairs; then all pairs of
-    a band that are not joined yet and whose SimHash codes allow the similarity, searched in Gray order, a band of
-    more than `node` codes by pairs of blocks. Null and empty texts are alike; rows with a null doc_id take no
+    a band that are not joined yet and whose SimHash codes allow the similarity, searched in Gray order, and decided
+    where they are found, so only links leave the task. A band of more than `node` codes, or `SET_MASS` shingles, is
+    searched by pairs of blocks. Null and empty texts are alike; rows with a null doc_id take no
     part; repeated rows stay.
     """
     with Scratch(docs.sparkSession) as scratch:
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, same long, code binary, bands array<long>, shingles array<long>"), "codes")
-        groups = scratch.table(of.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("code").alias("code")), "groups")
-        keyed = groups.select(F.explode("bands").alias("band"), "same")
-        shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        groups = scratch.table(of.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("code").alias("code"), F.first(F.size("shingles")).alias("size")), "groups")
+        keyed = groups.select(F.explode("bands").alias("band"), "same", "size")
+        blocks = F.ceil(F.greatest(F.count("*") / node, F.sum("size") / SET_MASS)).cast("int").alias("blocks")
+        shared = keyed.groupBy("band").agg(F.count("*").alias("n"), blocks).where("n > 1").drop("n")
         keyed = scratch.table(keyed.join(shared, "band"), "keyed")
         met = cut(keyed.select("same").distinct())
         met = broadcast_if_small(met, met.count(), SMALL_IDS)  # before the sets are shuffled
@@ -373,27 +409,25 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
             fits = both.where(small >= similarity * large - 1e-9)
             return fits.where(F.size(F.array_intersect("x", "y")) * (1 + similarity) >= similarity * (small + large) - 1e-9).select("a", "b")
 
-        none = docs.sparkSession.createDataFrame([], "a long, b long")
-        tried = none
+        tried = docs.sparkSession.createDataFrame([], "a long, b long")
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
         for k in range(ROUNDS + 1):
-            now = keyed.join(roots, F.col("same") == F.col("node"), "left").select("band", "n", "same", F.coalesce("root", "same").alias("root"))
+            now = keyed.join(roots, F.col("same") == F.col("node"), "left").select("band", "blocks", "same", F.coalesce("root", "same").alias("root"))
             first = F.min(F.struct(F.xxhash64("same", F.lit(k)).alias("h"), "same", "root")).alias("c")
             open_ = now.groupBy("band").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "c")
             if k < ROUNDS:
                 found = now.join(open_, "band").where("root != c.root").select(F.least("same", "c.same").alias("a"), F.greatest("same", "c.same").alias("b"))
+                found = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
+                if found.isEmpty():
+                    continue
+                tried = tried.unionByName(found)
+                more = cut(alike(found))
             else:
-                left = now.join(open_.select("band"), "band", "left_semi").join(groups.select("same", "code"), "same")
-                blocks = F.ceil(F.col("n") / node).cast("int")
-                left = left.withColumn("own", F.pmod(F.xxhash64("same"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                left = left.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "same", "root", "code")
-                most = bits_apart(similarity)
-                found = left.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(lambda b: _similar(b, most), "a long, b long")
-            found = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
-            if found.isEmpty():
-                continue
-            tried = tried.unionByName(found)
-            more = cut(alike(found))
+                left = now.join(open_.select("band"), "band", "left_semi").join(groups.select("same", "code"), "same").join(sets, "same")
+                left = left.withColumn("own", F.pmod(F.xxhash64("same"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                left = left.select("band", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "same", "root", "code", "shingles")
+                left = left.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+                more = cut(left.mapInArrow(lambda b: _similar(b, similarity), "a long, b long").distinct())
             if not more.isEmpty():  # the stars found so far stand for the links that made them
                 roots = connected_components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         names = groups.join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))

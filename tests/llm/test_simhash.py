@@ -155,6 +155,24 @@ def test_hot_bands_lose_nothing(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_a_crowd_around_the_threshold_is_split_as_by_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(240):  # copies with up to 12 words changed: about half of all pairs are below 0.8
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(3, 13)), replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words), "a"))
+    of = [sets(text) for _, text, _ in rows]
+    links = [(a, b) for a in range(len(of)) for b in range(a) if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])]
+    want = roots(list(range(len(of))), links)
+    assert 1 < len(set(want.values())) < len(of)
+    for node in (16, 1024):
+        got = {r.doc_id: r.component_id for r in simhash.similar_components(documents(spark, rows), node=node).collect()}
+        assert got == want
+
+
 def test_appended_and_cut_texts_are_found_and_links_are_exact(spark):
     rng = np.random.default_rng(5)
     rows, of = [], {}
