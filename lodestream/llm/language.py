@@ -170,12 +170,18 @@ class Model:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, place, text: of each language the documents with the smallest hashes of their ids, that aren't held out.
 
-    Ids are chosen before texts are read. Of several texts of an id and language the smallest counts.
+    Ids are chosen before texts are read, and before they are ranked those go whose hash is beyond where three times as
+    many are expected: a ranking sees about as many ids of a frequent language as of a rare one. Of several
+    texts of an id and language the smallest counts.
     """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     labelled = labelled.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = cut(labelled.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language))
+    ids = labelled.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64("doc_id"))
+    sizes = cut(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    near = F.col("hash") / 2.0**64 + 0.5 < 3.0 * per_language / F.col("n")
+    near = ids.join(broadcast_if_small(sizes, sizes.count(), SMALL_IDS), "lang").where(near)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = cut(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "doc_id", "place"))
     texts = labelled.join(broadcast_if_small(chosen, chosen.count(), SMALL_IDS), ["doc_id", "lang"])
     return texts.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
