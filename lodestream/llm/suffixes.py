@@ -7,7 +7,7 @@ runs that selected it, and they reach from some words to its left to some words
 1. Suffixes are range-sorted by a hash of their first PREFIX words; one whose neighbours are all of its own document
    is dropped.
 2. What is left gets its words, to the right and, backwards, to the left, as far as the runs that it owns. They are
-   range-sorted by those words: the suffix array. Equal ones stand together, their smallest document first, and
+   range-sorted by those words (a byte below all others stands between two): the suffix array. Equal ones stand together, their smallest document first, and
    the others repeat it. Distinct neighbours are compared word by word: the match is extended to the right and to the
    left, and decides the runs that it covers. Words that a suffix shares with neither neighbour it shares
    with none: runs that would need more of them are dropped.
@@ -17,7 +17,8 @@ runs that selected it, and they reach from some words to its left to some words
 Each sort deals by ranges that end with the document, so that a passage or line that very many documents share is
 spread over tasks; what the ends of a range cannot see is kept for the next step, or settled by a join of the ranges'
 ends. The result is exact: a word is repeated if it lies in a run of `least` words that a document with a smaller id
-has, too. Only two runs with one 128-bit hash would be confused: among 1e13 runs with a chance below 2e-13.
+has, too. A passage is remembered by the id and a hash of the text that it stands in, so that rows which repeat an id count as one
+document, but each text loses its own passages only. Only two runs with one 128-bit hash would be confused: among 1e13 runs with a chance below 2e-13.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_IDS, Scratch, broadcast_if_small, cache_of, fresh, text_batches
@@ -90,9 +91,22 @@ def selected(words: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np
     return place, first, np.r_[first[1:], len(window)] - 1, hashes[place]
 
 
+#: What stands between the words of a key: no word has a smaller byte, so keys are in the order of their words.
+GAP = b"\0"
+
+
 def split_words(text: bytes | None) -> list[bytes]:
-    """The words of a text, with A-Z in lower case."""
-    return (text or b"").lower().split()
+    """The words of a text, with A-Z in lower case. Byte 0 becomes 9, which no word has."""
+    words = (text or b"").lower().split()
+    return [w.replace(b"\0", b"\t") for w in words] if text and b"\0" in text else words
+
+
+def joined(words: list[bytes]) -> bytes:
+    return GAP.join(words)
+
+
+def parted(key: bytes) -> list[bytes]:
+    return key.split(GAP) if key else []
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -100,16 +114,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
     for batch in batches:
         for s in range(0, batch.num_rows, 512):
             part = batch.slice(s, 512)
-            keys, docs, places = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            keys, docs, marks, places = [], [], [], []
+            for doc, mark, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
                 words = split_words(text)
                 if len(words) >= least:
                     at, _, _, hashes = selected(words, least)
                     keys.append(hashes)
                     places.append(at)
                     docs.append(np.full(len(at), doc))
+                    marks.append(np.full(len(at), mark))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc_id", "place"])
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(marks), np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "mark", "place"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +138,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def kept(cols: list[np.ndarray], all_of_last: bool) -> pa.RecordBatch:
         nonlocal first
-        key, doc, place = cols
+        key, doc, mark, place = cols
         new = np.r_[True, key[1:] != key[:-1]]
         group = np.cumsum(new) - 1
         start = np.flatnonzero(new)
@@ -131,12 +147,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many[-1] |= all_of_last
         first = False
         keep = many[group]
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep])], ["doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(mark[keep]), pa.array(place[keep])], ["doc_id", "mark", "place"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in range(3)]
+        cols = [batch.column(c).to_numpy() for c in range(4)]
         held = [np.concatenate([a, b]) for a, b in zip(held, cols)] if held else cols
         key, doc = held[:2]
         last = int(np.searchsorted(key, key[-1]))
@@ -150,7 +166,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept(held, True)
 
 
-CONTEXT = "right binary, left binary, doc_id long, place int, before int, after int"
+CONTEXT = "right binary, left binary, doc_id long, mark long, place int, before int, after int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -158,20 +174,20 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
     Runs begin `after` to `before` words to the left of the place.
     """
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    names = ["right", "left", "doc_id", "place", "before", "after"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["right", "left", "doc_id", "mark", "place", "before", "after"]
     for batch in batches:
         for s in range(0, batch.num_rows, 64):
             part = batch.slice(s, 64)
             rows = []
-            for doc, text, kept in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2)):
+            for doc, mark, text, kept in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3)):
                 words = split_words(text)
                 if len(words) < least:
                     continue
                 place, low, high, _ = selected(words, least)
                 own = np.isin(place, kept.values.to_numpy())
                 for p, a, b in zip(place[own].tolist(), low[own].tolist(), high[own].tolist()):
-                    rows.append((b" ".join(words[p : b + least]), b" ".join(words[a:p][::-1]), doc, p, p - a, p - b))
+                    rows.append((joined(words[p : b + least]), joined(words[a:p][::-1]), doc, mark, p, p - a, p - b))
             for at in range(0, len(rows), BATCH):
                 some = rows[at : at + BATCH]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names)
@@ -182,19 +198,19 @@ def common_words(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
     same = n - -(-differ.bit_length() // 8)
-    if same == n and n and (len(a) == n or a[n : n + 1] == b" ") and (len(b) == n or b[n : n + 1] == b" "):
-        return a.count(b" ", 0, n) + 1
-    return a.count(b" ", 0, same)
+    if same == n and n and (len(a) == n or a[n : n + 1] == GAP) and (len(b) == n or b[n : n + 1] == GAP):
+        return a.count(GAP, 0, n) + 1
+    return a.count(GAP, 0, same)
 
 
-FOUND = "kind int, doc_id long, first int, last int, h1 long, h2 long"
-FOUND_NAMES = ["kind", "doc_id", "first", "last", "h1", "h2"]
+FOUND = "kind int, doc_id long, mark long, first int, last int, h1 long, h2 long"
+FOUND_NAMES = ["kind", "doc_id", "mark", "first", "last", "h1", "h2"]
 #: Kinds of rows: repeated runs from the starts first to last; an open run at first; the end of a range of runs.
 REPEATED, OPEN, END = 0, 1, 2
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], FOUND_NAMES)
 
 
@@ -205,35 +221,35 @@ def _matched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     def close(group: dict, next_words: int) -> None:
         """The suffixes of the group's first document: what no neighbour decided is open."""
         widest = max(group["words"], next_words)
-        for place, before, after in group["places"]:
+        for mark, place, before, after in group["places"]:
             done = np.zeros(before - after + 1, bool)  # by words between the run's start and the place, from `after`
             for low, high in group["decided"]:
                 low, high = max(low, after), min(high, before)
                 if low <= high:
                     done[low - after : high - after + 1] = True
-                    out.append((REPEATED, group["doc"], place - high, place - low, None, None))
+                    out.append((REPEATED, group["doc"], mark, place - high, place - low, None, None))
             left = [a for a in range(max(after, least - widest), before + 1) if not done[a - after]]
             if not left:
                 continue
-            words = group["left"].split()[::-1] + group["right"].split()
-            text = b" ".join(words)
+            words = parted(group["left"])[::-1] + parted(group["right"])
+            text = joined(words)
             ends = np.cumsum([len(w) + 1 for w in words])
             begins = ends - [len(w) + 1 for w in words]
             for a in left:
                 s = before - a
                 digest = xxhash.xxh3_128_digest(text[begins[s] : ends[s + least - 1] - 1])
-                out.append((OPEN, group["doc"], place - a, None, int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)))
+                out.append((OPEN, group["doc"], mark, place - a, None, int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)))
 
     group = None
     for batch in batches:
-        for right, left, doc, place, before, after in zip(*(batch.column(c).to_pylist() for c in range(6))):
+        for right, left, doc, mark, place, before, after in zip(*(batch.column(c).to_pylist() for c in range(7))):
             if group is not None and right == group["right"] and left == group["left"]:
                 if doc == group["doc"]:
-                    group["places"].append((place, before, after))
+                    group["places"].append((mark, place, before, after))
                 else:
-                    out.append((REPEATED, doc, place - before, place - after, None, None))
+                    out.append((REPEATED, doc, mark, place - before, place - after, None, None))
                 continue
-            new = {"right": right, "left": left, "doc": doc, "places": [(place, before, after)], "decided": [], "words": least}
+            new = {"right": right, "left": left, "doc": doc, "places": [(mark, place, before, after)], "decided": [], "words": least}
             if group is not None:
                 r, l = common_words(right, group["right"]), common_words(left, group["left"])  # noqa: E741
                 new["words"] = r
@@ -260,21 +276,21 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     in_first = True
     for batch in batches:
         out: list[tuple] = []
-        for h1, h2, doc, start in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for h1, h2, doc, mark, start in zip(*(batch.column(c).to_pylist() for c in range(5))):
             if (h1, h2) != run:
                 if run is None:
-                    out.append((END, doc, TaskContext.get().partitionId(), None, h1, h2))
+                    out.append((END, doc, mark, TaskContext.get().partitionId(), None, h1, h2))
                 else:
                     in_first = False
                 run, least = (h1, h2), doc
             if doc > least:
-                out.append((REPEATED, doc, start, start, None, None))
+                out.append((REPEATED, doc, mark, start, start, None, None))
             elif in_first:
-                out.append((OPEN, doc, start, TaskContext.get().partitionId(), h1, h2))
+                out.append((OPEN, doc, mark, start, TaskContext.get().partitionId(), h1, h2))
         if out:
             yield _found(out)
     if run is not None and not in_first:
-        yield _found([(END, least, TaskContext.get().partitionId(), None, *run)])
+        yield _found([(END, least, None, TaskContext.get().partitionId(), None, *run)])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -282,7 +298,7 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         rows = []
-        for runs in batch.column(1).to_pylist():
+        for runs in batch.column(2).to_pylist():
             spans: list[dict] = []
             for r in sorted(runs, key=lambda r: r["first"]):
                 if spans and r["first"] <= spans[-1]["end"]:
@@ -290,39 +306,45 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 else:
                     spans.append({"first": r["first"], "end": r["last"] + least})
             rows.append(spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["doc_id", "mark", "spans"])
+
+
+def text_mark(text: Column) -> Column:
+    """Tells the texts of one id from each other."""
+    return F.xxhash64(text.cast("string"))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and spans (first word, end) of what documents with a smaller id have, too; no row without any.
+    """doc_id, mark and spans (first word, end) of what documents with a smaller id have, too; no row without any.
 
     docs: doc_id, text; other columns are ignored. Words are separated by spaces and the controls 9-13, and
-    compared with A-Z in lower case. Null and short texts have no passage, rows with a null doc_id take no
-    part, rows that repeat a doc_id count as one document. An empty table gives no rows.
+    compared with A-Z in lower case. mark is a hash of the text, and the spans are those of this text. Null and short texts have
+    no passage, rows with a null doc_id take no part. Rows that repeat a doc_id count as one document: what they share
+    among themselves is no repetition. An empty table gives no rows.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string"))
     with Scratch(docs.sparkSession) as scratch:
-        suffixes = scratch.table(texts.mapInArrow(lambda b: _suffixes(b, least), "key long, doc_id long, place int"), "suffixes")
-        order = ["key", "doc_id", "place"]
-        kept = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "doc_id long, place int")
-        kept = scratch.table(kept.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "kept")
+        suffixes = scratch.table(texts.mapInArrow(lambda b: _suffixes(b, least), "key long, doc_id long, mark long, place int"), "suffixes")
+        order = ["key", "doc_id", "mark", "place"]
+        kept = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "doc_id long, mark long, place int")
+        kept = scratch.table(kept.groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places")), "kept")
         scratch.drop("suffixes")
-        joined = texts.join(kept, "doc_id").select("doc_id", "text", "places")
-        array = scratch.table(joined.mapInArrow(lambda b: _contexts(b, least), CONTEXT), "array")
-        order = ["right", "left", "doc_id", "place"]
+        both = texts.join(kept, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
+        array = scratch.table(both.mapInArrow(lambda b: _contexts(b, least), CONTEXT), "array")
+        order = ["right", "left", "doc_id", "mark", "place"]
         ordered = array.repartitionByRange(*order).sortWithinPartitions(*order)
         matched = scratch.table(ordered.mapInArrow(lambda b: _matched(b, least), FOUND), "matched")
         scratch.drop("array")
-        order = ["h1", "h2", "doc_id", "first"]
+        order = ["h1", "h2", "doc_id", "mark", "first"]
         runs = matched.where(F.col("kind") == OPEN).select(*order)
         decided = scratch.table(runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later, FOUND), "decided")
         ends = decided.where(F.col("kind") == END).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-        late = decided.where(F.col("kind") == OPEN).join(ends, ["h1", "h2"]).where("doc_id > least").select("doc_id", "first", F.col("first").alias("last"))
+        late = decided.where(F.col("kind") == OPEN).join(ends, ["h1", "h2"]).where("doc_id > least").select("doc_id", "mark", "first", F.col("first").alias("last"))
         every = late
         for part in (matched, decided):
-            every = every.unionByName(part.where(F.col("kind") == REPEATED).select("doc_id", "first", "last"))
-        spans = every.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-        return scratch.result(spans.mapInArrow(lambda b: _spans(b, least), "doc_id long, spans array<struct<first:int,end:int>>"))
+            every = every.unionByName(part.where(F.col("kind") == REPEATED).select("doc_id", "mark", "first", "last"))
+        spans = every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        return scratch.result(spans.mapInArrow(lambda b: _spans(b, least), "doc_id long, mark long, spans array<struct<first:int,end:int>>"))
 
 
 WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
@@ -342,12 +364,12 @@ def without(text: bytes, spans: list[dict]) -> bytes:
 def remove_repeats(docs: DataFrame, least: int = LEAST, names: tuple[str, str] = ("spans", "removed")) -> DataFrame:
     """`docs` with the repeated passages cut from the texts, and the columns spans and removed (words).
 
-    Documents without any stay as they are, with no spans and 0. Further columns stay; those called like `names`
-    are replaced.
+    Documents without any stay as they are, with no spans and 0, as do rows without an id; of rows that repeat an id each loses
+    the passages of its own text. Further columns stay; those called like `names` are replaced.
     """
     text_batches(docs.sparkSession)
-    doc, cuts = fresh(docs, "doc"), fresh(docs, "cuts")
-    spans = repeated_passages(docs, least).select(F.col("doc_id").alias(doc), F.col("spans").alias(cuts))
+    doc, mark, cuts = fresh(docs, "doc"), fresh(docs, "mark"), fresh(docs, "cuts")
+    spans = repeated_passages(docs, least).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(cuts))
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -357,9 +379,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, names: tuple[str, str] =
             found.append(pa.array([t if t is None or not c else without(t, c) for t, c in some], pa.binary()).cast(pa.string()))
         return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
-    spans = broadcast_if_small(spans, spans.count(), SMALL_IDS // 10)
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col(doc), "left")
+    numbers = spans.agg(F.sum(F.size(cuts) + 2)).first()[0] or 0  # spans, and two numbers a row
+    spans = broadcast_if_small(spans, numbers, SMALL_IDS // 4)
+    both = docs.join(spans, (F.col("doc_id").cast("long") == F.col(doc)) & (text_mark(F.col("text")) == F.col(mark)), "left")
     removed = F.aggregate(cuts, F.lit(0), lambda n, s: n + s["end"] - s["first"])
     text = cleaned(F.col("text").cast("string"), F.col(cuts))
     found = F.coalesce(cuts, F.array().cast("array<struct<first:int,end:int>>"))
-    return joined.withColumns({"text": text, names[0]: found, names[1]: F.coalesce(removed, F.lit(0))}).drop(doc, cuts)
+    return both.withColumns({"text": text, names[0]: found, names[1]: F.coalesce(removed, F.lit(0))}).drop(doc, mark, cuts)
