@@ -325,7 +325,7 @@ def _codes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             codes = [majority(x, CODE_WORDS).tobytes() for x in sets]
             lists = [_lists(x) for x in ([min_bands(x) for x in sets], [x.view(np.int64) for x in sets])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), pa.array(codes, pa.binary()), *lists], ["doc_id", "same", "code", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(same), pa.array(codes, pa.binary()), *lists], ["doc_id", "mark", "same", "code", "bands", "shingles"])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -381,20 +381,21 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, node: int = 1024) -> DataFrame:
-    """doc_id and component_id for near-duplicates: texts whose sets of `size`-word shingles are that similar.
+    """doc_id, mark, component_id and first for near-duplicates: texts whose sets of `size`-word shingles are that similar.
 
     Every link is decided by the Jaccard similarity of the sets themselves (of 64-bit hashes). A pair is a candidate
     if any band of min-hashes of the shingles agrees. Texts of one set are one node. In the first rounds a band's
     texts are compared with one of them, so large groups of copies join without all their pairs; then all pairs of
     a band that are not joined yet and whose SimHash codes allow the similarity, searched in Gray order, and decided
     where they are found, so only links leave the task. A band of more than `node` codes, or `SET_MASS` shingles, is
-    searched by pairs of blocks. Null and empty texts are alike; rows with a null doc_id take no
-    part; repeated rows stay.
+    searched by pairs of blocks. mark is a hash of the text, which tells rows of one id apart; a component is named by its
+    smallest doc_id, and first says that a row has the smallest id and mark of its component. Null and empty texts are
+    alike; rows with a null doc_id take no part; repeated rows stay; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as scratch:
-        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, same long, code binary, bands array<long>, shingles array<long>"), "codes")
-        groups = scratch.table(of.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("code").alias("code"), F.first(F.size("shingles")).alias("size")), "groups")
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+        of = scratch.table(texts.mapInArrow(lambda b: _codes(b, size), "doc_id long, mark long, same long, code binary, bands array<long>, shingles array<long>"), "codes")
+        groups = scratch.table(of.groupBy("same").agg(F.min(F.struct("doc_id", "mark")).alias("id"), F.first("bands").alias("bands"), F.first("code").alias("code"), F.first(F.size("shingles")).alias("size")), "groups")
         keyed = groups.select(F.explode("bands").alias("band"), "same", "size")
         blocks = F.ceil(F.greatest(F.count("*") / node, F.sum("size") / SET_MASS)).cast("int").alias("blocks")
         shared = keyed.groupBy("band").agg(F.count("*").alias("n"), blocks).where("n > 1").drop("n")
@@ -431,17 +432,30 @@ def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
             if not more.isEmpty():  # the stars found so far stand for the links that made them
                 roots = connected_components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         names = groups.join(roots, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("root", "same").alias("root"))
-        least = names.groupBy("root").agg(F.min("id").alias("component_id"))
-        names = names.join(least, "root").select("same", "component_id")
-        return scratch.result(of.select("doc_id", "same").join(names, "same").select("doc_id", "component_id"))
+        least = names.groupBy("root").agg(F.min("id").alias("least"))
+        names = names.join(least, "root").select("same", "least")
+        named = of.select("doc_id", "mark", "same").join(names, "same")
+        return scratch.result(named.select("doc_id", "mark", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "mark") == F.col("least")).alias("first")))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one with the smallest doc_id.
+    """`docs` with one row of each group of near-duplicates: one with the smallest doc_id, and its smallest hash of a text.
 
-    Rows with a null doc_id stay. Few dropped ids are broadcast, many are joined.
+    Rows that repeat an id are told apart by their texts: each goes or stays for its own text's sake. Of rows
+    with one id and text one stays, that with the smallest hash of all columns. Rows with a null doc_id stay; an empty table
+    gives no rows. Few dropped rows' ids are broadcast, many are joined.
     """
     found = similar_components(docs, size, similarity)
-    name = fresh(docs, "gone")
-    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(broadcast_if_small(gone, gone.count(), SMALL_IDS), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    own, mark = fresh(docs, "id"), fresh(docs, "mark")
+    key = [F.col("doc_id").alias(own), F.col("mark").alias(mark)]
+    fits = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark))
+    gone = cut(found.where("not first").select(*key).distinct())
+    left = docs.join(broadcast_if_small(gone, gone.count(), SMALL_IDS), fits, "left_anti")
+    twice = cut(found.where("first").groupBy("doc_id", "mark").count().where("count > 1").select(*key))
+    many = twice.count()
+    if not many:
+        return left
+    twice = broadcast_if_small(twice, many, SMALL_IDS)
+    row = F.struct(*(docs[c] for c in docs.columns))
+    several = left.join(twice, fits).groupBy(own, mark).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return left.join(twice, fits, "left_anti").unionByName(several)

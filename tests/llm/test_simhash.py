@@ -194,3 +194,15 @@ def test_appended_and_cut_texts_are_found_and_links_are_exact(spark):
     assert len(links) >= 150 and len({b for a, b in links if b % 3 == 2}) < 20
     want = roots(list(of), links)
     assert got == {d: want[d] for d in of}
+
+
+def test_rows_of_one_id_go_or_stay_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, c, "s"), (3, c, "t"), (None, a, "s"), (None, a, "s")]
+    for parts in (1, 5):
+        kept = simhash.drop_near_duplicates(documents(spark, rows).repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("2", b), ("3", c), ("None", a), ("None", a)])
+        assert len({r.source for r in kept if r.doc_id == 3}) == 1
+    got = {(r.doc_id, r.component_id, r.first) for r in simhash.similar_components(documents(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True)}
+    assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
