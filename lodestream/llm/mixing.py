@@ -180,11 +180,12 @@ def one_by_one(same: DataFrame) -> DataFrame:
 def materialise(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document row as often as its copies say, with the columns of `docs`.
 
-    Copies are joined by doc_id, source and text. Rows equal in these share the copies of their group evenly: in random
-    chunks of about SUBGROUP of them, the running sum of their mean hands out the copies. Nulls, empty texts and an
-    empty table as in `mix`.
+    Copies are joined by doc_id, source and text. Rows equal in these share the copies of their group evenly: those
+    that are equal in all columns are counted, a hash of the columns deals them to chunks of about SUBGROUP
+    rows and orders them there, and the running sum of their mean hands out the copies. So the result depends neither on
+    partitions nor on the order of rows. Nulls, empty texts and an empty table as in `mix`.
     """
-    own, mark, named, many, rows, copy, chunk, nth = (fresh(docs, x) for x in ("id", "mark", "named", "copies", "rows", "copy", "chunk", "nth"))
+    own, mark, named, many, rows, copy, chunk, equal, at = (fresh(docs, x) for x in ("id", "mark", "named", "copies", "rows", "copy", "chunk", "equal", "at"))
     mixed = mix(docs, extra=("mark",), **options)
     groups = mixed.groupBy("doc_id", "mark", "source").agg(F.sum("copies").alias(many), F.count("*").alias(rows)).where(F.col(many) > 0)
     groups = cut(groups.select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("source").alias(named), many, rows))
@@ -196,11 +197,16 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     if repeated.isEmpty():
         return once
     joined = docs.alias("d").join(broadcast_if_small(repeated, count, SMALL_IDS), fits)
-    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col(rows) / SUBGROUP))
-    dealt = joined.withColumn(chunk, drawn)
-    inside = F.row_number().over(Window.partitionBy(own, mark, named, chunk).orderBy(F.lit(0)))
+    counted = joined.groupBy(own, mark, named, many, rows, *columns).agg(F.count("*").alias(equal))
+    drawn = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    dealt = counted.withColumn(chunk, F.pmod(drawn, F.ceil(F.col(rows) / SUBGROUP))).withColumn(at, drawn)
+    upto = F.sum(equal).over(Window.partitionBy(own, mark, named, chunk).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
     mean, start = F.col(many) / F.col(rows), F.when(F.col(rows) <= SUBGROUP, 0.0).otherwise(F.pmod(F.xxhash64(mark, chunk), F.lit(1 << 20)) / float(1 << 20))
-    dealt = dealt.withColumn(nth, inside)
-    share = F.floor(F.round(F.col(nth) * mean + start, 9)) - F.floor(F.round((F.col(nth) - 1) * mean + start, 9))
-    dealt = dealt.withColumn(copy, share.cast("int")).where(F.col(copy) > 0)
-    return once.unionByName(dealt.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*columns))
+    share = F.floor(F.round(upto * mean + start, 9)) - F.floor(F.round((upto - F.col(equal)) * mean + start, 9))
+    dealt = dealt.withColumn(copy, share).where(F.col(copy) > 0)
+    # a row with very many copies is written by several tasks
+    dealt = dealt.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy), F.lit(CHUNK).cast("long"))))
+    spread = dealt.where(F.col(copy) > CHUNK).repartition(own, mark, at)
+    dealt = dealt.where(F.col(copy) <= CHUNK).unionByName(spread)
+    dealt = dealt.withColumn(at, F.explode(F.sequence(F.col(at), F.least(F.col(at) + (CHUNK - 1), F.col(copy)))))
+    return once.unionByName(dealt.select(*docs.columns))

@@ -102,3 +102,23 @@ def test_one_large_group_of_equal_rows(spark, monkeypatch):
 
 def test_many_sources(spark):
     check(documents(spark, [(i, "w " * (1 + i % 5), f"s{i % 37}" if i % 37 else None) for i in range(4000)]), 0.01)
+
+
+def test_materialise_is_the_same_in_any_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1001).select(F.lit(1).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("a").alias("source"), F.concat(F.lit("l"), F.col("id") % 7).alias("lang"))
+    more = spark.range(40).selectExpr("id + 10 AS doc_id", "repeat('w ', cast(id AS int)) AS text", "if(id % 2 = 0, 'a', 'b') AS source", "'x' AS lang")
+    docs = rows.unionByName(more)
+    first = sorted(map(tuple, mixing.materialise(docs.repartition(3)).collect()))
+    assert first == sorted(map(tuple, mixing.materialise(docs.repartition(5, "lang")).collect()))
+    want = sum(r.copies for r in mixing.mix(docs, extra=("mark",)).where("doc_id = 1").collect())
+    assert abs(sum(r[0] == 1 for r in first) - want) <= 5
+
+
+def test_materialise_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    docs = spark.range(500).selectExpr("cast(1 AS long) AS doc_id", "'same words' AS text", "'a' AS source").unionByName(spark.range(20).selectExpr("id + 5 AS doc_id", "'others here too' AS text", "'b' AS source"))
+    counts = {r.doc_id: r["count"] for r in mixing.materialise(docs).groupBy("doc_id").count().collect()}
+    taken = {r.doc_id: r.n for r in mixing.mix(docs, extra=("mark",)).groupBy("doc_id").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
+    assert counts[1] == taken[1] and sum(counts.values()) == sum(taken.values())
