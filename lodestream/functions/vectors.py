@@ -27,6 +27,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Of unit length; null for next to nothing."""
-    n = norm(a)
-    return F.when(n >= TINY, F.transform(a, lambda x: x / n))
+    """Of unit length; null for next to nothing.
+
+    The vector and its norm are each bound to a variable, as an expression inside a lambda is evaluated for every element.
+    """
+
+    def divided(v: Column) -> Column:
+        return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n >= TINY, F.transform(v, lambda x: x / n))), F.lit(0))
+
+    return F.get(F.transform(F.array(a), divided), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,10 +129,8 @@ def onboarding_seeds(picks: DataFrame, vectors: DataFrame) -> DataFrame:
     vectors: item_id, vector. An item picked twice counts once; picks without a vector, and users with none, give nothing.
     """
     some = picks.select("user_id", "domain", "item_id").distinct().join(vectors.where("vector is not null"), "item_id")
-    parts = some.select("user_id", "domain", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
-    sums = parts.groupBy("user_id", "domain", "i").agg(F.sum("x").alias("x"))
-    whole = sums.groupBy("user_id", "domain").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v"))
-    return whole.select("user_id", "domain", normalised(F.col("v")).alias("vector")).where("vector is not null")
+    sums = some.groupBy("user_id", "domain").agg(Summarizer.sum(array_to_vector(F.col("vector").cast("array<double>"))).alias("s"))
+    return sums.select("user_id", "domain", normalised(vector_to_array("s")).alias("vector")).where("vector is not null")
 
 
 def attach_explanations(shown: DataFrame, cached: DataFrame) -> DataFrame:

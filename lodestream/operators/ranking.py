@@ -27,7 +27,7 @@ def rejected_creators(recent: DataFrame, now: DataFrame, within_ms: int = config
 
 
 def rank_features(merged: DataFrame, stats: DataFrame, meta: DataFrame, affinities: dict[str, DataFrame], rejected: DataFrame, today: str) -> DataFrame:
-    """The nine features of each candidate (request_id, user_id, domain, item_id and the sources' scores).
+    """The nine features of each candidate (request_id, user_id, domain, item_id, the sources' scores, cosine, semantic_reason).
 
     stats: item_id, ctr, completion_rate; meta: item_id, creator_id, genre, mood, release_date; affinities: for each of
     AFFINITIES user_id, domain, its column, affinity; rejected: user_id, domain, creator_id. What is missing has its
@@ -44,11 +44,11 @@ def rank_features(merged: DataFrame, stats: DataFrame, meta: DataFrame, affiniti
     j = j.join(rejected.withColumn("_down", F.lit(1.0)), ["user_id", "domain", "creator_id"], "left")
     days = F.greatest(F.datediff(F.lit(today).cast("date"), F.col("release_date")), F.lit(0))
     f = {
-        "semantic": F.greatest(F.coalesce("semantic", "fresh", F.lit(0.0)), F.lit(0.0)), "cf": F.coalesce("cf", F.lit(0.0)), "next": F.coalesce("next", F.lit(0.0)),
+        "semantic": F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0)), "cf": F.coalesce("cf", F.lit(0.0)), "next": F.coalesce("next", F.lit(0.0)),
         "affinity": liking, "trending": F.greatest(F.coalesce("trending", F.lit(0.0)), F.coalesce("popular", F.lit(0.0))), "ctr": F.coalesce("ctr", F.lit(0.1)),
         "completion": F.coalesce("completion_rate", F.lit(0.5)), "freshness": F.when(F.col("release_date").isNull(), 0.3).otherwise(F.exp(-days / 90.0)), "penalty": F.coalesce("_down", F.lit(0.0)),
     }
-    return j.select("request_id", "user_id", "domain", "item_id", "creator_id", "genre", "release_date", "reason", "trending_reason", "fresh", F.col("semantic").isNotNull().alias("near"), "popular", *[x.alias(f"f_{n}") for n, x in f.items()])
+    return j.select("request_id", "user_id", "domain", "item_id", "creator_id", "genre", "release_date", "reason", "trending_reason", "semantic_reason", "fresh", F.col("cosine").isNotNull().alias("near"), (F.col("fresh").isNotNull() & F.col("semantic").isNull()).alias("only_new"), "popular", *[x.alias(f"f_{n}") for n, x in f.items()])
 
 
 def heuristic_score(weights: dict[str, float] | None = None) -> Column:
@@ -61,11 +61,11 @@ def heuristic_score(weights: dict[str, float] | None = None) -> Column:
     return total
 
 
-def reason(semantic: str = "SIMILAR_TO_TASTE") -> Column:
+def reason() -> Column:
     """Why an item is shown: the source that gave most of its score; of equals the more telling one.
 
-    What is near the query is said to be `semantic`, or new if only the search for new items found it. A score that no
-    source explains keeps the reason it came with.
+    What has a cosine with the query, found by a search or not, is said to be near it for the request's reason, or new if
+    only the search for new items found it. A score that no source explains keeps the reason it came with.
     """
     w = config.RANK_WEIGHTS
     parts = {"semantic": w["semantic"] * F.col("f_semantic") + w["affinity"] * F.col("f_affinity"), "cf": w["cf"] * F.col("f_cf"), "next": w["next"] * F.col("f_next"), "popular": w["popular"] * F.col("f_trending")}
@@ -74,8 +74,7 @@ def reason(semantic: str = "SIMILAR_TO_TASTE") -> Column:
         F.when(best <= 0, F.col("reason"))
         .when((best == parts["next"]) & (F.col("f_next") > 0), "OFTEN_PLAYED_NEXT")
         .when((best == parts["cf"]) & (F.col("f_cf") > 0), "LISTENED_TOGETHER")
-        .when((best == parts["semantic"]) & F.col("near"), semantic)
-        .when((best == parts["semantic"]) & F.col("fresh").isNotNull(), "NEW_FOR_YOU")
+        .when((best == parts["semantic"]) & F.col("near"), F.when(F.col("only_new"), "NEW_FOR_YOU").otherwise(F.col("semantic_reason")))
         .when((best == parts["popular"]) & F.col("trending_reason").isNotNull(), F.col("trending_reason"))
         .when((best == parts["popular"]) & F.col("popular").isNotNull(), "POPULAR_FALLBACK")
         .otherwise(F.col("reason"))
@@ -108,14 +107,14 @@ def hard_filter(scored: DataFrame, blocked: DataFrame, creators: DataFrame, meta
 def top_up(shown: DataFrame, popular: DataFrame, exclude: DataFrame, limit: int) -> DataFrame:
     """request_id, user_id, domain, item_id, place, score, reason: short lists filled up from the popular items.
 
-    shown: those columns without reason, and reason, place from 1; popular: domain, item_id, place; exclude: user_id,
+    shown: those columns, region, and place from 1; popular: domain, region, item_id, place; exclude: user_id,
     domain, item_id never shown. What is added scores 1 - i / n for the i-th of n popular items, from 0. Only requests
     that have a row in `shown` are filled up; the lists of popular items are short by their limit.
     """
-    lists = shown.groupBy("request_id", "user_id", "domain").agg(F.count("*").alias("have")).where(F.col("have") < limit)
-    n = popular.groupBy("domain").agg(F.count("*").alias("n"))
-    pool = popular.join(n, "domain").select("domain", "item_id", F.col("place").alias("_order"), (1 - (F.col("place") - 1) / F.col("n")).alias("score"))
-    more = lists.join(pool, "domain").join(exclude.select("user_id", "domain", "item_id").distinct(), ["user_id", "domain", "item_id"], "left_anti")
+    lists = shown.groupBy("request_id", "user_id", "domain", "region").agg(F.count("*").alias("have")).where(F.col("have") < limit)
+    n = popular.groupBy("domain", "region").agg(F.count("*").alias("n"))
+    pool = popular.join(n, ["domain", "region"]).select("domain", "region", "item_id", F.col("place").alias("_order"), (1 - (F.col("place") - 1) / F.col("n")).alias("score"))
+    more = lists.join(pool, ["domain", "region"]).join(exclude.select("user_id", "domain", "item_id").distinct(), ["user_id", "domain", "item_id"], "left_anti")
     more = more.join(shown.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
     more = more.withColumn("place", F.col("have") + F.row_number().over(Window.partitionBy("request_id").orderBy("_order"))).where(F.col("place") <= limit)
     columns = ["request_id", "user_id", "domain", "item_id", "place", "score", "reason"]

@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import decay, round4
+from ..functions.vectors import cosine, doubles, normalised
 from ..sources.shared import once
 
-#: Queries of one pass of `knn`, broadcast (QUERIES * dimension * 8 bytes).
-QUERIES = 4096
+#: Queries and items of a pair of tiles, on average.
+QUERIES, ITEMS = 4096, 16_384
+#: Combinations of the columns that must be equal up to which their tiles' numbers are broadcast (under 100 bytes each).
+KEYS = 50_000
 #: Queries whose scores a task holds at a time.
 TILE = 256
 
 
-def taste_vectors(weighted: DataFrame, keys: list[str], half_life_ms: int, negative_cap: float = config.NEGATIVE_CAP) -> DataFrame:
-    """keys, vector: the decayed sum of what was liked less a capped share of what was not, both over the mass of
-    what was liked, of unit length.
+def taste_vectors(weighted: DataFrame, keys: list[str], half_lives: dict[str, int], negative_cap: float = config.NEGATIVE_CAP) -> DataFrame:
+    """keys, and a vector for each name of `half_lives` (milliseconds): the decayed sum of what was liked less a capped
+    share of what was not, both over the mass of what was liked, of unit length.
 
-    weighted: keys, ts, weight, vector. Sums are pre-aggregated by key and dimension, so a user with very many events
-    costs no task more than others. Users without anything liked have none, nor have
-    those whose vector is next to nothing.
+    weighted: keys, ts, weight, vector. Vectors are added up whole, before the shuffle as well, so an event is one row
+    throughout and a user with very many events costs no task more than others. A vector is null for users without
+    anything liked, and where it is next to nothing; users who have none are left out.
     """
     some = weighted.where((F.col("weight") != 0) & F.col("vector").isNotNull())
     now = some.groupBy(*keys).agg(F.max("ts").alias("_now"))
-    w = decay(F.abs("weight"), F.col("_now") - F.col("ts"), half_life_ms)
-    aged = some.join(now, keys).select(*keys, (F.col("weight") > 0).alias("liked"), w.alias("w"), F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
-    of = lambda test, v: F.sum(F.when(test, v).otherwise(0.0))
-    sums = aged.groupBy(*keys, "i").agg(of(F.col("liked"), F.col("w") * F.col("x")).alias("p"), of(F.col("liked"), F.col("w")).alias("pm"), of(~F.col("liked"), F.col("w") * F.col("x")).alias("n"), of(~F.col("liked"), F.col("w")).alias("nm"))
-    scale = F.when(F.col("nm") <= 1e-9, 0.0).otherwise(F.least(F.lit(1.0), negative_cap * F.col("pm") / F.col("nm")))
-    mean = F.col("p") / F.col("pm") - scale * F.col("n") / F.col("pm")
-    whole = sums.where("pm > 1e-9").withColumn("x", mean).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return whole.where("n >= 1e-9").select(*keys, F.transform("v", lambda s: s["x"] / F.col("n")).alias("vector"))
+    ages = F.array(*(F.struct(F.lit(name).alias("name"), decay(F.abs("weight"), F.col("_now") - F.col("ts"), half_life).alias("w")) for name, half_life in half_lives.items()))
+    aged = some.join(now, keys).select(*keys, (F.col("weight") > 0).alias("liked"), array_to_vector(doubles(F.col("vector"))).alias("v"), F.explode(ages).alias("aged"))
+    aged = aged.select(*keys, "liked", "v", "aged.name", "aged.w").where("w > 0")
+    sums = aged.groupBy(*keys, "name", "liked").agg(F.sum("w").alias("m"), Summarizer.sum(F.col("v"), F.col("w")).alias("s"))
+    both = sums.select(*keys, "name", "liked", F.struct("m", vector_to_array("s").alias("s")).alias("side"))
+    both = both.groupBy(*keys, "name").agg(F.max(F.when(F.col("liked"), F.col("side"))).alias("p"), F.max(F.when(~F.col("liked"), F.col("side"))).alias("n"))
+    scale = F.least(F.lit(1.0), negative_cap * F.col("p.m") / F.col("n.m"))
+    mean = F.when(F.coalesce("n.m", F.lit(0.0)) <= 1e-9, F.transform("p.s", lambda x: x / F.col("p.m"))).otherwise(F.zip_with("p.s", "n.s", lambda x, y: x / F.col("p.m") - scale * y / F.col("p.m")))
+    units = both.where("p.m > 1e-9").select(*keys, "name", normalised(mean).alias("vector")).where("vector is not null")
+    return units.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("vector"))).alias(name) for name in half_lives))
 
 
 def blend(short: Column, long: Column, cross: Column, weights: dict[str, float] | None = None) -> Column:
@@ -46,59 +51,86 @@ def blend(short: Column, long: Column, cross: Column, weights: dict[str, float]
     return add(add(add(F.lit(None).cast("array<double>"), short, w["short"]), long, w["long"]), cross, w["cross"])
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """query_id, rank, item_id, score: each query's k items of highest cosine, itself left out.
+def context(short: Column, long: Column, cross: Column, seed: Column, weights: dict[str, float] | None = None) -> tuple[Column, Column]:
+    """What a request asks with, of unit length, and why an item near it is shown; null without any of the vectors.
 
-    queries: query_id, vector; items: item_id, vector, filtered beforehand as wanted; `same` names a column that
-    must be equal. The queries are computed once and go through the items in passes of a bounded number, in block
-    products; each batch keeps k a query. Null vectors take no part.
+    Taste in the domain comes first, with a share of the taste across domains; a user new to the domain has the latter and,
+    alike, what was picked when joining; a new user has the picks alone.
     """
-    spark = queries.sparkSession
-    extra = [same] if same else []
-    q = once(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *extra))
-    found = None
-    passes = max(1, -(-q.count() // QUERIES))
-    for n in range(passes):
-        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).toPandas()
-        if not len(some):
-            continue
-        sent = spark.sparkContext.broadcast((some["query_id"].to_numpy(np.int64), _unit(np.array(some["vector"].tolist(), np.float64)), some[same].to_numpy() if same else None))
-        part = items.where("vector is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
-        part = part.mapInArrow(lambda b, sent=sent: _best(b, sent, k), "query_id long, item_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, item_id long, score double")
+    inside = short.isNotNull() | long.isNotNull()
+    both = F.when(seed.isNull(), cross).otherwise(normalised(F.zip_with(cross, seed, lambda x, y: x + y)))
+    vector = F.when(inside, normalised(blend(short, long, cross, weights))).when(cross.isNotNull(), both).otherwise(seed)
+    reason = F.when(short.isNotNull(), "SIMILAR_TO_RECENT").when(long.isNotNull(), "SIMILAR_TO_TASTE").when(cross.isNotNull(), "CROSS_DOMAIN").otherwise("ONBOARDING_MATCH")
+    return vector, reason
+
+
+def eligible(items: DataFrame, regions: list[str], explicit: bool = False) -> DataFrame:
+    """`items` once for each region of `regions` where they may be shown, in the column region: those without regions,
+    or with "ALL" among them, in all. Explicit ones only if `explicit`."""
+    every = F.array(*map(F.lit, regions))
+    anywhere = F.col("regions").isNull() | (F.size("regions") == 0) | F.array_contains("regions", "ALL")
+    fit = items if explicit else items.where(~F.coalesce("explicit", F.lit(False)))
+    return fit.withColumn("region", F.explode(F.when(anywhere, every).otherwise(F.array_intersect("regions", every))))
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, same: tuple[str, ...] = (), itself: bool = False) -> DataFrame:
+    """query_id, rank, item_id, score: each query's k items of highest cosine; unless `itself`, not that of its own id.
+
+    queries: query_id, vector; items: item_id, vector, filtered beforehand as wanted; `same` names columns that
+    must be equal. Queries and items of equal columns are dealt to tiles of about QUERIES and ITEMS by their ids, and each pair of
+    tiles is a task's matrix product, which keeps k a query: nothing goes through the driver but the number of
+    distinct columns, and a value that most rows have only makes more tiles. Null vectors take no part.
+    """
+    q = once(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.array(*(F.col(c).cast("string") for c in same)).cast("array<string>").alias("key")))
+    part = items.where("vector is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector"), F.array(*(F.col(c).cast("string") for c in same)).cast("array<string>").alias("key"))
+    asked = q.groupBy("key").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("down"))
+    tiles = once(asked.join(part.groupBy("key").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("across")), "key"))
+    tiles = F.broadcast(tiles) if tiles.count() <= KEYS else tiles
+    of = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = ["key", "row", "col"]
+    left = q.join(tiles, "key").withColumn("row", of("query_id", "down")).withColumn("col", every("across")).select(*place, "query_id", "vector")
+    right = part.join(tiles, "key").withColumn("col", of("item_id", "across")).withColumn("row", every("down")).select(*place, "item_id", "vector")
+    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(lambda a, b: _best(a, b, k, itself), "query_id long, item_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit(table: pa.Table) -> np.ndarray:
+    x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n >= 1e-9)
 
 
-def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
-    ids, q, same = sent.value
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = batch.column(0).to_numpy()
-        x = _unit(batch.column(1).flatten().to_numpy().reshape(len(own), -1))
-        kind = None if same is None else batch.column(2).to_numpy(zero_copy_only=False)
+def _best(asked: pa.Table, items: pa.Table, k: int, itself: bool) -> pa.Table:
+    """The k best items of a tile for each query of a tile."""
+    out = []
+    if asked.num_rows and items.num_rows:
+        ids, own, q, x = asked.column("query_id").to_numpy(), items.column("item_id").to_numpy(), _unit(asked), _unit(items)
         for t in range(0, len(ids), TILE):
-            asked = ids[t : t + TILE]
             score = np.floor(q[t : t + TILE] @ x.T * 1e4 + 0.5) / 1e4
-            bad = own[None, :] == asked[:, None]
-            if kind is not None:
-                bad |= kind[None, :] != same[t : t + TILE, None]
-            score[bad] = -np.inf
-            least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(asked), -np.inf)
+            if not itself:
+                score[own[None, :] == ids[t : t + TILE, None]] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
             row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
             order = np.lexsort((own[col], -score[row, col], row))
             row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(own[col]), pa.array(score[row, col])], ["query_id", "item_id", "score"])
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            out.append((ids[t + row], own[col], score[row, col]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return pa.table(dict(zip(["query_id", "item_id", "score"], columns)))
+
+
+def rescored(merged: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame:
+    """`merged` with `cosine`: what a search found of an item, or else its cosine with the request's vector, null without vectors.
+
+    merged: request_id, item_id, semantic, fresh; asked: request_id, vector; items: item_id, vector.
+    """
+    known = merged.withColumn("cosine", F.coalesce("semantic", "fresh"))
+    pairs = known.where("cosine is null").select("request_id", "item_id").join(asked.select("request_id", "vector"), "request_id").join(items.where("vector is not null").select("item_id", doubles(F.col("vector")).alias("_v")), "item_id")
+    more = pairs.select("request_id", "item_id", round4(cosine(F.col("vector"), F.col("_v"))).alias("_cosine"))
+    return known.join(more, ["request_id", "item_id"], "left").withColumn("cosine", F.coalesce("cosine", "_cosine")).drop("_cosine")
 
 
 def neighbor_candidates(seeds: DataFrame, neighbors: DataFrame, source: str, reason: str, each: int, fade: float = 0.15) -> DataFrame:

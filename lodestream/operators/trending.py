@@ -32,10 +32,10 @@ def trending(counts: DataFrame, now: int, hour_ms: int = config.HOUR_MS, top: in
     return ranked.where(F.col("rank") <= top).select("domain", "region", "rank", "item_id", "score")
 
 
-def region_then_global(lists: DataFrame, region: str, most: int) -> DataFrame:
-    """domain, item_id, place: a region's list, followed by the world's, each item once."""
-    own = lists.where(F.col("region") == region).withColumn("part", F.lit(0))
-    both = own.unionByName(lists.where("region = 'GLOBAL'").withColumn("part", F.lit(1)))
-    first = both.groupBy("domain", "item_id").agg(F.min(F.struct("part", "rank")).alias("at"))
-    order = Window.partitionBy("domain").orderBy("at")
-    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("domain", "item_id", "place")
+def region_then_global(lists: DataFrame, regions: list[str], most: int) -> DataFrame:
+    """domain, region, item_id, place: of each region its list, followed by the world's, each item once."""
+    own = lists.where(F.col("region").isin(*regions)).withColumn("part", F.lit(0))
+    world = lists.where("region = 'GLOBAL'").withColumn("region", F.explode(F.array(*map(F.lit, regions)))).withColumn("part", F.lit(1))
+    first = own.unionByName(world).groupBy("domain", "region", "item_id").agg(F.min(F.struct("part", "rank")).alias("at"))
+    order = Window.partitionBy("domain", "region").orderBy("at")
+    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("domain", "region", "item_id", "place")

@@ -104,6 +104,11 @@ TREND_CTE = f"""counts AS (SELECT domain, region, item_id, ts - ts % {WINDOW} AS
  tscore AS (SELECT *, {sql.round4('last * sqrt(least((last + 2.0::DOUBLE) / (previous + 2.0::DOUBLE), 4.0::DOUBLE))')} AS score FROM tsum),
  trend AS (SELECT domain, region, CAST(row_number() OVER (PARTITION BY domain, region ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM tscore WHERE score > 0)"""
 
+_WORLD = ", ".join(f"'{c}'" for c in views.COUNTRIES)
+POPULAR_CTE = f"""pu AS (SELECT domain, region, item_id, min((part, rank)) AS pos FROM (SELECT domain, region, item_id, 0 AS part, rank FROM trend WHERE region <> 'GLOBAL' AND rank <= {config.TRENDING_TOP}
+   UNION ALL SELECT domain, unnest([{_WORLD}]), item_id, 1, rank FROM trend WHERE region = 'GLOBAL' AND rank <= {config.TRENDING_TOP}) GROUP BY ALL),
+ popular AS (SELECT domain, region, item_id, row_number() OVER (PARTITION BY domain, region ORDER BY pos) AS place FROM pu)"""
+
 
 def trending_lists(spark, d, top=10):
     e = views.events(spark, d)
@@ -111,7 +116,7 @@ def trending_lists(spark, d, top=10):
 
 
 def popular_fallback(spark, d):
-    return trending.region_then_global(trending_lists(spark, d, config.TRENDING_TOP), "DE", 20)
+    return trending.region_then_global(trending_lists(spark, d, config.TRENDING_TOP), list(views.COUNTRIES), 20)
 
 
 def affinity_creator(spark, d):
@@ -206,7 +211,7 @@ QUERIES = {
     "trending_top": (trending_lists, f"{_EV}, {TREND_CTE} SELECT * FROM trend WHERE rank <= 10"),
     "popular_fallback": (
         popular_fallback,
-        f"{_EV}, {TREND_CTE}, u AS (SELECT domain, item_id, min((part, rank)) AS pos FROM (SELECT *, CASE WHEN region = 'DE' THEN 0 ELSE 1 END AS part FROM trend WHERE region IN ('DE', 'GLOBAL') AND rank <= {config.TRENDING_TOP}) GROUP BY ALL) SELECT domain, item_id, CAST(row_number() OVER (PARTITION BY domain ORDER BY pos) AS INTEGER) AS place FROM u QUALIFY place <= 20",
+        f"{_EV}, {TREND_CTE}, {POPULAR_CTE} SELECT domain, region, item_id, CAST(place AS INTEGER) AS place FROM popular WHERE place <= 20",
     ),
     "affinity_creator": (affinity_creator, _affinity_sql("creator_id")),
     "affinity_genre": (affinity_genre, _affinity_sql("genre")),

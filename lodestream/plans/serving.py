@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import round4
-from ..operators import features, neighbors, ranking, retrieval, trending
+from ..operators import catalog, features, neighbors, ranking, retrieval, trending
 from ..sources import views
 from ..sources.shared import once
 from . import activity, sql
@@ -25,12 +25,12 @@ def _domain_no():
     return F.array_position(F.array(*map(F.lit, config.DOMAINS)), F.col("domain")) - 1
 
 
-def _with_vectors(spark, d):
-    return activity.weighted(spark, d).join(views.items(spark, d).select("item_id", "vector"), "item_id")
+def _with_vectors(weighted, items):
+    return weighted.join(items.select("item_id", "vector"), "item_id")
 
 
-def taste(spark, d):
-    return retrieval.taste_vectors(_with_vectors(spark, d), ["user_id", "domain"], config.LONG_HALF_LIFE)
+def _rows(spark, d):
+    return _with_vectors(activity.weighted(spark, d), views.items(spark, d))
 
 
 def _long(vectors, *keys):
@@ -38,21 +38,35 @@ def _long(vectors, *keys):
 
 
 def user_vector(spark, d):
-    return _long(taste(spark, d), "user_id", "domain")
+    return _long(retrieval.taste_vectors(_rows(spark, d), ["user_id", "domain"], {"vector": config.LONG_HALF_LIFE}), "user_id", "domain")
 
 
 def cross_domain_vector(spark, d):
-    return _long(retrieval.taste_vectors(_with_vectors(spark, d), ["user_id"], config.CROSS_HALF_LIFE), "user_id")
+    return _long(retrieval.taste_vectors(_rows(spark, d), ["user_id"], {"vector": config.CROSS_HALF_LIFE}), "user_id")
+
+
+def requests(weighted, items):
+    """A request of each user in each domain that there is anything to ask with for: request_id, user_id, domain, region, vector,
+    semantic_reason. Clicks stand for what users picked when they joined."""
+    rows = _with_vectors(weighted, items)
+    inside = retrieval.taste_vectors(rows, ["user_id", "domain"], {"short": config.SHORT_HALF_LIFE, "long": config.LONG_HALF_LIFE})
+    cross = retrieval.taste_vectors(rows, ["user_id"], {"cross": config.CROSS_HALF_LIFE})
+    seeds = catalog.onboarding_seeds(weighted.where("event_type = 'CLICK'"), items.select("item_id", "vector")).withColumnRenamed("vector", "seed")
+    who = weighted.select("user_id").distinct().withColumn("domain", F.explode(F.array(*map(F.lit, config.DOMAINS))))
+    known = who.join(inside, ["user_id", "domain"], "left").join(cross, "user_id", "left").join(seeds, ["user_id", "domain"], "left")
+    vector, reason = retrieval.context(*(F.col(c) for c in ("short", "long", "cross", "seed")))
+    asked = known.select("user_id", "domain", vector.alias("vector"), reason.alias("semantic_reason")).where("vector is not null")
+    return asked.withColumn("request_id", F.col("user_id") * 4 + _domain_no()).withColumn("region", views.country(F.col("user_id")))
 
 
 def query_vector(spark, d):
-    """The blend of short, long and cross-domain taste, of unit length."""
-    from ..functions.vectors import normalised
+    """What each request asks with."""
+    return _long(requests(activity.weighted(spark, d), views.items(spark, d)), "user_id", "domain")
 
-    rows = _with_vectors(spark, d)
-    short = retrieval.taste_vectors(rows, ["user_id", "domain"], config.SHORT_HALF_LIFE).withColumnRenamed("vector", "s")
-    both = short.join(taste(spark, d).withColumnRenamed("vector", "l"), ["user_id", "domain"], "full").join(retrieval.taste_vectors(rows, ["user_id"], config.CROSS_HALF_LIFE).withColumnRenamed("vector", "c"), "user_id", "left")
-    return _long(both.select("user_id", "domain", normalised(retrieval.blend(F.col("s"), F.col("l"), F.col("c"))).alias("vector")), "user_id", "domain")
+
+def query_reasons(spark, d):
+    """How many requests of a domain ask with what."""
+    return requests(activity.weighted(spark, d), views.items(spark, d)).groupBy("domain", "semantic_reason").agg(F.count("*").alias("n"))
 
 
 def _taste_sql(name, keys, half_life):
@@ -64,13 +78,10 @@ def _taste_sql(name, keys, half_life):
  {name} AS (SELECT {k}, i, x / norm AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {k})) AS norm FROM {name}_m) WHERE norm >= 1e-9)"""
 
 
-def requests(spark, d):
-    """A request for each user and domain with a taste: request_id, user_id, domain, region, and the taste as query."""
-    return taste(spark, d).withColumn("request_id", F.col("user_id") * 4 + _domain_no()).withColumn("region", views.country(F.col("user_id")))
-
-
 def _semantic(asked, items, k):
-    return retrieval.knn(asked.select(F.col("request_id").alias("query_id"), "vector", "domain"), items, k, same="domain")
+    """Of each request the k nearest of those items of its domain that it may be shown in its region."""
+    fit = retrieval.eligible(items, list(views.COUNTRIES))
+    return retrieval.knn(asked.select(F.col("request_id").alias("query_id"), "vector", "domain", "region"), fit, k, ("domain", "region"), itself=True)
 
 
 def knn_items(spark, d):
@@ -80,16 +91,17 @@ def knn_items(spark, d):
 
 
 def knn_filtered(spark, d):
-    fit = views.items(spark, d).where(~F.col("explicit") & F.array_contains("regions", "DE"))
-    return _semantic(requests(spark, d), fit, 10)
+    i = once(views.items(spark, d))
+    return _semantic(requests(activity.weighted(spark, d), i), i, 10)
 
 
 def rescore_ids(spark, d):
     """Cosine of given pairs only: each request with the items its user consumed."""
     from ..functions.vectors import cosine, doubles
 
+    i = views.items(spark, d)
     used = features.consumed_items(views.events(spark, d)).select("user_id", "domain", "item_id")
-    pairs = requests(spark, d).join(used, ["user_id", "domain"]).join(views.items(spark, d).select("item_id", F.col("vector").alias("v")), "item_id")
+    pairs = requests(activity.weighted(spark, d), i).join(used, ["user_id", "domain"]).join(i.select("item_id", F.col("vector").alias("v")), "item_id")
     return pairs.select("request_id", "item_id", round4(cosine(F.col("vector"), doubles(F.col("v")))).alias("score"))
 
 
@@ -114,14 +126,15 @@ class Serving:
         self.events = once(activity.weighted(spark, d))
         self.items = once(views.items(spark, d))
         self.now = features.newest(self.events)
-        self.asked = once(requests(spark, d))
+        self.asked = once(requests(self.events, self.items))
 
     def candidates(self):
         c, asked = config.CANDIDATES, self.asked
-        row = lambda df, source, reason: df.select(F.col("query_id").alias("request_id"), "item_id", F.lit(source).alias("source"), F.greatest("score", F.lit(0.0)).alias("score"), F.lit(reason).alias("reason"))
-        near = row(_semantic(asked, self.items, c["semantic"]), "semantic", "SIMILAR_TO_TASTE")
+        row = lambda df, source, reason: df.select(F.col("query_id").alias("request_id"), "item_id", F.lit(source).alias("source"), F.greatest("score", F.lit(0.0)).alias("score"), reason.alias("reason"))
+        near = _semantic(asked, self.items, c["semantic"]).join(asked.select(F.col("request_id").alias("query_id"), "semantic_reason"), "query_id")
+        near = row(near, "semantic", F.col("semantic_reason"))
         new = self.items.where(F.col("release_date") >= F.date_sub(F.lit(TODAY).cast("date"), FRESH_DAYS))
-        fresh = row(_semantic(asked, new, c["fresh"]), "fresh", "NEW_FOR_YOU")
+        fresh = row(_semantic(asked, new, c["fresh"]), "fresh", F.lit("NEW_FOR_YOU"))
         lists = once(neighbors.neighbor_lists(activity.pairs_of(self.events), self.now, support=0.5))
         seeds = once(_seeds(self.events))
         cf = retrieval.neighbor_candidates(seeds, lists.where("kind = 'co'"), "cf", "LISTENED_TOGETHER", c["cf"])
@@ -134,7 +147,7 @@ class Serving:
         trend = [x.withColumn("source", F.lit("trending")).select(near.columns) for x in (here, world)]
         merged = retrieval.merge(near, fresh, cf.select(near.columns), follow.select(near.columns), *trend)
         # an item of no source has no request: a user without any candidate would be served the popular list
-        return once(asked.select("request_id", "user_id", "domain", "region").join(merged, "request_id"))
+        return once(asked.select("request_id", "user_id", "domain", "region", "semantic_reason").join(merged, "request_id"))
 
     def features(self):
         meta = self.items.select("item_id", "creator_id", "genre", "mood", "release_date")
@@ -143,18 +156,23 @@ class Serving:
         recent = features.recent_interactions(self.events).join(self.items.select("item_id", "creator_id"), "item_id")
         now = self.events.groupBy("user_id", "domain").agg(F.max("ts").alias("now"))
         rejected = ranking.rejected_creators(recent, now, activity.HOUR)
-        return ranking.rank_features(self.candidates(), features.item_stats(self.events, now=self.now), meta, liking, rejected, TODAY)
+        cosines = retrieval.rescored(self.candidates(), self.asked, self.items)
+        return ranking.rank_features(cosines, features.item_stats(self.events, now=self.now), meta, liking, rejected, TODAY)
 
     def scored(self):
         return once(self.features().withColumn("score", round4(ranking.heuristic_score())).withColumn("reason", ranking.reason()))
 
-    def blocked(self):
-        """Items never shown: consumed within the domain's window, turned down, or liked where liked items do not come again."""
+    def seen(self):
+        """Items consumed within the domain's window, or turned down."""
         used = features.consumed_items(self.events)
         down = features.recent_set(self.events, TURNED_DOWN, config.SUPPRESSED_MAX)
-        liked = features.recent_set(self.events, ("LIKE", "SAVE"), config.LIKED_MAX).where(F.col("domain").isin(*config.LIKED_ONCE))
         columns = ["user_id", "domain", "item_id"]
-        return used.select(columns).unionByName(down.select(columns)).unionByName(liked.select(columns)).distinct()
+        return used.select(columns).unionByName(down.select(columns))
+
+    def blocked(self):
+        """Items never shown: those seen, and liked ones where liked items do not come again."""
+        liked = features.recent_set(self.events, ("LIKE", "SAVE"), config.LIKED_MAX).where(F.col("domain").isin(*config.LIKED_ONCE))
+        return self.seen().unionByName(liked.select("user_id", "domain", "item_id")).distinct()
 
     def blocked_creators(self):
         """Creators of items that were turned down within the last thirty days."""
@@ -197,14 +215,14 @@ def topped_up(spark, d):
     s = Serving(spark, d)
     shown = ranking.top_per_request(s.filtered(), LIMIT).withColumnRenamed("rank", "place")
     lists = trending.trending(trending.window_counts(s.events, activity.WINDOW), s.now, activity.HOUR, config.TRENDING_TOP)
-    popular = trending.region_then_global(lists, "DE", 50)
-    return ranking.top_up(shown, popular, s.blocked(), LIMIT).select("request_id", "item_id", "place", round4(F.col("score")).alias("score"), "reason")
+    popular = trending.region_then_global(lists, list(views.COUNTRIES), 50)
+    return ranking.top_up(shown, popular, s.seen(), LIMIT).select("request_id", "item_id", "place", round4(F.col("score")).alias("score"), "reason")
 
 
 def fallback_levels(spark, d):
     """How many users have an answer of each level, by domain: one with a taste, or only the domain's popular list."""
     users = views.events(spark, d).select("user_id", "domain").distinct()
-    known = taste(spark, d).select("user_id", "domain", F.lit(True).alias("known"))
+    known = retrieval.taste_vectors(_rows(spark, d), ["user_id", "domain"], {"vector": config.LONG_HALF_LIFE}).select("user_id", "domain", F.lit(True).alias("known"))
     lists = activity.trending_lists(spark, d).select("domain", F.lit(True).alias("listed")).distinct()
     j = users.join(known, ["user_id", "domain"], "left").join(lists, "domain", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -246,7 +264,7 @@ def recall_at_k(spark, d):
     wanted = next_pairs(spark, d).select(F.col("item_id").alias("query_id"), F.col("next_item").alias("item_id")).where("query_id != item_id")
     i = views.items(spark, d)
     asked = i.join(wanted.select("query_id").distinct(), i["item_id"] == F.col("query_id"), "left_semi").select(F.col("item_id").alias("query_id"), "vector", "domain")
-    return retrieval.recall_at_k(retrieval.knn(asked, i, 20, same="domain"), wanted)
+    return retrieval.recall_at_k(retrieval.knn(asked, i, 20, ("domain",)), wanted)
 
 
 def next_pairs(spark, d):
@@ -285,12 +303,25 @@ def pointwise_ranker(spark, d):
 
 _TASTE = _taste_sql("taste", ["user_id", "domain"], config.LONG_HALF_LIFE)
 _BASE = f"{sql.cte(sql.EV, sql.ITEM)}, {activity.WEIGHTED_SQL}"
-REQ = f"{_TASTE}, req AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, user_id, domain, {sql.pick(views.COUNTRIES, 'user_id % 6')} AS region, list(x ORDER BY i) AS v FROM taste GROUP BY ALL)"
+REQ = f"""{_TASTE}, {_taste_sql('crossed', ['user_id'], config.CROSS_HALF_LIFE)}, {_taste_sql('short', ['user_id', 'domain'], config.SHORT_HALF_LIFE)},
+ sd_x AS (SELECT user_id, p.domain, CAST(unnest(vector) AS DOUBLE) AS x, generate_subscripts(vector, 1) - 1 AS i FROM (SELECT DISTINCT user_id, domain, item_id FROM ev WHERE event_type = 'CLICK') p JOIN item USING (item_id)),
+ sd_s AS (SELECT user_id, domain, i, sum(x) AS x FROM sd_x GROUP BY ALL), seeds AS (SELECT user_id, domain, i, x / norm AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY user_id, domain)) AS norm FROM sd_s) WHERE norm >= 1e-9),
+ asks AS (SELECT u.user_id, dm.domain, g.i, s.x AS s, l.x AS l, c.x AS c, o.x AS o
+   FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (SELECT unnest({list(config.DOMAINS)!r}) AS domain) dm CROSS JOIN (SELECT DISTINCT i FROM crossed_s) g
+   LEFT JOIN short s ON s.user_id = u.user_id AND s.domain = dm.domain AND s.i = g.i LEFT JOIN taste l ON l.user_id = u.user_id AND l.domain = dm.domain AND l.i = g.i
+   LEFT JOIN crossed c ON c.user_id = u.user_id AND c.i = g.i LEFT JOIN seeds o ON o.user_id = u.user_id AND o.domain = dm.domain AND o.i = g.i),
+ mixed AS (SELECT user_id, domain, i, CASE WHEN s IS NOT NULL THEN 'SIMILAR_TO_RECENT' WHEN l IS NOT NULL THEN 'SIMILAR_TO_TASTE' WHEN c IS NOT NULL THEN 'CROSS_DOMAIN' ELSE 'ONBOARDING_MATCH' END AS semantic_reason,
+   CASE WHEN s IS NOT NULL OR l IS NOT NULL THEN coalesce({config.BLEND['short']}::DOUBLE * s, 0.0) + coalesce({config.BLEND['long']}::DOUBLE * l, 0.0) + coalesce({config.BLEND['cross']}::DOUBLE * c, 0.0) WHEN c IS NOT NULL THEN c + coalesce(o, 0.0) ELSE o END AS x FROM asks),
+ req_x AS (SELECT user_id, domain, i, semantic_reason, x / sqrt(sum(x * x) OVER (PARTITION BY user_id, domain)) AS x FROM mixed WHERE x IS NOT NULL),
+ req AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, user_id, domain, {sql.pick(views.COUNTRIES, 'user_id % 6')} AS region, semantic_reason, list(x ORDER BY i) AS v FROM req_x GROUP BY ALL)"""
 _COS = "list_cosine_similarity(v, CAST(vector AS DOUBLE[]))"
 
 
+_OPEN = "regions IS NULL OR len(regions) = 0 OR list_contains(regions, 'ALL') OR list_contains(regions, region)"
+
+
 def _knn_sql(name, k, where="true"):
-    return f"""{name} AS (SELECT * FROM (SELECT request_id AS query_id, item_id, {sql.round4(_COS)} AS score FROM req JOIN item USING (domain) WHERE item_id <> request_id AND {where})
+    return f"""{name} AS (SELECT * FROM (SELECT request_id AS query_id, item_id, {sql.round4(_COS)} AS score FROM req JOIN item USING (domain) WHERE NOT explicit AND ({_OPEN}) AND {where})
    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= {k})"""
 
 
@@ -300,14 +331,14 @@ CAND = f"""{REQ}, {activity.PAIRS_CTE}, {activity.TREND_CTE}, {_knn_sql('sem', _
  sd AS (SELECT user_id * 4 + {_DOMAIN_NO} AS request_id, item_id AS seed, row_number() OVER (PARTITION BY user_id, domain ORDER BY t DESC, e DESC) - 1 AS place FROM (SELECT user_id, domain, item_id, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS e FROM w WHERE weight > 0 GROUP BY ALL) QUALIFY place < {_C['cf_seeds']}),
  nc AS (SELECT request_id, neighbor_id AS item_id, kind, max(score * (1 - 0.15 * place)) AS score FROM sd JOIN neighbors ON seed = item_id WHERE (kind = 'co' AND rank <= {_C['cf']}) OR (kind = 'next' AND place = 0 AND rank <= {_C['next']}) GROUP BY ALL),
  ht AS (SELECT domain, region, item_id, {sql.round4('score / max(score) OVER (PARTITION BY domain, region)')} AS score FROM trend WHERE rank <= {_C['trending']}),
- gen AS (SELECT query_id AS request_id, item_id, 'semantic' AS source, greatest(score, 0.0) AS score, 'SIMILAR_TO_TASTE' AS reason FROM sem
+ gen AS (SELECT query_id AS request_id, item_id, 'semantic' AS source, greatest(score, 0.0) AS score, semantic_reason AS reason FROM sem JOIN req ON query_id = request_id
    UNION ALL SELECT query_id, item_id, 'fresh', greatest(score, 0.0), 'NEW_FOR_YOU' FROM new
    UNION ALL SELECT request_id, item_id, CASE kind WHEN 'co' THEN 'cf' ELSE 'next' END, score, CASE kind WHEN 'co' THEN 'LISTENED_TOGETHER' ELSE 'OFTEN_PLAYED_NEXT' END FROM nc
    UNION ALL SELECT request_id, item_id, 'trending', score, 'POPULAR_IN_REGION' FROM req JOIN ht USING (domain, region)
    UNION ALL SELECT request_id, item_id, 'trending', score, 'TRENDING' FROM req JOIN ht USING (domain) WHERE ht.region = 'GLOBAL'),
  mg AS (SELECT request_id, item_id, {', '.join(f"max(score) FILTER (source = '{x}') AS {x}" for x in ('semantic', 'fresh', 'cf', 'next', 'trending'))},
    arg_max(reason, (score, source, reason)) AS reason, arg_max(reason, (score, reason)) FILTER (source = 'trending') AS trending_reason, count(DISTINCT source) AS sources FROM gen GROUP BY ALL),
- cand AS (SELECT user_id, domain, region, mg.* FROM mg JOIN req USING (request_id))"""
+ cand AS (SELECT user_id, domain, region, semantic_reason, mg.*, coalesce(semantic, fresh, {sql.round4(_COS)}) AS cosine FROM mg JOIN req USING (request_id) LEFT JOIN (SELECT item_id, vector FROM item) iv USING (item_id))"""
 
 
 def _liking_sql(by):
@@ -320,8 +351,8 @@ FEAT = f"""{CAND}, {activity.ITEM_STATS_CTE}, wi AS (SELECT w.*, item.creator_id
  last AS (SELECT user_id, domain, max(ts) AS now FROM w GROUP BY ALL), {', '.join(map(_liking_sql, ('creator_id', 'genre', 'mood')))},
  rejected AS (SELECT DISTINCT user_id, domain, creator_id, 1.0::DOUBLE AS down FROM (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY ts DESC, event_id DESC) <= {config.RECENT_MAX}) r JOIN last USING (user_id, domain)
    WHERE weight < 0 AND creator_id IS NOT NULL AND now - ts < {activity.HOUR}),
- feat AS (SELECT c.request_id, c.user_id, c.domain, c.region, c.item_id, m.item_id IS NOT NULL AS known, m.creator_id, m.genre, m.release_date, m.explicit, m.regions, c.reason, c.trending_reason, c.semantic, c.fresh,
-   greatest(coalesce(c.semantic, c.fresh, 0.0), 0.0) AS f_semantic, coalesce(cf, 0.0) AS f_cf, coalesce(next, 0.0) AS f_next, 0.0 + 0.5::DOUBLE * coalesce(lc.share, 0.0) + 0.3::DOUBLE * coalesce(lg.share, 0.0) + 0.2::DOUBLE * coalesce(lm.share, 0.0) AS f_affinity,
+ feat AS (SELECT c.request_id, c.user_id, c.domain, c.region, c.item_id, m.item_id IS NOT NULL AS known, m.creator_id, m.genre, m.release_date, m.explicit, m.regions, c.reason, c.trending_reason, c.semantic_reason, c.semantic, c.fresh, c.cosine,
+   greatest(coalesce(c.cosine, 0.0), 0.0) AS f_semantic, coalesce(cf, 0.0) AS f_cf, coalesce(next, 0.0) AS f_next, 0.0 + 0.5::DOUBLE * coalesce(lc.share, 0.0) + 0.3::DOUBLE * coalesce(lg.share, 0.0) + 0.2::DOUBLE * coalesce(lm.share, 0.0) AS f_affinity,
    coalesce(trending, 0.0) AS f_trending, coalesce(ctr, 0.1) AS f_ctr, coalesce(completion_rate, 0.5) AS f_completion, CASE WHEN m.release_date IS NULL THEN 0.3 ELSE exp(-greatest(DATE '{TODAY}' - m.release_date, 0) / 90.0::DOUBLE) END AS f_freshness, coalesce(down, 0.0) AS f_penalty
    FROM cand c LEFT JOIN item_stats st ON st.item_id = c.item_id LEFT JOIN item m ON m.item_id = c.item_id
    LEFT JOIN li_creator_id lc ON lc.user_id = c.user_id AND lc.domain = c.domain AND lc.creator_id = m.creator_id LEFT JOIN li_genre lg ON lg.user_id = c.user_id AND lg.domain = c.domain AND lg.genre = m.genre
@@ -330,7 +361,7 @@ _POP = "(0.5 * f_trending + 0.5 * least(1.0, f_ctr / 0.3))"
 _SCORE = f"0.45 * f_semantic + 0.15 * f_cf + 0.1 * f_next + 0.1 * f_affinity + 0.08 * {_POP} + 0.07 * f_completion + 0.05 * f_freshness + -0.15 * f_penalty"
 SCORED = f"""{FEAT}, sc AS (SELECT *, {sql.round4(_SCORE)} AS score, 0.45 * f_semantic + 0.1 * f_affinity AS ps, 0.15 * f_cf AS pc, 0.1 * f_next AS pn, 0.08 * f_trending AS pt FROM feat),
  sr AS (SELECT * REPLACE (CASE WHEN greatest(ps, pc, pn, pt) <= 0 THEN reason WHEN greatest(ps, pc, pn, pt) = pn AND f_next > 0 THEN 'OFTEN_PLAYED_NEXT' WHEN greatest(ps, pc, pn, pt) = pc AND f_cf > 0 THEN 'LISTENED_TOGETHER'
-   WHEN greatest(ps, pc, pn, pt) = ps AND semantic IS NOT NULL THEN 'SIMILAR_TO_TASTE' WHEN greatest(ps, pc, pn, pt) = ps AND fresh IS NOT NULL THEN 'NEW_FOR_YOU' WHEN greatest(ps, pc, pn, pt) = pt AND trending_reason IS NOT NULL THEN trending_reason ELSE reason END AS reason), CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM sc)"""
+   WHEN greatest(ps, pc, pn, pt) = ps AND cosine IS NOT NULL THEN CASE WHEN fresh IS NOT NULL AND semantic IS NULL THEN 'NEW_FOR_YOU' ELSE semantic_reason END WHEN greatest(ps, pc, pn, pt) = pt AND trending_reason IS NOT NULL THEN trending_reason ELSE reason END AS reason), CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM sc)"""
 _TURNED_DOWN = "event_type = 'SKIP'"
 FILTERED = f"""{SCORED}, {activity.CONSUMED_CTE},
  blocked AS (SELECT user_id, domain, item_id FROM consumed UNION SELECT user_id, domain, item_id FROM (SELECT user_id, domain, item_id, max((ts, event_id)) AS pos FROM ev WHERE {_TURNED_DOWN} GROUP BY user_id, domain, item_id) QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY pos DESC) <= {config.SUPPRESSED_MAX}
@@ -343,13 +374,17 @@ QUERIES = {
     "cross_domain_vector": (cross_domain_vector, f"{_BASE}, {_taste_sql('crossed', ['user_id'], config.CROSS_HALF_LIFE)} SELECT user_id, CAST(i AS INTEGER) AS i, {sql.round4('x')} AS x FROM crossed"),
     "query_vector": (
         query_vector,
-        f"{_BASE}, {_TASTE}, {_taste_sql('crossed', ['user_id'], config.CROSS_HALF_LIFE)}, {_taste_sql('short', ['user_id', 'domain'], config.SHORT_HALF_LIFE)}, q AS (SELECT coalesce(s.user_id, l.user_id) AS user_id, coalesce(s.domain, l.domain) AS domain, coalesce(s.i, l.i) AS i, coalesce(0.6 * s.x, 0.0) + coalesce(0.25 * l.x, 0.0) AS x FROM short s FULL JOIN taste l ON s.user_id = l.user_id AND s.domain = l.domain AND s.i = l.i), b AS (SELECT q.user_id, q.domain, q.i, q.x + coalesce(0.15 * c.x, 0.0) AS x FROM q LEFT JOIN crossed c ON q.user_id = c.user_id AND q.i = c.i) SELECT user_id, domain, CAST(i AS INTEGER) AS i, {sql.round4('x / sqrt(sum(x * x) OVER (PARTITION BY user_id, domain))')} AS x FROM b",
+        f"{_BASE}, {REQ} {_LONG.format('req_x')}",
+    ),
+    "query_reasons": (
+        query_reasons,
+        f"{_BASE}, {REQ} SELECT domain, semantic_reason, count(*) AS n FROM req GROUP BY ALL",
     ),
     "knn_items": (
         knn_items,
         f"{sql.cte(sql.ITEM)}, k AS (SELECT a.item_id AS query_id, b.item_id, {sql.round4('list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))')} AS score FROM item a JOIN item b ON a.item_id % 100 = 0 AND a.item_id <> b.item_id) {_RANKED.format('k')} QUALIFY rank <= 10",
     ),
-    "knn_filtered": (knn_filtered, f"{_BASE}, {REQ}, {_knn_sql('k', 10, chr(39).join(['NOT explicit AND list_contains(regions, ', 'DE', ')']))} {_RANKED.format('k')}"),
+    "knn_filtered": (knn_filtered, f"{_BASE}, {REQ}, {_knn_sql('k', 10)} {_RANKED.format('k')}"),
     "rescore_ids": (rescore_ids, f"{_BASE}, {REQ}, {activity.CONSUMED_CTE} SELECT request_id, item_id, {sql.round4(_COS)} AS score FROM req JOIN consumed USING (user_id, domain) JOIN item USING (item_id)"),
     "item_profiles_left_join": (item_profiles_left_join, f"{sql.cte(sql.ITEM)} SELECT p_partkey AS item_id, p_brand AS artist_id, genre, CAST(len(vector) AS INTEGER) AS dims FROM part LEFT JOIN (SELECT * FROM item WHERE genre < 5) i ON p_partkey = item_id"),
     "candidates_merged": (candidates_merged, f"{_BASE}, {CAND} SELECT request_id, item_id, " + ", ".join(f"{sql.round4(c)} AS {c}" for c in ("semantic", "fresh", "cf", "next", "trending")) + ", sources FROM cand"),
@@ -359,16 +394,16 @@ QUERIES = {
     "hard_filter": (hard_filter, f"{_BASE}, {FILTERED} SELECT request_id, item_id, score FROM hf"),
     "topped_up": (
         topped_up,
-        f"""{_BASE}, {FILTERED}, shown AS (SELECT request_id, user_id, domain, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS place, score, reason FROM hf QUALIFY place <= {LIMIT}),
- pu AS (SELECT domain, item_id, min((part, rank)) AS pos FROM (SELECT *, CASE WHEN region = 'DE' THEN 0 ELSE 1 END AS part FROM trend WHERE region IN ('DE', 'GLOBAL') AND rank <= {config.TRENDING_TOP}) GROUP BY ALL),
- pp AS (SELECT domain, item_id, row_number() OVER (PARTITION BY domain ORDER BY pos) AS o FROM pu QUALIFY o <= 50), pool AS (SELECT *, 1 - (o - 1) / (count(*) OVER (PARTITION BY domain))::DOUBLE AS score FROM pp),
- short AS (SELECT request_id, user_id, domain, count(*) AS have FROM shown GROUP BY ALL HAVING count(*) < {LIMIT}),
- more AS (SELECT request_id, item_id, CAST(have + row_number() OVER (PARTITION BY request_id ORDER BY o) AS INTEGER) AS place, score FROM short JOIN pool USING (domain) ANTI JOIN blocked USING (user_id, domain, item_id) ANTI JOIN (SELECT request_id, item_id FROM shown) q USING (request_id, item_id))
+        f"""{_BASE}, {FILTERED}, shown AS (SELECT request_id, user_id, domain, region, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS INTEGER) AS place, score, reason FROM hf QUALIFY place <= {LIMIT}),
+ {activity.POPULAR_CTE}, pool AS (SELECT domain, region, item_id, place AS o, 1 - (place - 1) / (count(*) OVER (PARTITION BY domain, region))::DOUBLE AS score FROM popular WHERE place <= 50),
+ seen AS (SELECT user_id, domain, item_id FROM consumed UNION SELECT user_id, domain, item_id FROM (SELECT user_id, domain, item_id, max((ts, event_id)) AS pos FROM ev WHERE {_TURNED_DOWN} GROUP BY user_id, domain, item_id) QUALIFY row_number() OVER (PARTITION BY user_id, domain ORDER BY pos DESC) <= {config.SUPPRESSED_MAX}),
+ few AS (SELECT request_id, user_id, domain, region, count(*) AS have FROM shown GROUP BY ALL HAVING count(*) < {LIMIT}),
+ more AS (SELECT request_id, item_id, CAST(have + row_number() OVER (PARTITION BY request_id ORDER BY o) AS INTEGER) AS place, score FROM few JOIN pool USING (domain, region) ANTI JOIN seen USING (user_id, domain, item_id) ANTI JOIN (SELECT request_id, item_id FROM shown) q USING (request_id, item_id))
  SELECT request_id, item_id, place, {sql.round4('score')} AS score, reason FROM shown UNION ALL SELECT request_id, item_id, place, {sql.round4('score')}, 'POPULAR_FALLBACK' FROM more WHERE place <= {LIMIT}""",
     ),
     "fallback_levels": (
         fallback_levels,
-        f"{_BASE}, {REQ}, {activity.TREND_CTE}, us AS (SELECT DISTINCT user_id, domain FROM ev), kn AS (SELECT DISTINCT user_id, domain, true AS known FROM req), tl AS (SELECT DISTINCT domain, true AS listed FROM trend WHERE rank <= 10) SELECT us.domain, CASE WHEN known IS NULL AND listed IS NULL THEN 'STATIC' WHEN known IS NULL THEN 'ANONYMOUS' ELSE 'NONE' END AS level, count(*) AS n FROM us LEFT JOIN kn USING (user_id, domain) LEFT JOIN tl ON tl.domain = us.domain GROUP BY ALL",
+        f"{_BASE}, {REQ}, {activity.TREND_CTE}, us AS (SELECT DISTINCT user_id, domain FROM ev), kn AS (SELECT DISTINCT user_id, domain, true AS known FROM taste), tl AS (SELECT DISTINCT domain, true AS listed FROM trend WHERE rank <= 10) SELECT us.domain, CASE WHEN known IS NULL AND listed IS NULL THEN 'STATIC' WHEN known IS NULL THEN 'ANONYMOUS' ELSE 'NONE' END AS level, count(*) AS n FROM us LEFT JOIN kn USING (user_id, domain) LEFT JOIN tl ON tl.domain = us.domain GROUP BY ALL",
     ),
     "freshness_boost": (freshness_boost, f"{_BASE}, {SCORED} SELECT request_id, item_id, {sql.round4(f'CASE WHEN release_date > CAST(DATE {chr(39)}{TODAY}{chr(39)} - 60 AS DATE) THEN score * (1 + 0.1::DOUBLE) ELSE score END')} AS score FROM sr"),
     "familiarity_cap": (

@@ -150,12 +150,47 @@ def test_taste_of_likes_and_dislikes(spark):
         ("v", 0, 1.0, [1.0, 0.0]), ("v", 0, -1e-12, [1.0, 0.0]),  # next to no dislike
         ("w", 0, -1.0, [1.0, 0.0]), ("x", 0, 1.0, None),
     ]
-    out = {r.user_id: r.vector for r in retrieval.taste_vectors(spark.createDataFrame(rows, "user_id string, ts long, weight double, vector array<float>"), ["user_id"], HALF).collect()}
+    out = {r.user_id: r.vector for r in retrieval.taste_vectors(spark.createDataFrame(rows, "user_id string, ts long, weight double, vector array<float>"), ["user_id"], {"vector": HALF}).collect()}
     x, y = 0.5 / 2.5 - (0.3 * 2.5 / 3) * 3 / 2.5, 2 / 2.5
     n = math.hypot(x, y)
     assert set(out) == {"u", "v"} and out["u"] == pytest.approx([x / n, y / n]) and out["v"] == pytest.approx([1.0, 0.0])
 
 
+def test_what_a_request_asks_with(spark):
+    rows = [(1, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0], None), (2, None, [0.0, 1.0], None, [1.0, 0.0]), (3, None, None, [0.0, 1.0], [1.0, 0.0]), (4, None, None, [0.0, 1.0], None), (5, None, None, None, [1.0, 0.0]), (6, None, None, None, None)]
+    kind = "id long, " + ", ".join(f"{c} array<double>" for c in ("short", "long", "cross", "seed"))
+    vector, reason = retrieval.context(*(F.col(c) for c in ("short", "long", "cross", "seed")))
+    out = {r.id: (r.v, r.reason) for r in spark.createDataFrame(rows, kind).select("id", vector.alias("v"), reason.alias("reason")).collect()}
+    n, h = math.hypot(0.6, 0.4), math.sqrt(0.5)
+    want = {1: ([0.6 / n, 0.4 / n], "SIMILAR_TO_RECENT"), 2: ([0.0, 1.0], "SIMILAR_TO_TASTE"), 3: ([h, h], "CROSS_DOMAIN"), 4: ([0.0, 1.0], "CROSS_DOMAIN"), 5: ([1.0, 0.0], "ONBOARDING_MATCH")}
+    assert out.pop(6)[0] is None and set(out) == set(want)
+    assert all(out[i][0] == pytest.approx(v) and out[i][1] == r for i, (v, r) in want.items())
+
+
+def test_only_what_may_be_shown_is_searched_and_the_rest_is_rescored(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0], False, ["DE"]), (2, [1.0, 0.1], False, ["US"]), (3, [1.0, 0.2], True, []), (4, [0.0, 1.0], None, None), (5, [1.0, 1.0], False, ["ALL", "US"]), (6, None, False, [])], "item_id long, vector array<double>, explicit boolean, regions array<string>")
+    fit = retrieval.eligible(items, ["DE", "US"])
+    assert sorted((r.item_id, r.region) for r in fit.collect()) == [(1, "DE"), (2, "US"), (4, "DE"), (4, "US"), (5, "DE"), (5, "US"), (6, "DE"), (6, "US")]
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "DE"), (2, [1.0, 0.0], "US"), (3, [1.0, 0.0], "KR")], "query_id long, vector array<double>, region string")
+    got = retrieval.knn(asked, fit, 2, ("region",), itself=True).collect()
+    assert sorted((r.query_id, r.rank, r.item_id) for r in got) == [(1, 1, 1), (1, 2, 5), (2, 1, 2), (2, 2, 5)]
+    merged = spark.createDataFrame([(1, 1, 0.5, 0.4), (1, 2, None, None), (1, 4, None, 0.3), (1, 6, None, None), (1, 9, None, None)], "request_id long, item_id long, semantic double, fresh double")
+    out = retrieval.rescored(merged, asked.withColumnRenamed("query_id", "request_id"), items).collect()
+    assert {r.item_id: r.cosine for r in out} == {1: 0.5, 2: pytest.approx(0.995, abs=1e-3), 4: 0.3, 6: None, 9: None}
+
+
+def test_tiles_of_a_frequent_value(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "ITEMS", 10)
+    monkeypatch.setattr(retrieval, "KEYS", 0)
+    rows = [(i, [float(i % 13), float(i % 7) - 3, 1.0], "hot" if i % 5 else "cold") for i in range(90)]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>, kind string")
+    many = {(r.query_id, r.rank): (r.item_id, r.score) for r in retrieval.knn(items.withColumnRenamed("item_id", "query_id"), items, 4, ("kind",)).collect()}
+    monkeypatch.undo()
+    one = {(r.query_id, r.rank): (r.item_id, r.score) for r in retrieval.knn(items.withColumnRenamed("item_id", "query_id"), items, 4, ("kind",)).collect()}
+    assert many == one and len(one) == 90 * 4
+
+
 def test_nearest_items(spark):
     import numpy as np
 
@@ -166,7 +201,7 @@ def test_nearest_items(spark):
     unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 1e-9)
     score = np.floor(unit @ unit.T * 1e4 + 0.5) / 1e4
     for k in (3, 200):
-        got = retrieval.knn(items.withColumnRenamed("item_id", "query_id"), items, k, same="domain").collect()
+        got = retrieval.knn(items.withColumnRenamed("item_id", "query_id"), items, k, ("domain",)).collect()
         want = [(q, r + 1, i, s) for q in range(120) for r, (s, i) in enumerate(sorted(((-score[q, i], i) for i in range(120) if i != q and i % 2 == q % 2))[:k])]
         assert sorted((r.query_id, r.rank, r.item_id, -r.score) for r in got) == want
 
@@ -188,12 +223,12 @@ def test_rejected_creators_and_hard_filter(spark):
 def test_reasons(spark):
     names = ("semantic", "cf", "next", "affinity", "trending")
     rows = [
-        (0.9, 0.0, 0.0, 0.0, 0.0, True, None, None, None, "SIMILAR_TO_TASTE"), (0.9, 0.0, 0.0, 0.0, 0.0, False, 0.9, None, None, "NEW_FOR_YOU"), (0.0, 1.0, 0.0, 0.0, 1.0, False, None, "TRENDING", None, "LISTENED_TOGETHER"),
+        (0.9, 0.0, 0.0, 0.0, 0.0, True, None, None, None, "SIMILAR_TO_RECENT"), (0.9, 0.0, 0.0, 0.0, 0.0, True, 0.9, None, None, "NEW_FOR_YOU"), (0.0, 1.0, 0.0, 0.0, 1.0, False, None, "TRENDING", None, "LISTENED_TOGETHER"),
         (0.0, 0.0, 1.0, 0.0, 0.1, False, None, "TRENDING", None, "OFTEN_PLAYED_NEXT"), (0.0, 0.0, 0.0, 0.0, 1.0, False, None, "POPULAR_IN_REGION", None, "POPULAR_IN_REGION"), (0.0, 0.0, 0.0, 0.0, 1.0, False, None, None, 1.0, "POPULAR_FALLBACK"),
         (0.0, 0.0, 0.0, 0.0, 0.0, False, None, None, None, "as it came"),
     ]
     kind = ", ".join(f"f_{n} double" for n in names) + ", near boolean, fresh double, trending_reason string, popular double, want string"
-    out = spark.createDataFrame(rows, kind).withColumn("reason", F.lit("as it came")).withColumn("got", ranking.reason()).collect()
+    out = spark.createDataFrame(rows, kind).withColumn("reason", F.lit("as it came")).withColumn("semantic_reason", F.lit("SIMILAR_TO_RECENT")).withColumn("only_new", F.col("fresh").isNotNull()).withColumn("got", ranking.reason()).collect()
     assert [r.got for r in out] == [r.want for r in out]
 
 
