@@ -23,3 +23,8 @@ def decay(weight: Column, age_ms: Column, half_life_ms: int) -> Column:
 
 def is_id(x: Column) -> Column:
     return x.rlike(r"^[A-Za-z0-9_.:-]{1,64}$")
+
+
+def is_blank(x: Column) -> Column:
+    """Nothing but white space of any kind, no-break spaces aside."""
+    return x.rlike(r"\A\p{javaWhitespace}*\z")

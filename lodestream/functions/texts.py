@@ -57,5 +57,8 @@ def clean_explanation(text: Column, most: int = 160) -> Column:
 
 def java_hash(text: Column) -> Column:
     """The 31-fold string hash in 32 bits with sign, as used for sampling by id."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    # beyond U+FFFF a character counts as two units of UTF-16
+    high, low = lambda c: F.lit(0xD800) + F.shiftright(c - 0x10000, 10), lambda c: F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF))
+    codes = F.flatten(F.transform(points, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(F.array(high(c).cast("long"), low(c).cast("long")))))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import texts
-from ..functions.scalars import is_id
+from ..functions.scalars import is_blank, is_id
 from ..functions.vectors import normalised
 from .events import first_error
 
@@ -21,7 +21,7 @@ EMBEDDED = 1500
 
 
 def _blank(x: Column) -> Column:
-    return x.isNull() | (F.trim(x) == "")
+    return x.isNull() | is_blank(x)
 
 
 def validate_items(items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import signals
-from ..functions.scalars import is_id
+from ..functions.scalars import is_blank, is_id
 
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
@@ -32,7 +32,7 @@ def validate(events: DataFrame) -> DataFrame:
         ("INVALID_DOMAIN", F.col("domain").isNull() | ~F.lower("domain").isin(*config.DOMAINS)),
         ("INVALID_EVENT_TYPE", F.col("event_type").isNull() | ~F.upper("event_type").isin(*config.EVENT_TYPES)),
         ("INVALID_ITEM_ID", (F.upper("event_type") != "SEARCH") & (F.col("item_id").isNull() | ~is_id(F.col("item_id")))),
-        ("MISSING_SESSION_ID", F.col("session_id").isNull() | (F.trim("session_id") == "") | (F.length("session_id") > 128)),
+        ("MISSING_SESSION_ID", F.col("session_id").isNull() | is_blank(F.col("session_id")) | (F.length("session_id") > 128)),
         ("MISSING_EVENT_TS", F.col("ts").isNull()),
         ("INVALID_VALUE", bad_number),
         ("INVALID_RATING", (F.upper("event_type") == "RATE") & (F.col("value").isNull() | ~F.col("value").between(1, 5))),
@@ -53,16 +53,17 @@ def dedupe(events: DataFrame, window_ms: int = config.DEDUPE_WINDOW, late: str |
 
     Arrivals go by time of receipt. Rows that the column `late` marks pass as they are and are not remembered. Of
     arrivals with one event time only the first can pass, which is settled before the others meet: what a task holds of
-    an id is its distinct times. An id that is null is an id like others.
+    an id is its distinct times. Rows whose id is null pass as they are: nothing tells that they are one event.
     """
     rest = [c for c in events.columns if c not in ("event_id", "ts", "received_ts")]
-    due = events if late is None else events.where(~F.coalesce(F.col(late), F.lit(False)))
+    free = F.col("event_id").isNull() if late is None else F.col("event_id").isNull() | F.coalesce(F.col(late), F.lit(False))
+    due = events.where(~free)
     first = due.groupBy("event_id", "ts").agg(F.min(F.struct("received_ts", *rest)).alias("x"))
     arrivals = first.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("x.received_ts").alias("received_ts"), "ts", "x"))).alias("all"))
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda done, a: F.when(F.exists(done, lambda d: F.abs(d["ts"] - a["ts"]) <= window_ms), done).otherwise(F.concat(done, F.array(a))))
     passed = arrivals.select("event_id", F.explode(kept).alias("a")).select("event_id", F.col("a.ts").alias("ts"), "a.x.*").select(events.columns)
-    return passed if late is None else passed.unionByName(events.where(F.coalesce(F.col(late), F.lit(False))))
+    return passed.unionByName(events.where(free))
 
 
 def mark_late(events: DataFrame, lateness_ms: int = config.MAX_LATENESS) -> DataFrame:

@@ -23,7 +23,7 @@ def _items(spark, d):
     p = views.table(spark, d, "part")
     return p.select(
         F.when(k % 50 == 1, "a b").otherwise(k.cast("string")).alias("item_id"), F.when(k % 50 == 2, "radio").otherwise(F.element_at(F.array(*map(F.lit, config.DOMAINS)), (k % 4 + 1).cast("int"))).alias("domain"),
-        F.when(k % 50 == 3, " ").when(k % 50 == 4, F.repeat(F.lit("t"), 501)).otherwise(F.col("p_name")).alias("title"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("creator_id"),
+        F.when(k % 50 == 3, "\t \x1f\u3000").when(k % 50 == 4, F.repeat(F.lit("t"), 501)).otherwise(F.col("p_name")).alias("title"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("creator_id"),
         F.when(k % 50 != 5, F.col("p_brand")).alias("creator_name"), F.when(k % 50 == 6, listed(21, "g")).when(k % 3 == 0, F.array("p_type")).alias("genres"),
         F.when(k % 7 == 0, F.array(F.lit("calm"), F.lit("warm"))).alias("moods"), F.when(k % 6 == 0, F.array(F.lit("sea"))).alias("themes"), F.when(k % 2 == 0, F.array("p_type", F.lit("news"))).alias("topics"),
         F.when(k % 50 == 8, F.repeat(F.lit("d"), 10_001)).when(k % 5 == 0, F.concat(F.lit(" "), F.col("p_name"), F.lit(" at large "))).alias("description"),
@@ -40,7 +40,7 @@ def enrichment_errors(spark, d):
     k = F.col("p_partkey")
     rows = views.table(spark, d, "part").select(
         F.when(k % 10 == 0, 0).when(k % 10 == 1, F.lit(None)).otherwise(2).alias("version"), F.when(k % 10 == 2, F.array_repeat(F.lit("m"), 6)).alias("moods"),
-        F.when(k % 10 == 3, F.array(F.lit("ok"), F.lit(" "))).when(k % 10 == 4, F.array(F.lit(None).cast("string"))).alias("themes"), F.when(k % 10 == 5, F.array(F.repeat(F.lit("x"), 41))).alias("topics"),
+        F.when(k % 10 == 3, F.array(F.lit("ok"), F.lit("\t"))).when(k % 10 == 4, F.array(F.lit(None).cast("string"))).alias("themes"), F.when(k % 10 == 5, F.array(F.repeat(F.lit("x"), 41))).alias("topics"),
         F.when(k % 10 == 6, F.repeat(F.lit("x"), 31)).alias("tone"), F.lit(None).cast("string").alias("reading_level"),
     )
     return catalog.validate_enrichment(rows).groupBy("error").agg(F.count("*").alias("n"))
