@@ -44,42 +44,44 @@ class UserProfile(StatefulProcessor):
         self.seq = handle.getValueState("seq", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        """The state is read once and what changed is written once: each call of it is a message to the executor."""
         recent, most, half_life, _ = self.limits
         some = pd.concat(list(rows)).sort_values(["ts", "gone", "event_id"], kind="stable")
-        out, touched = [], set()
+        out, touched, changed = [], set(), set()
         seq = self.seq.get()[0] if self.seq.exists() else 0
+        by: dict[str, list] = {}
+        for e in self.latest.get():
+            by.setdefault(e[0], []).append(tuple(e))
+        likes = {tuple(k): tuple(v) for k, v in self.liking.iterator()}
+        newest = {k[0]: v[0] for k, v in self.newest.iterator()}
         for r in some.itertuples():
             if r.gone:
-                self.latest.clear()
-                self.liking.clear()
-                self.newest.clear()
-                seq, touched = seq + 1, set()
+                for state in (self.latest, self.liking, self.newest):
+                    state.clear()
+                by, likes, newest, touched, changed = {}, {}, {}, set(), set()
+                seq += 1
                 out = [(key[0], None, "tombstone", 0, None, None, int(r.ts), seq)]
                 continue
             at = int(r.ts)
-            self.latest.appendValue((r.domain, at, int(r.event_id), str(r.item_id), float(r.weight)))
-            before = self.newest.getValue((r.domain,))
-            self.newest.updateValue((r.domain,), (max(at, before[0]) if before else at,))
+            by.setdefault(r.domain, []).append((r.domain, at, int(r.event_id), str(r.item_id), float(r.weight)))
+            newest[r.domain] = max(at, newest.get(r.domain, at))
             touched.add(r.domain)
-            if r.creator_id is not None and r.creator_id == r.creator_id and r.weight:
-                held = self.liking.getValue((r.domain, r.creator_id)) or (0.0, at)
-                now = max(at, held[1])
-                value = _aged(held[0], held[1], now, half_life) + _aged(float(r.weight), at, now, half_life)
-                self.liking.updateValue((r.domain, r.creator_id), (value, now))
+            if isinstance(r.creator_id, str) and r.weight:
+                value, then = likes.get((r.domain, r.creator_id), (0.0, at))
+                now = max(at, then)
+                likes[r.domain, r.creator_id] = (_aged(value, then, now, half_life) + _aged(float(r.weight), at, now, half_life), now)
+                changed.add((r.domain, r.creator_id))
         if touched:
             seq += 1
-            by: dict[str, list] = {}
-            for e in self.latest.get():
-                by.setdefault(e[0], []).append(tuple(e))
             by = {d: sorted(es, key=lambda e: (e[1], e[2]), reverse=True)[:recent] for d, es in by.items()}
             self.latest.put([e for es in by.values() for e in reversed(es)])
-            likes: dict[str, list] = {}
-            for (domain, creator), (value, at) in self.liking.iterator():
-                if domain in touched:
-                    likes.setdefault(domain, []).append((_aged(value, at, self.newest.getValue((domain,))[0], half_life), creator))
+            for k in sorted(changed):
+                self.liking.updateValue(k, likes[k])
             for domain in sorted(touched):
+                self.newest.updateValue((domain,), (newest[domain],))
                 out += [(key[0], domain, "recent", i + 1, e[3], e[4], e[1], seq) for i, e in enumerate(by[domain])]
-                best = sorted(likes.get(domain, []), key=lambda x: (-abs(x[0]), x[1]))[:most]
+                held = [(_aged(value, at, newest[domain], half_life), creator) for (d, creator), (value, at) in likes.items() if d == domain]
+                best = sorted(held, key=lambda x: (-abs(x[0]), x[1]))[:most]
                 out += [(key[0], domain, "creator", i + 1, creator, value, None, seq) for i, (value, creator) in enumerate(best)]
         self.seq.update((seq,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PROFILE.split(", ")]).astype({"ts": "Int64"})
@@ -92,7 +94,8 @@ def user_profiles(tagged: DataFrame, **limits) -> DataFrame:
     """The profiles of users whose rows came in: user_id, domain, kind, place, name, value, ts, seq; see UserProfile.
 
     tagged: user_id, domain, ts, event_id, item_id, creator_id, weight, gone, of `with_deletions`. A reader takes the
-    rows of the largest seq of a user and domain; a tombstone says that all before it are gone. Needs RocksDB as the state's store.
+    rows of the largest seq of a user and domain; a tombstone says that all before it are gone. Needs RocksDB as the state's store. Spark runs batches without data for ever where a state
+    goes by the clock; a run that is to end (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled false.
     """
     rows = tagged.where("user_id is not null").select(F.col("user_id").cast("string"), "domain", "ts", "event_id", F.col("item_id").cast("string"), F.col("creator_id").cast("string"), "weight", "gone")
     return rows.groupBy("user_id").transformWithStateInPandas(UserProfile(**limits), PROFILE, "append", "ProcessingTime")
@@ -113,13 +116,12 @@ class ThrottledCounts(StatefulProcessor):
         self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        first = None
-        for some in rows:
-            for r in some.itertuples():
-                first = int(r.ms) if first is None else min(first, int(r.ms))
-                at, held = int(r.ms), self.counts.getValue((r.kind,)) or (0.0, int(r.ms))
-                now = max(at, held[1])
-                self.counts.updateValue((r.kind,), (_aged(held[0], held[1], now, self.half_life) + _aged(1.0, at, now, self.half_life), now))
+        some = pd.concat(list(rows))
+        first = int(some["ms"].min())
+        for kind, times in some.groupby("kind")["ms"]:
+            value, then = self.counts.getValue((kind,)) or (0.0, int(times.max()))
+            now = max(then, int(times.max()))
+            self.counts.updateValue((kind,), (_aged(value, then, now, self.half_life) + float((2.0 ** ((times - now) / self.half_life)).sum()), now))
         if not self.due.exists():  # the first change since the last emission sets the time of the next
             now = max(timers.getCurrentWatermarkInMs(), first) if self.of_events else timers.getCurrentProcessingTimeInMs()
             at = (now // self.interval + 1) * self.interval
