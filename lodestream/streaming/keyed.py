@@ -43,7 +43,7 @@ class UserProfile(StatefulProcessor):
         self.newest = handle.getMapState("newest", "domain string", "ts long")
         self.seq = handle.getValueState("seq", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """The state is read once and what changed is written once: each call of it is a message to the executor."""
         recent, most, half_life, _ = self.limits
         some = pd.concat(list(rows)).sort_values(["ts", "gone", "event_id"], kind="stable")
@@ -115,7 +115,7 @@ class ThrottledCounts(StatefulProcessor):
         self.counts = handle.getMapState("counts", "kind string", "value double, at long")
         self.due = handle.getValueState("due", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         some = pd.concat(list(rows))
         first = int(some["ms"].min())
         for kind, times in some.groupby("kind")["ms"]:
@@ -123,7 +123,7 @@ class ThrottledCounts(StatefulProcessor):
             now = max(then, int(times.max()))
             self.counts.updateValue((kind,), (_aged(value, then, now, self.half_life) + float((2.0 ** ((times - now) / self.half_life)).sum()), now))
         if not self.due.exists():  # the first change since the last emission sets the time of the next
-            now = max(timers.getCurrentWatermarkInMs(), first) if self.of_events else timers.getCurrentProcessingTimeInMs()
+            now = max(timerValues.getCurrentWatermarkInMs(), first) if self.of_events else timerValues.getCurrentProcessingTimeInMs()
             at = (now // self.interval + 1) * self.interval
             self.handle.registerTimer(at)
             self.due.update((at,))
@@ -131,9 +131,9 @@ class ThrottledCounts(StatefulProcessor):
 
     of_events = False
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        rows = [(key[0], kind[0], value, at, expired.getExpiryTimeInMs()) for kind, (value, at) in self.counts.iterator()]
+        rows = [(key[0], kind[0], value, at, expiredTimerInfo.getExpiryTimeInMs()) for kind, (value, at) in self.counts.iterator()]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")])
 
     def close(self) -> None:
