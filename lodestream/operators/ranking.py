@@ -295,6 +295,19 @@ class Trees:
         return self.value[at].sum(axis=1)
 
 
+def dump_trees(trees: Trees, features: list[str]) -> dict:
+    """An ensemble as the JSON that `read_trees` reads."""
+    kinds = {number: word for word, number in MISSING.items()}
+
+    def node(at: int) -> dict:
+        if trees.feature[at] < 0:
+            return {"leaf_value": float(trees.value[at])}
+        test = {"split_feature": int(trees.feature[at]), "threshold": float(trees.threshold[at]), "decision_type": "<=", "default_left": bool(trees.default[at]), "missing_type": kinds[int(trees.missing[at])]}
+        return test | {"left_child": node(trees.left[at]), "right_child": node(trees.right[at])}
+
+    return {"feature_names": features, "tree_info": [{"tree_structure": node(at)} for at in trees.start]}
+
+
 def tree_scores(rows: DataFrame, trees: Trees, features: list[str], name: str = "score") -> DataFrame:
     """Adds the ensemble's score; Arrow batches, all rows of a batch descend together."""
 
@@ -306,6 +319,29 @@ def tree_scores(rows: DataFrame, trees: Trees, features: list[str], name: str =
     return rows.withColumn(name, scored(*[F.col(f) for f in features]))
 
 
+def scores_by_model(rows: DataFrame, models: dict[str, Trees], model: Column, features: list[str], otherwise: Column, name: str = "score") -> DataFrame:
+    """Adds the score of the model that each row names, or `otherwise` where it names none of `models`.
+
+    All models go to the tasks together, so they are as many as there are domains and pointers, not requests; each takes its
+    rows of a batch at once.
+    """
+    if not models:
+        return rows.withColumn(name, otherwise)
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for named, *columns in batches:
+            x = np.column_stack([c.to_numpy(np.float64) for c in columns])
+            out = np.full(len(x), np.nan)
+            for word in set(named.dropna()) & set(models):
+                at = (named == word).to_numpy()
+                out[at] = models[word].score(x[at])
+            yield pd.Series(out)
+
+    value = F.when(model.isin(*models), scored(model, *[F.col(f) for f in features])).otherwise(otherwise)
+    return rows.withColumn(name, value)
+
+
 def fit_ranker(rows: DataFrame, features: list[str], seed: int = 7, rounds: int = 20, depth: int = 4):
     """A pointwise ranker on graded labels: boosted regression trees of MLlib. Gives the fitted pipeline."""
     from pyspark.ml import Pipeline
