@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import activity, catalog_queries, offline, ordered_queries, serving, tables
+from .plans import activity, catalog_queries, lifecycle, offline, ordered_queries, serving, tables
 
 #: The query that `entry` runs.
 FLAGSHIP = "item_stats"
-_ALL = activity.QUERIES | catalog_queries.QUERIES | offline.QUERIES | ordered_queries.QUERIES | serving.QUERIES | tables.QUERIES
+_ALL = activity.QUERIES | catalog_queries.QUERIES | lifecycle.QUERIES | offline.QUERIES | ordered_queries.QUERIES | serving.QUERIES | tables.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

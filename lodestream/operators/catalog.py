@@ -18,6 +18,8 @@ TITLE, DESCRIPTION, TRANSCRIPT, TAGS = 500, 10_000, 4_000, 20
 MOODS, THEMES, TOPICS, TAG, LABEL = 5, 8, 8, 40, 30
 PICKS, GENRES, FREE_TEXT = 50, 20, 500
 EMBEDDED = 1500
+#: Reasons that are shown without an explanation.
+UNEXPLAINED = ("POPULAR_FALLBACK",)
 
 
 def _blank(x: Column) -> Column:
@@ -141,6 +143,18 @@ def attach_explanations(shown: DataFrame, cached: DataFrame) -> DataFrame:
     return shown.withColumn("_asked", key).join(found, F.col("_asked") == F.col("_key"), "left").drop("_asked", "_key")
 
 
+def explanation_plan(shown: DataFrame, existing: DataFrame, known: DataFrame, percent: int, top: int) -> DataFrame:
+    """key, domain, reason, seed, item_id: the explanations that sampled lists want and that don't exist, each once.
+
+    shown: recommendation_id, position, domain, reason, seed, item_id; the first `top` of a list count. existing: key; known:
+    item_id, as an item without a description can't be explained. What needs none (UNEXPLAINED, or no reason) isn't asked for.
+    """
+    first = shown.where(sampled(F.col("recommendation_id").cast("string"), percent) & (F.col("position") < top) & F.col("reason").isNotNull() & ~F.col("reason").isin(*UNEXPLAINED))
+    key = texts.explanation_key(F.col("domain"), F.col("reason"), F.col("seed"), F.col("item_id"))
+    wanted = first.select(key.alias("key"), "domain", "reason", "seed", "item_id").distinct()
+    return wanted.join(existing.select("key").distinct(), "key", "left_anti").join(known.select("item_id").distinct(), "item_id", "left_semi")
+
+
 def sampled(id_: Column, percent: int) -> Column:
     """Whether a list is among the sampled ones, by its id's hash."""
     return F.pmod(texts.java_hash(id_), F.lit(100)) < percent

@@ -93,3 +93,53 @@ def sample_ratio(counts: DataFrame, shares: dict[str, float], by: list[str]) ->
     k = max(len(shares) - 1, 1)
     found = counts.join(total, by).groupBy(*by).agg(F.sum(F.pow(F.col("n") - expected, F.lit(2.0)) / expected).alias("chi2"))
     return found.withColumn("z", (F.pow(F.col("chi2") / k, F.lit(1.0 / 3)) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+
+
+#: The rates that a report tests, as (name, outcome counted, outcome it is a share of).
+RATES = (("ctr", "PLAYED", "IMPRESSED"), ("completion", "COMPLETED", "PLAYED"), ("early_skip", "SKIPPED_EARLY", "PLAYED"))
+
+
+def report(served: DataFrame, attributed: DataFrame, control: str, shares: dict[str, dict[str, float]], since: int | None = None) -> DataFrame:
+    """A row for each domain and variant: users, lists, impressions, rates, each rate against the control, and the split.
+
+    served: recommendation_id, user_id, domain, variant_id, served_ts; attributed: these, item_id and outcome. `since` leaves
+    out earlier lists. Rates are null where nothing can be shared; `<rate>_diff`, `_low`, `_high` (95 %), `_p` are null for the
+    control, and where a side has fewer than two users. srm_chi2 and srm_p compare the domain's users with `shares` (domain, variant,
+    any positive numbers); null if the domain has no shares, or shows a variant without one. Rows without a domain or variant
+    are left out; those without a user count as shown but stand in no test.
+    """
+    keys = ["domain", "variant_id"]
+    some = [df.where("domain is not null and variant_id is not null") for df in (served, attributed)]
+    shown, engaged = some if since is None else [df.where(F.col("served_ts") >= since) for df in some]
+    lists = shown.groupBy(*keys).agg(F.countDistinct("user_id").alias("users"), F.countDistinct("recommendation_id").alias("lists"))
+    per_user = variant_pivot(engaged, [*keys, "user_id"])
+    counts = per_user.groupBy(*keys).agg(*(F.sum(o).alias(o) for o in config.OUTCOMES[:6]))
+    stats = lists.join(counts, keys, "full").fillna(0)
+    rate = lambda x, n: F.when(F.col(n) > 0, x / F.col(n))
+    rates = [rate(F.col(num), den).alias(name) for name, num, den in RATES] + [rate(F.col("LIKED") + F.col("SAVED"), "IMPRESSED").alias("like")]
+    out = stats.select(*keys, "users", "lists", F.col("IMPRESSED").alias("impressions"), *rates)
+    for name, num, den in RATES:
+        sides = clustered_ratio(per_user.where("user_id is not null"), num, den, ["domain"])
+        base = sides.where(F.col("variant_id") == control).select("domain", F.col("ratio").alias("_r"), F.col("variance").alias("_v"))
+        other = sides.where(F.col("variant_id") != control).join(base, "domain")
+        diff, error = F.col("ratio") - F.col("_r"), F.sqrt(F.greatest(F.col("variance") + F.col("_v"), F.lit(1e-18)))
+        tested = other.select(*keys, diff.alias(f"{name}_diff"), (diff - 1.96 * error).alias(f"{name}_low"), (diff + 1.96 * error).alias(f"{name}_high"), p_value(diff / error).alias(f"{name}_p"))
+        out = out.join(tested, keys, "left")
+    return out.join(_split(stats.select(*keys, "users"), shares), "domain", "left")
+
+
+def _split(stats: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+    """domain, srm_chi2, srm_p; a variant that nobody has counts with none."""
+    spark = stats.sparkSession
+    rows = [(d, v, s / sum(by.values()), len(by)) for d, by in shares.items() for v, s in by.items()]
+    expected = F.broadcast(spark.createDataFrame(rows, "domain string, variant_id string, share double, variants int"))  # a row a configured variant
+    total = stats.groupBy("domain").agg(F.sum("users").alias("total"))
+    j = stats.join(expected.select("domain", "variant_id", "share"), ["domain", "variant_id"], "left")
+    unknown = j.groupBy("domain").agg(F.max(F.col("share").isNull()).alias("unknown"))
+    full = total.join(expected, "domain").join(stats, ["domain", "variant_id"], "left")
+    wanted = F.col("total") * F.col("share")
+    part = F.when(wanted > 0, F.pow(F.coalesce("users", F.lit(0)) - wanted, F.lit(2.0)) / wanted)
+    chi2 = full.groupBy("domain").agg(F.sum(part).alias("srm_chi2"), F.greatest(F.max("variants") - 1, F.lit(1)).alias("_k"))
+    fit = chi2.join(unknown.where("not unknown"), "domain")
+    z = (F.pow(F.col("srm_chi2") / F.col("_k"), F.lit(1.0 / 3)) - (1 - 2 / (9 * F.col("_k")))) / F.sqrt(2 / (9 * F.col("_k")))
+    return fit.select("domain", "srm_chi2", (0.5 * erfc(z / math.sqrt(2))).alias("srm_p"))
