@@ -91,7 +91,8 @@ def compression(docs: DataFrame, path: str, length: int, width: int) -> zstandar
                 ids = encoder.ids(text)[: BEGINNING * length].astype(f"<u{width}")
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
 
-    rows = docs.select(F.col("text").cast("string")).limit(SAMPLE).mapInArrow(begin, "ids binary").collect()
+    # the limit comes after the tasks' work: it takes rows of the first partitions, where one before it would shuffle texts of all
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(begin, "ids binary").limit(SAMPLE).collect()
     ids, step = b"".join(bytes(r[0]) for r in rows), length * width
     samples = [ids[i : i + step] for i in range(0, len(ids) - step + 1, step)]
     return zstandard.train_dictionary(DICTIONARY, samples) if len(samples) * step > 8 * DICTIONARY else None
