@@ -57,7 +57,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, window: int, payload
                 ids = np.append(encoder.ids(text), np.uint32(0))
                 n = len(ids)
                 docs, words = docs + 1, words + n
-                df[np.unique(ids)] += 1
+                df[ids] += 1  # once for an id, however often it is there
                 cut = n - n % window
                 full.extend((doc, at, ids[at : at + window], n, next(number), 0) for at in range(0, cut, window))
                 if cut < n:
