@@ -120,8 +120,11 @@ def _marked(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch
     for batch in batches:
         marks = []
         for blob in batch.column(2).to_pylist():
-            least = np.unique(place.value[np.frombuffer(blob, "<u4")])[:3].tolist()
-            a, b, c = (least + least[-1:] * 2)[:3]
+            places = place.value[np.frombuffer(blob, "<u4")]
+            a = int(places.min())
+            b = int(places.min(where=places > a, initial=size))
+            c = int(places.min(where=places > b, initial=size))
+            b, c = (a, a) if b == size else (b, b if c == size else c)
             marks.append((a * size + b) * size + c)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["doc_id", "start", "ids", "doc_tokens", "mark"])
 
