@@ -3,7 +3,8 @@
 The distances of every vector to many pivots are computed once. For a query q and a vector x, the triangle
 inequality gives |d(q,p) - d(x,p)| <= d(q,x) for each pivot p; the largest of these lower bounds is an upper
 bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2, in which x counts with its own length. Pivots are looked at
-in groups, and a candidate that one group rules out is not looked at again. What is left is evaluated in the order of
+in groups, those that tell most about the query first; a candidate that one group rules out is not looked at again,
+and where a group rules out next to nothing, no more are looked at. What is left is evaluated in the order of
 its bound until that falls below the k-th score found. Scores are those of whole numbers, so the result is exact.
 """
 
@@ -21,6 +22,8 @@ from .common import Scratch
 #: Rows from which pivots are chosen and first thresholds taken.
 SAMPLE = 2048
 PIVOTS, GROUP = 256, 32
+#: Share of the candidates left that a group of pivots has to rule out for the next one to be looked at.
+PAYS = 1 / 16
 #: Queries of one pass over the table (broadcast: QUERIES * (dimension + PIVOTS) * 8 bytes).
 QUERIES = 4096
 #: Above this, a double no longer holds every whole number.
@@ -55,7 +58,7 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers, as int64."""
-    if not len(x) or np.abs(x).max() * np.abs(q).max() * x.shape[1] < EXACT:
+    if not len(x) or max(x.max(), -x.min()) * np.abs(q).max() * x.shape[1] < EXACT:
         return (x @ q).astype(np.int64)
     whole = [sum(int(a) * int(b) for a, b in zip(row, q)) for row in x]
     return np.array(whole, np.int64)  # an overflow raises
@@ -68,6 +71,11 @@ class Best:
         self.k, self.ids, self.score, self.least = k, np.empty(0, np.int64), np.empty(0, np.int64), least
 
     def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        if self.least is not None:
+            may = score >= self.least
+            ids, score = ids[may], score[may]
+            if not len(ids):
+                return
         ids, score = np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
         order = np.lexsort((ids, -score))[: self.k]
         self.ids, self.score = ids[order], score[order]
@@ -75,19 +83,39 @@ class Best:
             self.least = max(self.least if self.least is not None else int(self.score[-1]), int(self.score[-1]))
 
 
-def bounds(q: np.ndarray, far: np.ndarray, x: np.ndarray, dx: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of `x` whose upper bound of the inner product with q reaches `least`, and these bounds."""
-    square = (x * x).sum(axis=1) + (q * q).sum()
-    room = 1e-9 * square + 1  # for rounding
-    left = np.arange(len(x))
-    low = np.zeros(len(x))
-    for p in range(0, dx.shape[1], GROUP):
-        low = np.maximum(low, np.abs(dx[left, p : p + GROUP] - far[p : p + GROUP]).max(axis=1))
-        may = (square[left] - low * low) / 2 + room[left] >= least
-        left, low = left[may], low[may]
-        if not len(left):
-            break
-    return left, (square[left] - low * low) / 2 + room[left]
+class Table:
+    """A batch of vectors with their pivot table, laid out so that a pivot's distances stand together."""
+
+    def __init__(self, x: np.ndarray, dx: np.ndarray):
+        self.x, self.far = x, np.ascontiguousarray(dx.T)
+        self.square = np.einsum("ij,ij->i", x, x)
+        self.usual = self.far.mean(axis=1) if len(x) else np.zeros(len(self.far))
+
+    def bounds(self, q: np.ndarray, far: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose upper bound of the inner product with q reaches `least`, and these bounds.
+
+        Pivots whose distance to q is far from what is usual come first, as they give the largest lower bounds. Once a
+        group of them rules out less than PAYS of what is left, the rest are scored: that costs less than looking on.
+        """
+        square = self.square + q @ q
+        room = 1e-9 * square + 1  # for rounding
+        order = np.argsort(-np.abs(far - self.usual), kind="stable")
+        left, low = None, np.zeros(len(self.x))
+        for p in range(0, len(order), GROUP):
+            some = order[p : p + GROUP]
+            gap = self.far[some] if left is None else self.far[np.ix_(some, left)]
+            gap -= far[some, None]
+            np.abs(gap, out=gap)
+            low = np.maximum(low, gap.max(axis=0))
+            may = (square - low * low) / 2 + room >= least
+            before = len(low)
+            left = np.flatnonzero(may) if left is None else left[may]
+            low, square, room = low[may], square[may], room[may]
+            if before - len(left) < PAYS * before or not len(left):
+                break
+        if left is None:  # no pivots
+            left = np.arange(len(self.x))
+        return left, (square - low * low) / 2 + room
 
 
 def search(batches: Iterator[pa.RecordBatch], asked, k: int, dimension: int, scale: float) -> Iterator[pa.RecordBatch]:
@@ -101,10 +129,10 @@ def search(batches: Iterator[pa.RecordBatch], asked, k: int, dimension: int, sca
     for batch in batches:
         own = batch.column(0).to_numpy()
         x = matrix(batch.column(1), dimension, scale)
-        dx = batch.column(2).flatten().to_numpy().reshape(len(own), -1)
+        table = Table(x, batch.column(2).flatten().to_numpy().reshape(len(own), -1))
         pairs += len(own) * len(ids)
         for b, one, away, i in zip(best, q, far, ids):
-            may, bound = bounds(one, away, x, dx, -np.inf if b.least is None else b.least)
+            may, bound = table.bounds(one, away, -np.inf if b.least is None else b.least)
             other = own[may] != i
             may, bound = may[other], bound[other]
             order = np.argsort(-bound, kind="stable")

@@ -60,3 +60,21 @@ def test_elimination_skips_candidates(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array((x / 1024).tolist()), pa.array(far.tolist())], ["vec_id", "embedding", "far"])
     list(topk.search(iter([batch]), Sent, 10, 4, 1024.0))
     assert sum(seen) < len(x) / 3
+
+
+def test_bounds_hold_wherever_looking_ends(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(400, 6)) * 1024)
+    pivots = topk.choose_pivots(x[:200], 70)
+    far = topk.distances(x, pivots)
+    table = topk.Table(x, far)
+    ruled_out = []
+    for pays in (0.0, 1 / 16, 1.0):
+        monkeypatch.setattr(topk, "PAYS", pays)
+        for i in range(0, 400, 40):
+            product = x @ x[i]
+            least = np.sort(product)[-10]
+            left, bound = table.bounds(x[i], far[i], least)
+            assert (bound >= product[left]).all() and set(np.flatnonzero(product >= least)) <= set(left.tolist())
+            ruled_out.append(len(x) - len(left))
+    assert sum(ruled_out[:10]) >= sum(ruled_out[10:20]) >= sum(ruled_out[20:]) > 0
