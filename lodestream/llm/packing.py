@@ -22,8 +22,12 @@ from .common import Scratch
 from .tokens import id_encoder
 
 #: Tails in a shard, each shorter than a window: that bounds a shard's index.
-SHARD = 512
+SHARD = 4096
 K1, B = 1.2, 0.75
+#: An id of one tail in so many has a whole row in a shard's index: at most OFTEN * window rows of 4 * SHARD bytes.
+OFTEN = 8
+#: Neighbours that are sorted at first.
+FIRST = 32
 #: Share of the documents from which on an id tells little.
 COMMON = 0.1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -130,29 +134,48 @@ def _marked(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch
 
 
 class Shard:
-    """The inverted index of some tails."""
+    """The inverted index of some tails.
+
+    The list of an id that one tail in OFTEN has, or more, is a row with a weight for every tail: such rows are added
+    up as they stand. The other lists hold only the tails that have the id.
+    """
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, weights, self.own = [], [], []
+        terms, weights = [], []
         for ids in tails:
             term, tf = np.unique(ids, return_counts=True)
-            self.own.append(term)
             terms.append(term)
             weights.append(idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        term = np.concatenate(terms)
+        self.own, self.n = terms, len(tails)
+        term, weight = np.concatenate(terms), np.concatenate(weights).astype(np.float32)
+        of = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        often = np.flatnonzero(np.bincount(term) * OFTEN >= self.n)
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        whole = self.row[term] >= 0
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        self.rows[self.row[term[whole]], of[whole]] = weight[whole]
+        term, weight, of = term[~whole], weight[~whole], of[~whole]
         order = np.argsort(term, kind="stable")
-        self.of = np.repeat(np.arange(len(tails)), [len(t) for t in terms])[order]
-        self.weight = np.concatenate(weights)[order]
+        self.of, self.weight = of[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(tails)
 
-    def ranked(self, query: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """The unused tails by score for the terms of `query`, best first."""
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """The BM25 score of every tail for the terms of `query`."""
+        row = self.row[query]
+        query = query[row < 0]
         start, size = self.at[query], self.at[query + 1] - self.at[query]
-        where = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        score = np.bincount(self.of[where], self.weight[where], self.n)
+        where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.rows[row[row >= 0]].sum(axis=0) + np.bincount(self.of[where], self.weight[where], self.n)
+
+    def ranked(self, query: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """The unused tails by score for the terms of `query`, best first, ties in their order."""
         left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        score = self.scores(query)[left]
+        low = np.partition(score, len(left) - FIRST)[-FIRST] if len(left) > FIRST else -np.inf
+        for some in (score >= low, score < low):  # few are needed as a rule: the others are sorted only if they are
+            some = np.flatnonzero(some)
+            yield from left[some[np.argsort(-score[some], kind="stable")]].tolist()
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int, idf, mean: float, payload: bool) -> Iterator[pa.RecordBatch]:
@@ -189,10 +212,9 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, idf, mean: float, payl
                 doc, start, ids, n = tails[first]
                 place(doc, start, ids, n)  # a tail is shorter than a window: it fits
                 continue
-            ranked = index.ranked(state["query"], unused)
-            if not len(ranked):
+            if not unused.any():
                 return
-            for i in ranked.tolist():
+            for i in index.ranked(state["query"], unused):
                 unused[i] = False
                 doc, start, ids, n = tails[i]
                 start, rest = place(doc, start, ids, n)

@@ -85,6 +85,23 @@ def test_packing_keeps_every_id(spark, sf_dir):
     assert packing.pack(nothing(spark), PATH).count() == 0
 
 
+def test_a_shard_ranks_by_bm25():
+    rng = np.random.default_rng(5)
+    tails = [np.append(rng.zipf(1.3, rng.integers(1, 60)) % 300 + 1, 0).astype("<u4") for _ in range(120)] + [np.array([0], "<u4")] * 3
+    idf, mean = rng.random(301), 30.0
+    shard = packing.Shard(tails, idf, mean)
+    assert (shard.row >= 0).any() and len(shard.of)  # lists of both kinds
+    unused = rng.random(len(tails)) < 0.8
+    for query in shard.own:
+        score = []
+        for ids in tails:
+            tf = [np.count_nonzero(ids == t) for t in query]
+            score.append(sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean)) for t, n in zip(query, tf) if n))
+        got = list(shard.ranked(query, unused))
+        assert sorted(got) == np.flatnonzero(unused).tolist() and np.allclose(shard.scores(query), score, rtol=1e-4)
+        assert (np.diff(np.array(score)[got]) <= 1e-3).all()
+
+
 def test_neighbours_share_windows(spark):
     topics = [[f"{t}{i}" for i in range(60)] for t in ("alpha", "beta", "gamma", "delta")]
     rng = np.random.default_rng(3)
