@@ -49,7 +49,7 @@ def enrichment_errors(spark, d):
 def catalog_outcome(spark, d):
     from . import tables
 
-    return catalog.batch_outcome(tables.catalog_merge(spark, d))
+    return catalog.batch_outcome(tables.merged_with_new(spark, d))
 
 
 def embedding_texts(spark, d):

@@ -41,8 +41,18 @@ def _catalog(spark, d):
 
 
 def catalog_merge(spark, d):
+    return _merged(spark, d, 1_000_000)
+
+
+def merged_with_new(spark, d):
+    """The same merge where no new item has the key of one that is stored, however many there are."""
+    low, high = table(spark, d, "part").agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    return _merged(spark, d, 0 if low is None else high - low + 1)
+
+
+def _merged(spark, d, shift):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    new = p.where("p_partkey % 10 = 0").withColumn("p_partkey", F.col("p_partkey") + 1_000_000)
+    new = p.where("p_partkey % 10 = 0").withColumn("p_partkey", F.col("p_partkey") + shift)
     changed = p.where("p_partkey % 2 = 0").withColumn("p_size", F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).otherwise(F.col("p_size")))
     return state.merge_catalog(_catalog(spark, d), changed.unionByName(new), "p_partkey", ["p_brand", "p_size"])
 

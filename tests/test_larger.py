@@ -36,3 +36,10 @@ def test_values_of_zero_or_none(spark, sf_dir, changed):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     d = changed(events=e.selectExpr("event_id", "ts", "user_id", "event_type", "case when event_id % 100 = 7 then 0.0 when event_id % 150 != 57 then value end as value", "props"))
     agrees(spark, d, "event_validation_errors")
+
+
+def test_part_keys_beyond_a_million(spark, sf_dir, changed):
+    """Keys a million apart: a new item must not take the key of a stored one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    d = changed(part=part.unionByName(part.withColumn("p_partkey", part["p_partkey"] + 1_000_000)))
+    agrees(spark, d, "catalog_outcome", "catalog_merge")
