@@ -275,6 +275,43 @@ def test_diversity_against_a_plain_walk(spark):
     assert got == {q: spread(rows, 10, 2, 3, 0.8) for q, rows in lists.items()}
 
 
+def test_requests_that_go_over_batches(spark):
+    """A batch of Arrow rows may end anywhere in a request; many requests are walked at once."""
+    import random
+
+    draw = random.Random(5)
+    lists = {q: [(draw.randrange(40) / 40, i, draw.choice([None, "a", "b", "c", "d"]), draw.randrange(3)) for i in range(draw.randrange(1, 120))] for q in range(40)}
+    df = spark.createDataFrame([(q, i, c, g, s) for q, rows in lists.items() for s, i, c, g in rows], "request_id long, item_id long, creator_id string, genre long, score double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {}
+        for r in ranking.diversity_rerank(df, 10).orderBy("request_id", "place").collect():
+            got.setdefault(r.request_id, []).append(r.item_id)
+        assert got == {q: spread(rows, 10, 2, 3, 0.8) for q, rows in lists.items()}
+        rows = [(q, i, f"c{i}", 1.0, None if i < 10 else 0.5, 1.0, 99.0, i + 1) for q in range(30) for i in range(25)]
+        out = ranking.explore_rerank(placed(spark, rows), 10).collect()
+        assert len(out) == 300 and sum(r.explore for r in out) == 30 and {r.propensity for r in out if r.explore} == {1 / 15}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_many_requests_are_walked_at_once():
+    """Lists of one call stay apart from each other, and cost no Python loop each."""
+    import time
+
+    import numpy as np
+
+    rng, n, size = np.random.default_rng(3), 4000, 80
+    score = -np.sort(-rng.integers(0, 1000, (n, size)) / 1000.0, axis=1).ravel()
+    creator, genre = rng.integers(-1, 9, n * size), rng.integers(0, 4, n * size)
+    began = time.process_time()
+    place = ranking.diversify(score, creator, genre, np.arange(n) * size, 10, 2, 3, 0.8)
+    assert time.process_time() - began < 10
+    alone = [ranking.diversify(score[a : a + size], creator[a : a + size], genre[a : a + size], np.zeros(1, int), 10, 2, 3, 0.8) for a in range(0, 20 * size, size)]
+    assert (np.concatenate(alone) == place[: 20 * size]).all() and (np.sort(place.reshape(n, size), axis=1) == np.arange(1, size + 1)).all()
+
+
 def test_dumped_trees(spark):
     import numpy as np
 
