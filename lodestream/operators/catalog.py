@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import texts
 from ..functions.scalars import is_blank, is_id
-from ..functions.vectors import normalised
+from ..functions.vectors import normalised, sums
 from .events import first_error
+from .retrieval import SMALL
 
 # Limits of the catalog's fields, of enrichment and of onboarding.
 TITLE, DESCRIPTION, TRANSCRIPT, TAGS = 500, 10_000, 4_000, 20
@@ -130,9 +129,15 @@ def onboarding_seeds(picks: DataFrame, vectors: DataFrame) -> DataFrame:
 
     vectors: item_id, vector. An item picked twice counts once; picks without a vector, and users with none, give nothing.
     """
-    some = picks.select("user_id", "domain", "item_id").distinct().join(vectors.where("vector is not null"), "item_id")
-    sums = some.groupBy("user_id", "domain").agg(Summarizer.sum(array_to_vector(F.col("vector").cast("array<double>"))).alias("s"))
-    return sums.select("user_id", "domain", normalised(vector_to_array("s")).alias("vector")).where("vector is not null")
+    some = picks.select("user_id", "domain", "item_id").distinct()
+    few = vectors.limit(SMALL + 1).count() <= SMALL
+    vectors = vectors.where("vector is not null")
+    if few:  # such a join leaves the rows where they are
+        rows = some.repartition("user_id", "domain").join(F.broadcast(vectors), "item_id")
+    else:
+        rows = some.join(vectors, "item_id").repartition("user_id", "domain")
+    rows = rows.withColumn("_one", F.lit(1.0))
+    return sums(rows, ["user_id", "domain"], ["_one"]).select("user_id", "domain", normalised(F.col("_one_v")).alias("vector")).where("vector is not null")
 
 
 def attach_explanations(shown: DataFrame, cached: DataFrame) -> DataFrame:

@@ -43,3 +43,39 @@ def test_part_keys_beyond_a_million(spark, sf_dir, changed):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     d = changed(part=part.unionByName(part.withColumn("p_partkey", part["p_partkey"] + 1_000_000)))
     agrees(spark, d, "catalog_outcome", "catalog_merge")
+
+
+def test_candidates_are_not_shuffled_as_rows(spark, sf_dir):
+    """A request is one row with lists until its items are scored: no candidate is dealt by key after that."""
+    from lodestream.plans.serving import Serving
+
+    plan = Serving(spark, sf_dir).scored(blocked=True)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("explode(found")]
+    assert "Aggregate" not in above and "Window" not in above
+    joins = [line for line in above.splitlines() if " Join " in line or line.startswith("Join ")]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
+def test_sums_of_vectors_over_batches(spark):
+    """Rows of a key in any order, over several batches, with a null key; each key gives one row."""
+    from lodestream.functions import vectors
+
+    rows = [(None if i % 7 == 3 else i % 7, float(i % 3), [1.0, float(i)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, w double, vector array<double>").repartition(3, "k")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = [(r.k, r.w, r.w_v) for r in vectors.sums(df, ["k"], ["w"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(k, sum(w for a, w, _ in rows if a == k), [sum(w * v[i] for a, w, v in rows if a == k) for i in (0, 1)]) for k in {r[0] for r in rows}]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lists_of_sources_as_one(spark):
+    from lodestream.operators import retrieval
+
+    rows = [(1, "a", [(5, 0.5), (7, 0.2), (5, 0.9)], None), (2, "b", [], [(7, 0.1)]), (3, "c", None, None), (4, "d", [(9, 1.0)], [(9, 0.0), (8, 0.3)])]
+    df = spark.createDataFrame(rows, f"request_id long, region string, cf {retrieval.FOUND}, here {retrieval.FOUND}").coalesce(1)
+    got = {r.request_id: (r.region, [tuple(x) for x in r.found]) for r in retrieval.merge(df, ["cf", "here"]).collect()}
+    assert got == {1: ("a", [(5, 0.9, None), (7, 0.2, None)]), 2: ("b", [(7, None, 0.1)]), 3: ("c", []), 4: ("d", [(8, None, 0.3), (9, 1.0, 0.0)])}
