@@ -9,6 +9,7 @@ from ..functions import texts
 from ..functions.scalars import round4
 from ..operators import catalog, evaluation, monitoring
 from ..sources import views
+from ..sources.shared import once
 from . import offline, sql
 
 SECRET = b"a secret for tests"
@@ -106,7 +107,7 @@ def spend_warnings(spark, d):
 
 
 def model_gate(spark, d):
-    rows = offline.ltr(spark, d).withColumn("score", F.col("f_semantic"))
+    rows = once(offline.ltr(spark, d).select("recommendation_id", "item_id", "label", "f_semantic", "f_cf")).withColumn("score", F.col("f_semantic"))
     old = rows.withColumn("score", F.col("f_cf"))
 
     def report(r):

@@ -79,3 +79,11 @@ def test_lists_of_sources_as_one(spark):
     df = spark.createDataFrame(rows, f"request_id long, region string, cf {retrieval.FOUND}, here {retrieval.FOUND}").coalesce(1)
     got = {r.request_id: (r.region, [tuple(x) for x in r.found]) for r in retrieval.merge(df, ["cf", "here"]).collect()}
     assert got == {1: ("a", [(5, 0.9, None), (7, 0.2, None)]), 2: ("b", [(7, None, 0.1)]), 3: ("c", []), 4: ("d", [(8, None, 0.3), (9, 1.0, 0.0)])}
+
+
+def test_lists_are_dealt_once(spark, sf_dir):
+    """Lines come to their order's task, and all that a list needs is done there: no shuffle by list, or by list and item."""
+    from lodestream.plans import offline
+
+    plan = offline.ltr(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(recommendation_id" not in plan
