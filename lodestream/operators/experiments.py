@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
+from ..sources.shared import once
 
 
 @F.pandas_udf(T.DoubleType())
@@ -50,7 +51,7 @@ def assign(users: DataFrame, salt: str, ranges: list[tuple[str, int, int]]) -> D
 
 def variant_pivot(attributed: DataFrame, by: list[str]) -> DataFrame:
     """A column an outcome: how many items of lists had it."""
-    distinct = attributed.dropDuplicates(["recommendation_id", "item_id", "outcome"])
+    distinct = attributed.select(*dict.fromkeys(["recommendation_id", "item_id", "outcome", *by])).dropDuplicates(["recommendation_id", "item_id", "outcome"])
     return distinct.groupBy(*by).pivot("outcome", list(config.OUTCOMES[:6])).count().fillna(0)
 
 
@@ -112,14 +113,14 @@ def report(served: DataFrame, attributed: DataFrame, control: str, shares: dict[
     some = [df.where("domain is not null and variant_id is not null") for df in (served, attributed)]
     shown, engaged = some if since is None else [df.where(F.col("served_ts") >= since) for df in some]
     lists = shown.groupBy(*keys).agg(F.countDistinct("user_id").alias("users"), F.countDistinct("recommendation_id").alias("lists"))
-    per_user = variant_pivot(engaged, [*keys, "user_id"])
+    per_user = once(variant_pivot(engaged, [*keys, "user_id"]))  # every rate asks for it twice
     counts = per_user.groupBy(*keys).agg(*(F.sum(o).alias(o) for o in config.OUTCOMES[:6]))
-    stats = lists.join(counts, keys, "full").fillna(0)
+    stats = once(lists.join(counts, keys, "full").fillna(0))
     rate = lambda x, n: F.when(F.col(n) > 0, x / F.col(n))
     rates = [rate(F.col(num), den).alias(name) for name, num, den in RATES] + [rate(F.col("LIKED") + F.col("SAVED"), "IMPRESSED").alias("like")]
     out = stats.select(*keys, "users", "lists", F.col("IMPRESSED").alias("impressions"), *rates)
     for name, num, den in RATES:
-        sides = clustered_ratio(per_user.where("user_id is not null"), num, den, ["domain"])
+        sides = once(clustered_ratio(per_user.where("user_id is not null"), num, den, ["domain"]))
         base = sides.where(F.col("variant_id") == control).select("domain", F.col("ratio").alias("_r"), F.col("variance").alias("_v"))
         other = sides.where(F.col("variant_id") != control).join(base, "domain")
         diff, error = F.col("ratio") - F.col("_r"), F.sqrt(F.greatest(F.col("variance") + F.col("_v"), F.lit(1e-18)))
