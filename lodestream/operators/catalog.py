@@ -10,7 +10,7 @@ from ..functions import texts
 from ..functions.scalars import is_blank, is_id
 from ..functions.vectors import normalised, sums
 from .events import first_error
-from .retrieval import SMALL
+from .retrieval import met
 
 # Limits of the catalog's fields, of enrichment and of onboarding.
 TITLE, DESCRIPTION, TRANSCRIPT, TAGS = 500, 10_000, 4_000, 20
@@ -130,8 +130,7 @@ def onboarding_seeds(picks: DataFrame, vectors: DataFrame) -> DataFrame:
     vectors: item_id, vector. An item picked twice counts once; picks without a vector, and users with none, give nothing.
     """
     some = picks.select("user_id", "domain", "item_id").distinct()
-    few = vectors.limit(SMALL + 1).count() <= SMALL
-    vectors = vectors.where("vector is not null")
+    vectors, few = met(vectors.where("vector is not null"), some)
     if few:  # such a join leaves the rows where they are
         rows = some.repartition("user_id", "domain").join(F.broadcast(vectors), "item_id")
     else:

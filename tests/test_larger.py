@@ -87,3 +87,31 @@ def test_lists_are_dealt_once(spark, sf_dir):
 
     plan = offline.ltr(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(recommendation_id" not in plan
+
+
+def test_events_are_dealt_once_for_what_requests_ask_with(spark, sf_dir, monkeypatch):
+    """Also if the catalog is beyond the limit for a broadcast, as long as the items that users touched are not."""
+    from lodestream.operators import retrieval
+    from lodestream.plans import serving
+    from lodestream.sources import views
+
+    items = views.items(spark, sf_dir)
+    more = items.unionByName(items.withColumn("item_id", items["item_id"] + 1_000_000))
+    monkeypatch.setattr(retrieval, "SMALL", more.count() - 1)
+    plan = serving.requests(serving._acts(spark, sf_dir), more)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(user_id" in plan
+
+
+@pytest.mark.parametrize("most", [0, 30_000])
+def test_requests_over_batches(spark, sf_dir, monkeypatch, most):
+    """Users whose events come in several batches, with vectors that are broadcast and with ones that are not."""
+    from lodestream.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "SMALL", most)
+    monkeypatch.setattr(retrieval, "USERS", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        agrees(spark, sf_dir, "query_vector", "query_reasons")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
