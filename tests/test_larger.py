@@ -115,3 +115,15 @@ def test_requests_over_batches(spark, sf_dir, monkeypatch, most):
         agrees(spark, sf_dir, "query_vector", "query_reasons")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_candidates_stay_where_they_are_beyond_the_limit(spark, sf_dir, monkeypatch):
+    """A catalog beyond the limit for vectors: what candidates meet is broadcast all the same."""
+    from lodestream.operators import retrieval
+    from lodestream.plans import serving
+    from lodestream.sources import views
+
+    monkeypatch.setattr(retrieval, "SMALL", views.items(spark, sf_dir).count() - 1)
+    plan = serving.heuristic_topk(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan[: plan.index("explode(found")].splitlines() if " Join " in line or line.startswith("Join ")]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
