@@ -118,12 +118,31 @@ def test_requests_over_batches(spark, sf_dir, monkeypatch, most):
 
 
 def test_candidates_stay_where_they_are_beyond_the_limit(spark, sf_dir, monkeypatch):
-    """A catalog beyond the limit for vectors: what candidates meet is broadcast all the same."""
+    """A catalog beyond the limit for vectors, and liked items: what candidates meet is broadcast all the same."""
     from lodestream.operators import retrieval
     from lodestream.plans import serving
     from lodestream.sources import views
 
     monkeypatch.setattr(retrieval, "SMALL", views.items(spark, sf_dir).count() - 1)
-    plan = serving.heuristic_topk(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = serving.familiarity_cap(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan[: plan.index("explode(found")].splitlines() if " Join " in line or line.startswith("Join ")]
     assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
+def test_familiar_items_against_a_loop(spark):
+    """More liked items than the list has places, few of them, or none; ties by item."""
+    from pyspark.sql import functions as F
+
+    from lodestream.operators import ranking
+
+    rows = [(q, q, i, float(i * 7 % 5), i % 10 < many) for q, many in enumerate((10, 7, 3, 0)) for i in range(q * 6 + 3)]
+    liked = {q: [i for r, _, i, _, yes in rows if r == q and yes] for q in range(4)}
+    want = []
+    for q in range(4):
+        order = sorted(((-s, i) for r, _, i, s, _ in rows if r == q))
+        familiar = [x for x in order if x[1] in liked[q]]
+        want += [(q, n, i) for n, (_, i) in enumerate(([x for x in order if x not in familiar[3:]] + familiar[3:])[:10], 1)]
+    df = spark.createDataFrame([(q, u, i, s, liked[q]) for q, u, i, s, _ in rows], "request_id long, user_id long, item_id long, score double, liked array<long>")
+    pairs = df.select("user_id", F.explode("liked").alias("item_id"))
+    for given in (F.col("liked"), pairs):
+        assert sorted((r.request_id, r.place, r.item_id) for r in ranking.familiarity_cap(df, given, 10).collect()) == sorted(want)
