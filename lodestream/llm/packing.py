@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import id_encoder
+from .tokens import id_encoder, together
 
 #: Tails in a shard, each shorter than a window: that bounds a shard's index.
 SHARD = 4096
@@ -53,21 +53,19 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, window: int, payload
     encoder, number = id_encoder(path), _numbers()
     df = np.zeros(encoder.size, np.int64)
     docs = words = 0
-    for batch in batches:
-        for s in range(0, batch.num_rows, 256):
-            part = batch.slice(s, 256)
-            full, tails = [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text), np.uint32(0))
-                n = len(ids)
-                docs, words = docs + 1, words + n
-                df[ids] += 1  # once for an id, however often it is there
-                cut = n - n % window
-                full.extend((doc, at, ids[at : at + window], n, next(number), 0) for at in range(0, cut, window))
-                if cut < n:
-                    tail = ids[cut:]
-                    tails.append((doc, cut, tail.astype("<u4").tobytes(), n))
-            yield _kinds(_pieces(full, payload), tails, None)
+    for batch in together(batches):
+        full, tails = [], []
+        for doc, ids in zip(batch.column(0).to_pylist(), encoder.many(batch.column(1))):
+            ids = np.append(ids, np.uint32(0))
+            n = len(ids)
+            docs, words = docs + 1, words + n
+            df[ids] += 1  # once for an id, however often it is there
+            cut = n - n % window
+            full.extend((doc, at, ids[at : at + window], n, next(number), 0) for at in range(0, cut, window))
+            if cut < n:
+                tail = ids[cut:]
+                tails.append((doc, cut, tail.astype("<u4").tobytes(), n))
+        yield _kinds(_pieces(full, payload), tails, None)
     yield _kinds(None, [], (df, docs, words))
 
 
@@ -122,14 +120,15 @@ def _marked(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch
     """Adds the mark: the first three places among a tail's ids, as one number."""
     size = len(place.value)
     for batch in batches:
-        marks = []
-        for blob in batch.column(2).to_pylist():
-            places = place.value[np.frombuffer(blob, "<u4")]
-            a = int(places.min())
-            b = int(places.min(where=places > a, initial=size))
-            c = int(places.min(where=places > b, initial=size))
-            b, c = (a, a) if b == size else (b, b if c == size else c)
-            marks.append((a * size + b) * size + c)
+        blobs = batch.column(2).to_pylist()
+        many = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        places, at = place.value[np.frombuffer(b"".join(blobs), "<u4")], np.cumsum(many) - many
+        a = np.minimum.reduceat(places, at)
+        b = np.minimum.reduceat(np.where(places > np.repeat(a, many), places, size), at)
+        c = np.minimum.reduceat(np.where(places > np.repeat(b, many), places, size), at)
+        b = np.where(b == size, a, b)
+        c = np.where(c == size, b, c)
+        marks = (a * size + b) * size + c
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], ["doc_id", "start", "ids", "doc_tokens", "mark"])
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 REMEMBERED = 500_000
 #: Texts handled at a time.
 SLICE = 128
+#: Bytes of text whose words are merged together, and rows of it taken at a time.
+TOGETHER, ROWS = 4 << 20, 256
+#: White space beside a space, and a space at the end: elsewhere each space begins a pre-token.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUN = rf"{_WHITE} | (?:{_WHITE}|\z)"
 #: Characters from U+0378, the first that is unassigned.
 BEYOND = re.compile("[^\x00-\u0377]").findall
 
@@ -107,6 +113,9 @@ class Ids:
     The merges run in tiktoken's engine, several times faster than the tokenizer's own and equal to it where
     each merge of the tokenizer's list makes a higher id than the one before, which is proved when it is built.
     Texts with a special token's string or an unassigned character go to the tokenizer itself.
+
+    Of many texts each distinct word (what stands between two spaces) is merged once. That needs each space to
+    begin a pre-token: a text where one stands in a run of white space or at the end is merged as a whole.
     """
 
     def __init__(self, path: str):
@@ -124,6 +133,8 @@ class Ids:
         self.engine = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
+        self.width = np.zeros(self.size, np.int64)
+        self.width[list(ranks.values())] = list(map(len, ranks))
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -131,6 +142,52 @@ class Ids:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.engine.encode_to_numpy(text, disallowed_special=())
 
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. A null text is empty."""
+        texts = pc.fill_null(texts, "")
+        rows, run = texts.to_pylist(), pc.match_substring_regex(texts, RUN).to_pylist()
+        whole = np.array([r or any(x in t for x in self.special) or unassigned(t) for t, r in zip(rows, run)], bool)
+        by_words = iter(self._by_words(texts.filter(pa.array(~whole))))
+        return [self.ids(t) if w else next(by_words) for t, w in zip(rows, whole)]
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(texts, " ")
+        at, flat = parts.offsets.to_numpy(), parts.values
+        first = np.zeros(len(flat), bool)  # a text's first word has no space before it
+        first[at[:-1]] = True
+        words = flat.filter(pa.array(~first)).dictionary_encode()
+        known = words.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), " ")[0].as_py()
+        merged = self.engine.encode_to_numpy(" " + joined, disallowed_special=()) if len(known) else np.empty(0, np.uint32)
+        heads = [self.engine.encode_to_numpy(x, disallowed_special=()) for x in flat.filter(pa.array(first)).to_pylist()]
+        ends, bounds = np.cumsum(self.width[merged]), np.cumsum(pc.binary_length(known).to_numpy().astype(np.int64) + 1)
+        upto = np.searchsorted(ends, bounds) + 1
+        if not np.array_equal(ends[upto - 1], bounds):
+            raise ValueError("a token crosses a word's end")
+        size = np.concatenate([np.diff(upto, prepend=0), [len(x) for x in heads]])
+        begin = np.cumsum(size) - size
+        code = np.empty(len(flat), np.int64)
+        code[~first], code[first] = words.indices.to_numpy(), len(known) + np.arange(len(heads))
+        size, begin = size[code], begin[code]
+        stop = np.cumsum(size)
+        ids = np.concatenate([merged, *heads])[np.repeat(begin - (stop - size), size) + np.arange(stop[-1])]
+        return np.split(ids, stop[at[1:-1] - 1])
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about TOGETHER bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            held.append(batch.slice(s, ROWS))
+            if sum(x.nbytes for x in held) >= TOGETHER:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
 
 def byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the

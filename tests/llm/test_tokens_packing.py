@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,44 @@ def test_ids_and_counts_of_any_text(text):
     assert COUNTER.count([text]) == [len(ids_of(text))]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text() | st.text(st.sampled_from(" \n\t\xa0\u3000ab'é1.\x1c͸")) | st.sampled_from(["a <|endoftext|> b", " a", "a ", "a b\n\n", "it's it's"])))
+def test_ids_of_many_texts(texts):
+    assert [x.tolist() for x in ENGINE.many(pa.array(texts, pa.string()))] == [ids_of(t) for t in texts]
+
+
+def test_packing_merges_a_word_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(50)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(400)]
+    given = []
+
+    class Engine:
+        def encode_to_numpy(self, text, **options):
+            given.append(text)
+            return engine.encode_to_numpy(text, **options)
+
+    engine, encoder = ENGINE.engine, tokens.Ids(PATH)
+    encoder.engine = Engine()
+    monkeypatch.setattr(packing, "id_encoder", lambda path: encoder)
+    monkeypatch.setattr(packing, "_numbers", lambda: iter(range(10**6)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(s, s + 50)), pa.array(texts[s : s + 50])], ["doc_id", "text"]) for s in range(0, 400, 50)]
+    cut = [r for b in packing._tokenise(iter(batches), PATH, 1024, False) for r in b.to_pylist()]
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in cut if r["kind"] == 1} == {i: [*ids_of(t), 0] for i, t in enumerate(texts)}
+    assert sum(map(len, given)) < sum(map(len, texts)) / 10
+
+
+def test_marks_are_the_first_three_places():
+    rng = np.random.default_rng(7)
+    tails = [rng.integers(0, 40, n).astype("<u4") for n in (1, 2, 3, 60, 500)] + [np.array([5, 5, 9], "<u4"), np.array([0], "<u4")]
+    place = rng.permutation(40)
+    columns = [pa.array(range(len(tails))), pa.array([0] * len(tails)), pa.array([t.tobytes() for t in tails]), pa.array([9] * len(tails))]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids", "doc_tokens"])
+    got = [m for b in packing._marked(iter([batch, batch.slice(0, 0)]), type("Shared", (), {"value": place})) for m in b.column("mark").to_pylist()]
+    firsts = [sorted({int(x) for x in place[t]})[:3] for t in tails]
+    assert got == [(a[0] * 40 + a[min(1, len(a) - 1)]) * 40 + a[-1] for a in firsts]
+
+
 ENGINE, COUNTER = tokens.Ids(PATH), tokens.Counter(PATH, tokens.whole_tokens(PATH))
 
 
