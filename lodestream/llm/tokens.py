@@ -31,7 +31,7 @@ REMEMBERED = 500_000
 #: Texts handled at a time.
 SLICE = 128
 #: Bytes of text whose words are merged together, and rows of it taken at a time.
-TOGETHER, ROWS = 4 << 20, 256
+TOGETHER, ROWS = 1 << 20, 256
 #: White space beside a space, and a space at the end: elsewhere each space begins a pre-token.
 _WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 RUN = rf"{_WHITE} | (?:{_WHITE}|\z)"
