@@ -13,7 +13,7 @@ feed, which belongs to the stride.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
-from .tokens import id_encoder
+from .tokens import id_encoder, together
 
 ROUNDS = 6
 #: Documents from which the compression of sequences learns, and bytes that it may take.
@@ -102,39 +102,39 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, width:
     """This task's documents, one after the other, cut into sequences; the last is filled with id 0."""
     encoder, part = id_encoder(path), TaskContext.get().partitionId()
     pack = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(shared))
-    rows: list[tuple] = []
-    rest, n, first = np.empty(0, np.uint32), 0, None
-    columns = [("part", pa.int32()), ("n", pa.int64()), ("tokens", pa.int32()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("ids_crc32", pa.int64()), ("blob", pa.binary())]
+    # what no full sequence has yet, and the document and place that it begins with
+    rest, begin, n = np.empty(0, np.uint32), (None, 0), 0
+    end = np.zeros(1, np.uint32)
 
-    def add(ids: np.ndarray, tokens: int) -> None:
+    def rows(stream: np.ndarray, tokens: int, docs: pa.Array, starts: pa.Array) -> pa.RecordBatch:
         nonlocal n
-        raw = ids.astype(f"<u{width}").tobytes()
-        rows.append((part, n, tokens, *first, zlib.crc32(ids.astype("<u4").tobytes()), pack.compress(raw)))
-        n += 1
-
-    def batch() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(columns)], [c for c, _ in columns])
-        rows.clear()
-        return out
-
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = np.append(encoder.ids(text), np.uint32(0))
-            at = 0
-            while at < len(ids):
-                if first is None:
-                    first = (doc, at)
-                take = min(length - len(rest), len(ids) - at)
-                rest, at = np.concatenate([rest, ids[at : at + take]]), at + take
-                if len(rest) == length:
-                    add(rest, length)
-                    rest, first = rest[:0], None
-            if len(rows) >= 1024:
-                yield batch()
+        many = len(docs)
+        cuts = stream[: many * length].reshape(many, length)
+        crcs = [zlib.crc32(x) for x in cuts.astype("<u4")]
+        blobs = [pack.compress(x) for x in cuts.astype(f"<u{width}")]
+        numbers = pa.array(np.arange(n, n + many), pa.int64())
+        n += many
+        columns = [pa.array([part] * many, pa.int32()), numbers, pa.array([tokens] * many, pa.int32()), docs, starts, pa.array(crcs, pa.int64()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "n", "tokens", "first_doc", "first_start", "ids_crc32", "blob"])
+
+    for batch in together(batches):
+        ids = [x for own in encoder.many(batch.column(1)) for x in (own, end)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(axis=1)
+        # the batch's documents behind the one that `rest` begins with
+        docs = pa.concat_arrays([pa.array(begin[:1], pa.int64()), batch.column(0)])
+        at = np.concatenate([[0], len(rest) + np.cumsum(sizes) - sizes])
+        skipped = np.zeros(len(at), np.int64)
+        skipped[0] = begin[1]
+        rest = np.concatenate([rest, *ids])
+        many = len(rest) // length
+        cut = np.arange(many + 1) * length
+        of = np.searchsorted(at, cut, side="right") - 1
+        starts = cut - at[of] + skipped[of]
+        if many:
+            yield rows(rest, length, docs.take(pa.array(of[:-1])), pa.array(starts[:-1]))
+        begin, rest = (docs[int(of[-1])].as_py(), int(starts[-1])), rest[many * length :].copy()
     if len(rest):
-        add(np.concatenate([rest, np.zeros(length - len(rest), np.uint32)]), len(rest))
-    if rows:
-        yield batch()
+        yield rows(np.concatenate([rest, np.zeros(length - len(rest), np.uint32)]), len(rest), pa.array(begin[:1], pa.int64()), pa.array(begin[1:], pa.int64()))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, target: str, length: int = 1024, per_shard: int = 4096, key: int = 7) -> DataFrame:
@@ -180,15 +180,11 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, length: int = 102
         return scratch.result(placed.select("slot", "index", "shard", offset.alias("offset"), "tokens", "first_doc", "first_start", "ids_crc32"))
 
 
-def read_slots(spark: SparkSession, target: str, first: int = 0, end: int | None = None) -> DataFrame:
-    """slot, shard, offset and ids of the slots from `first` to before `end`, from the shards that hold them.
-
-    Slots beyond the last are passed over; none left, and a target written from an empty table, give no rows. A shard
-    that is no multiple of the stride, one cut short, is an error.
-    """
+def _read(spark: SparkSession, target: str, first: int, end: int | None, column: str, of: Callable[[memoryview], object]) -> DataFrame:
+    """slot, shard, offset and, as `column`, what `of` makes of the slot's bytes in the task that reads them."""
     plan = spark.read.schema("sequences long, length int, width int, stride int, per_shard int, key long").json(target + ".manifest").first()
     end = plan.sequences if end is None else min(end, plan.sequences)
-    kind = "slot long, shard int, offset long, ids binary"
+    kind = f"slot long, shard int, offset long, {column}"
     if first >= end:
         return spark.createDataFrame([], kind)
     stride, per, size = plan.stride, plan.per_shard, plan.stride - 1
@@ -203,12 +199,21 @@ def read_slots(spark: SparkSession, target: str, first: int = 0, end: int | None
                 for i in range(0, len(have), 1024):
                     some = have[i : i + 1024]
                     at = [(s - shard * per) * stride for s in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([shard] * len(some), pa.int32()), pa.array(at, pa.int64()), pa.array([bytes(data[a : a + size]) for a in at], pa.binary())], ["slot", "shard", "offset", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([shard] * len(some), pa.int32()), pa.array(at, pa.int64()), pa.array([of(data[a : a + size]) for a in at])], ["slot", "shard", "offset", column.split()[0]])
 
     files = spark.read.format("binaryFile").load(target).where((F.col("shard") >= first // per) & (F.col("shard") <= (end - 1) // per))
     return files.select(F.col("shard").cast("int"), "content").mapInArrow(run, kind)
 
 
+def read_slots(spark: SparkSession, target: str, first: int = 0, end: int | None = None) -> DataFrame:
+    """slot, shard, offset and ids of the slots from `first` to before `end`, from the shards that hold them.
+
+    Slots beyond the last are passed over; none left, and a target written from an empty table, give no rows. A shard
+    that is no multiple of the stride, one cut short, is an error.
+    """
+    return _read(spark, target, first, end, "ids binary", bytes)
+
+
 def training_order(docs: DataFrame, tokenizer: str, target: str, **options) -> DataFrame:
     """Writes the shards, reads them back, and returns each slot with `intact`: its ids are those that were cut.
 
@@ -217,12 +222,10 @@ def training_order(docs: DataFrame, tokenizer: str, target: str, **options) -> D
     planned = write_shards(docs, tokenizer, target, **options)
     width = 2 if id_encoder(tokenizer).size <= 1 << 16 else 4
 
-    @F.arrow_udf("long")
-    def crc(blobs: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in blobs.to_pylist()], pa.int64())
-
     if planned.isEmpty():
         return planned.withColumn("intact", F.lit(True))
-    back = read_slots(docs.sparkSession, target).select("slot", F.col("offset").alias("found"), crc("ids").alias("crc"))
+    # the ids stay in the task that reads them: rows of theirs, and a second Python worker for their sums, take memory
+    crc = lambda raw: zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4"))
+    back = _read(docs.sparkSession, target, 0, None, "crc long", crc).select("slot", F.col("offset").alias("found"), "crc")
     joined = planned.join(back, "slot", "left")
     return joined.withColumn("intact", F.coalesce((F.col("crc") == F.col("ids_crc32")) & (F.col("found") == F.col("offset")), F.lit(False))).drop("crc", "found")

@@ -195,6 +195,50 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert shards.training_order(nothing(spark), PATH, f"{tmp_path}/none").count() == 0
 
 
+def test_sequences_merge_a_word_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(50)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(400)]
+    texts[7:12], docs = [None, "", "a\n\n b ", "<|endoftext|> x", "\u0378"], [None, *range(1, 400)]
+    given = []
+
+    class Engine:
+        def encode_to_numpy(self, text, **options):
+            given.append(text)
+            return engine.encode_to_numpy(text, **options)
+
+    engine, encoder = ENGINE.engine, tokens.Ids(PATH)
+    encoder.engine = Engine()
+    monkeypatch.setattr(shards, "id_encoder", lambda path: encoder)
+    monkeypatch.setattr(shards, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 5)}))
+    whole = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    stream = [(doc, at, i) for doc, text in zip(docs, texts) for at, i in enumerate([*ids_of(text), 0])]
+    for together, length in ((1 << 20, 100), (1, 100), (1, 100_000), (1 << 20, len(stream)), (1, len(stream) // 2)):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setattr(tokens, "ROWS", 3 if together == 1 else 256)
+        given.clear()
+        got = [r for b in shards._sequences(iter([whole.slice(0, 150), whole.slice(150)]), PATH, length, 2, None) for r in b.to_pylist()]
+        assert together == 1 or sum(map(len, given)) < sum(len(t or "") for t in texts) / 10
+        assert [r["n"] for r in got] == list(range(-(-len(stream) // length))) and {r["part"] for r in got} == {5}
+        for r in got:
+            own = stream[r["n"] * length :][:length]
+            ids = np.array([i for *_, i in own] + [0] * (length - len(own)), "<u4")
+            assert (r["first_doc"], r["first_start"], r["tokens"], r["ids_crc32"]) == (*own[0][:2], len(own), zlib.crc32(ids))
+            assert shards.zstandard.ZstdDecompressor().decompress(r["blob"]) == ids.astype("<u2").tobytes()
+
+
+def test_what_a_shard_holds_is_summed_where_it_is_read(spark, tmp_path):
+    rows = shards.training_order(documents(spark), PATH, f"{tmp_path}/summed", length=64, per_shard=10)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "ids#" not in plan
+    part = next((tmp_path / "summed").glob("shard=0/part-*"))
+    held = bytearray(part.read_bytes())
+    held[3 * (64 * 2 + 1)] ^= 1  # an id of slot 3
+    part.write_bytes(held)
+    next((tmp_path / "summed").glob("shard=0/.part-*.crc")).unlink()
+    assert [r.slot for r in rows.collect() if not r.intact] == [3]
+
+
 def slots_of(target, length, width):
     """What the shards hold, read byte by byte."""
     import json
